@@ -54,6 +54,24 @@ def _offsets(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.select(*keys, "_cell", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
 
 
+def with_cells(
+    df: DataFrame, keys: Sequence[str], lead: Column, total: str = "n", rows_per_cell: int | None = None
+) -> tuple[DataFrame, bool]:
+    """Add the key's row count and ``_cell``; also tell whether every key fits one cell.
+
+    Keys larger than ``rows_per_cell`` are cut into equal-width ranges of ``lead``, which must be numeric.
+    """
+    limit = ROWS_PER_CELL if rows_per_cell is None else rows_per_cell
+    x = lead.cast("double")
+    stats = small_side(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+    joined = df.join(stats, list(keys))
+    if (stats.agg(F.max(total)).first()[0] or 0) <= limit:
+        return joined.withColumn("_cell", F.lit(0).cast("long")).drop("_lo", "_hi"), True
+    share = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * F.ceil(F.col(total) / limit))).otherwise(0)
+    return joined.withColumn("_cell", cell.cast("long")).drop("_lo", "_hi"), False
+
+
 def with_position(
     df: DataFrame,
     keys: Sequence[str],
@@ -64,22 +82,13 @@ def with_position(
 ) -> DataFrame:
     """Number the rows of every key 0..n-1 by ``order`` and add the key's row count.
 
-    ``order[0]`` must be numeric; the rest break ties. Keys larger than ``rows_per_cell`` are cut into equal-width
-    ranges of ``order[0]``, so a key holding most of the data is sorted by many tasks.
+    ``order[0]`` must be numeric; the rest break ties. A key holding most of the data is sorted by many tasks.
     """
-    limit = ROWS_PER_CELL if rows_per_cell is None else rows_per_cell
-    lead = F.col(order[0]).cast("double")
-    stats = small_side(
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), F.min(lead).alias("_lo"), F.max(lead).alias("_hi"))
-    )
-    joined = df.join(stats, list(keys))
-    if (stats.agg(F.max(total)).first()[0] or 0) <= limit:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return joined.withColumn(position, rank.cast("long") - 1).drop("_lo", "_hi")
-
-    share = (lead - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * F.ceil(F.col(total) / limit))).otherwise(0)
-    return rank_in_cells(joined.withColumn("_cell", cell.cast("long")), keys, order, position).drop("_lo", "_hi")
+    celled, single = with_cells(df, keys, F.col(order[0]), total, rows_per_cell)
+    if not single:
+        return rank_in_cells(celled, keys, order, position)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return celled.withColumn(position, rank.cast("long") - 1).drop("_cell")
 
 
 def rank_in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str) -> DataFrame:
