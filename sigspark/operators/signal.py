@@ -106,12 +106,16 @@ def segment(signal: DataFrame, n: int) -> DataFrame:
 
 
 def channel_mean(signal: DataFrame, digits: int = 3) -> DataFrame:
-    """Average all channels sample by sample into one series named ``mean``, rounded half-even."""
+    """Average all channels sample by sample into one series named ``mean``, rounded half-even.
+
+    Sums differ in their last bits with the order of the rows, so the average is first cut to 9 digits: a tie then
+    rounds the same way in every run.
+    """
     keys = [c for c in ("recording_id", "segment_id") if c in signal.columns]
     extra = [F.bround(F.min("t"), digits).alias("t")] if "t" in signal.columns else []
     return (
         signal.groupBy(*keys, "idx")
-        .agg(F.bround(F.avg("value"), digits).alias("value"), F.max("n").alias("n"), *extra)
+        .agg(F.bround(F.round(F.avg("value"), 9), digits).alias("value"), F.max("n").alias("n"), *extra)
         .withColumn("channel", F.lit("mean"))
         .withColumn("channel_pos", F.lit(0).cast("long"))
     )
