@@ -28,6 +28,7 @@ from sigspark.operators import raster as ra  # noqa: E402
 from sigspark.operators import runs as rn  # noqa: E402
 from sigspark.operators import signal as sg  # noqa: E402
 from sigspark.operators import spikes as sp  # noqa: E402
+from sigspark.operators.scale import freeze  # noqa: E402
 from sigspark.plans.config import ProcessConfig, SpikeConfig  # noqa: E402
 from sigspark.plans.detect import accepted_spikes, detect_spikes  # noqa: E402
 from sigspark.plans.process import process, process_to_dataset  # noqa: E402
@@ -89,9 +90,9 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Nearest label centroid; confidence falls with the distance."""
     rows = features(spark, sf)
     means = ds.profile(rows).groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("centre")
+        F.transform(F.sort_array(F.collect_list(F.struct("pos", "mean"))), lambda x: x["mean"]).alias("centre")
     )
-    centres = means.agg(F.array_sort(F.collect_list(F.struct("label", "centre")))).scalar()  # one row per label
+    centres = means.agg(F.sort_array(F.collect_list(F.struct("label", "centre")))).scalar()  # one row per label
     far = F.transform(
         "_centres",
         lambda c: F.struct(
@@ -120,7 +121,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         F.avg("kept").alias("score"), F.sum("cheap").alias("cheap"), F.sum("many").alias("many"),
         F.count(F.lit(1)).alias("rows"),
     )
-    scores = F.transform(F.array_sort(F.collect_list(F.struct("fold", "score"))), lambda x: x["score"])
+    scores = F.transform(F.sort_array(F.collect_list(F.struct("fold", "score"))), lambda x: x["score"])
     return folds.groupBy("run_id").agg(
         F.create_map(F.lit("supplier"), F.col("run_id").cast("string")).alias("params"),
         scores.alias("cv_scores"),
@@ -130,7 +131,8 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spike_table(spark: SparkSession, sf: str) -> DataFrame:
-    return detect_spikes(signal(spark, sf), SPIKES)
+    """Detected spikes, stored and read back: the queries on the spike table run over it several times."""
+    return freeze(detect_spikes(signal(spark, sf), SPIKES))
 
 
 # --- queries ---------------------------------------------------------------------------------------------------
@@ -335,7 +337,7 @@ def q_spike_refractory(spark, sf):
 
 
 def q_spike_features(spark, sf):
-    return spike_table(spark, sf).select(
+    return detect_spikes(signal(spark, sf), SPIKES).select(
         "key", "file", "sampling_hz", "n_values", "target", "column_id", "crossing_idx", "peak_value", "peak_idx",
         "min_value", "max_value", r6("slope").alias("slope"), r6("extrema_ratio").alias("extrema_ratio"), "first_idx", "last_idx",
     )

@@ -39,7 +39,7 @@ def to_blocks(
     return (
         signal.withColumn("block", F.explode(F.array_compact(member)))
         .groupBy(*keys, "block")
-        .agg(F.max("n").alias("n"), F.array_sort(F.collect_list(sample)).alias("_samples"))
+        .agg(F.max("n").alias("n"), F.sort_array(F.collect_list(sample)).alias("_samples"))
         .select(
             *keys,
             "block",

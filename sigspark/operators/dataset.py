@@ -14,7 +14,7 @@ from sigspark.operators.signal import series_keys
 def make_dataset(series: DataFrame) -> DataFrame:
     """One row per series with its values in order. Series should be shrunk first: a row holds the whole vector."""
     keys = series_keys(series)
-    rows = series.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_s"))
+    rows = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_s"))
     row_id = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     return rows.select(row_id.alias("row_id"), *keys, F.col("_s.value").alias("features"))
 

@@ -60,7 +60,7 @@ def _magnitude_rows(df: DataFrame, keys: list[str], fs: float) -> DataFrame:
 
 def _series_spectrum(data: DataFrame, keys: list[str], fs: float) -> DataFrame:
     series = data.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("_s")
+        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_s")
     )
     bins = series.select(*keys, "n", F.posexplode(_direct(F.col("_s.value"))).alias("bin", "magnitude"))
     return _magnitude_rows(bins.withColumn("bin", F.col("bin").cast("long")), keys, fs)
@@ -125,7 +125,7 @@ def _turn_grid(df: DataFrame, keys: list[str], from_col: str, to_col: str) -> Da
         *keys, from_col, F.posexplode(F.arrays_zip(F.col("z.re").alias("re"), F.col("z.im").alias("im"))).alias(to_col, "_v")
     )
     grouped = cells.groupBy(*keys, F.col(to_col).cast("long").alias(to_col)).agg(
-        F.array_sort(F.collect_list(F.struct(from_col, "_v"))).alias("_s")
+        F.sort_array(F.collect_list(F.struct(from_col, "_v"))).alias("_s")
     )
     return grouped.withColumn("z", F.struct(F.col("_s._v.re").alias("re"), F.col("_s._v.im").alias("im"))).drop("_s")
 

@@ -42,11 +42,17 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+def small_side(df: DataFrame) -> DataFrame:
     """Freeze a narrow per-key summary; mark it for broadcast only if its counted rows are within the limit."""
+    return small_side_and_max(df)[0]
+
+
+def small_side_and_max(df: DataFrame, column: str | None = None) -> tuple[DataFrame, int]:
+    """The same, with the largest value of a count column (0 if there are no rows)."""
     frozen = freeze(df)
-    rows = frozen.count()
-    return F.broadcast(frozen) if rows <= (BROADCAST_ROWS if limit is None else limit) else frozen
+    largest = F.lit(0) if column is None else F.coalesce(F.max(column), F.lit(0))
+    rows, top = frozen.agg(F.count(F.lit(1)), largest).first()
+    return (F.broadcast(frozen) if rows <= BROADCAST_ROWS else frozen), top
 
 
 def _offsets(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,9 +69,10 @@ def with_cells(
     """
     limit = ROWS_PER_CELL if rows_per_cell is None else rows_per_cell
     x = lead.cast("double")
-    stats = small_side(df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+    summary = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    stats, longest = small_side_and_max(summary, total)
     joined = df.join(stats, list(keys))
-    if (stats.agg(F.max(total)).first()[0] or 0) <= limit:
+    if longest <= limit:
         return joined.withColumn("_cell", F.lit(0).cast("long")).drop("_lo", "_hi"), True
     share = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
     cell = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * F.ceil(F.col(total) / limit))).otherwise(0)

@@ -229,7 +229,7 @@ def refractory(
     rows = candidates if replay_lag else candidates.where(~F.col("ignored"))
     rest = [c for c in candidates.columns if c not in (*keys, "block", "idx", "step", "ignored")]
     per_block = rows.groupBy(*keys, "block").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "step", "ignored", *rest))).alias("_crossed")
+        F.sort_array(F.collect_list(F.struct("idx", "step", "ignored", *rest))).alias("_crossed")
     )
     crossed = ["block", "_crossed.idx", "_crossed.step", "_crossed.ignored"]
 
@@ -284,7 +284,7 @@ def refractory(
 
     def gather(df: DataFrame, by: Sequence[str], at: str) -> DataFrame:
         row = F.struct(F.col(at).alias("at"), F.col("_t.ends").alias("ends"), F.col("_t.outs").alias("outs"))
-        return df.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_tables"))
+        return df.groupBy(*by).agg(F.sort_array(F.collect_list(row)).alias("_tables"))
 
     def spread(df: DataFrame, by: Sequence[str], at: str, first: Column) -> DataFrame:
         pairs = F.arrays_zip(F.col("_tables.at").alias("at"), entries(first, "_entry", "_tables").alias("entry"))

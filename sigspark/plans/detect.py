@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sigspark.functions.columns import label_from_text
 from sigspark.operators import signal as ops
 from sigspark.operators import spikes as sp
-from sigspark.operators.scale import small_side
+from sigspark.operators.scale import small_side_and_max
 from sigspark.plans.config import SpikeConfig
 from sigspark.sources.recordings import read_recordings
 
@@ -21,7 +21,7 @@ def accepted_spikes(
     """Crossings that spike, with their peaks, and the blocks they came from."""
     cfg.validate()
     out = ops.drop_channels(signal, cfg.time_like)
-    stats = small_side(ops.channel_stats(out))
+    stats, longest = small_side_and_max(ops.channel_stats(out), "n")
     if cfg.top_channels:
         out = ops.top_n_channels(out, cfg.top_channels, stats=stats)
     length = max(sp.BLOCK_SAMPLES if block is None else block, 2 * (cfg.dead + cfg.before + cfg.after))
@@ -30,7 +30,7 @@ def accepted_spikes(
         sp.peaks(blocks, cfg),
         length=length,
         dead_reach=cfg.dead + cfg.after + 1,
-        longest=stats.agg(F.max("n")).first()[0] or 0,
+        longest=longest,
         lag_reach=2 * (cfg.before + cfg.after) + 1 if cfg.replay_lag else 0,
         replay_lag=cfg.replay_lag,
         blocks_per_group=blocks_per_group,

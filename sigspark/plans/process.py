@@ -8,14 +8,13 @@ import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sigspark.functions.harmonics import harmonics
 from sigspark.operators import signal as ops
 from sigspark.operators.dataset import make_dataset
 from sigspark.operators.filters import apply_filters, design_chain
 from sigspark.operators.fourier import spectrum
-from sigspark.operators.scale import small_side
+from sigspark.operators.scale import small_side_and_max
 from sigspark.plans.config import ProcessConfig
 from sigspark.sources.files import assign_target
 from sigspark.sources.recordings import read_recordings
@@ -29,9 +28,8 @@ def process(signal: DataFrame, cfg: ProcessConfig) -> DataFrame:
     """
     cfg.validate()
     out = ops.drop_channels(signal, cfg.time_like)
-    stats = None
     if cfg.top_channels or cfg.fft:
-        stats = small_side(ops.channel_stats(out))
+        stats, longest = small_side_and_max(ops.channel_stats(out), "n")
     if cfg.top_channels:
         out = ops.top_n_channels(out, cfg.top_channels, stats=stats)
     if cfg.segments:
@@ -40,8 +38,7 @@ def process(signal: DataFrame, cfg: ProcessConfig) -> DataFrame:
     if cfg.filter_type or wanted:
         out = apply_filters(out, design_chain(cfg.filter_order, cfg.filter_type, cfg.cuts, wanted, cfg.fs))
     if cfg.fft:
-        longest = (stats.agg(F.max("n")).first()[0] or 0) // (cfg.segments or 1)
-        bins = spectrum(out, cfg.fs, longest=longest)
+        bins = spectrum(out, cfg.fs, longest=longest // (cfg.segments or 1))
         out = bins.withColumnsRenamed({"bin": "idx", "freq_hz": "t", "magnitude": "value", "n_bins": "n"})
     if cfg.average:
         out = ops.channel_mean(out)
