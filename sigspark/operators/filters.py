@@ -169,7 +169,7 @@ def apply_filters(signal: DataFrame, chain: Sequence[Filter], block: int | None
     if not chain:
         return signal
     margin = sum(settling(f) for f in chain)
-    length = max(BLOCK_SAMPLES, margin) if block is None else max(block, margin)
+    length = max(BLOCK_SAMPLES, 4 * margin) if block is None else max(block, margin)
     keys = series_keys(signal)
     carry = ["t"] if "t" in signal.columns else []
     if "channel_pos" in signal.columns:

@@ -69,7 +69,7 @@ def learn(train: DataFrame, test: DataFrame, cfg: LearnConfig, row_id: str = "ro
         )
 
     with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
-        results = list(pool.map(inheritable_thread_target(run), combos))
+        results = list(pool.map(inheritable_thread_target(train.sparkSession)(run), combos))
     spark = train.sparkSession
     runs = spark.createDataFrame([(i, *row) for i, (_, row) in enumerate(results)], RUN_SCHEMA)
     absolute = cfg.kind == "svc"
