@@ -147,7 +147,8 @@ def _grid_spectrum(data: DataFrame, keys: list[str], fs: float) -> DataFrame:
     chirp = chirp.repartition("n", "_col").withColumn("z", _chirp_columns("n", "_rows", "_cols", "_col"))
     chirp = _turn_grid(chirp, ["n", "_rows", "_cols"], "_col", "_row").select("n", "_row", _row_step("z").alias("_chirp"))
 
-    half = spectrum.join(chirp, ["n", "_row"]).withColumn("z", _back_columns("z", "_chirp", "_rows", "_cols", "_row"))
+    # The planner sees one row per length and would broadcast the chirp; it is as large as the padded series.
+    half = spectrum.join(chirp.hint("merge"), ["n", "_row"]).withColumn("z", _back_columns("z", "_chirp", "_rows", "_cols", "_row"))
     back = _turn_grid(half, grid_keys, "_row", "_out").withColumn("m", _back_rows("z"))
     bins = back.select(*grid_keys, "_out", F.posexplode("m").alias("_place", "_m")).select(
         *keys,

@@ -295,8 +295,8 @@ def refractory(
     groups = freeze(gather(tables.withColumn("_group", F.expr(f"block div {fan}")), [*keys, "_group"], "block"))
     tops = gather(groups.select(*keys, "_group", group_table("_group", "_tables").alias("_t")), keys, "_group")
     top_entry = spread(tops.withColumn("_entry", zero), keys, "_group", zero)
-    entry = spread(groups.join(top_entry, [*keys, "_group"]), keys, "block", F.col("_group") * fan)
-    return pick(frozen.join(entry, [*keys, "block"]), F.col("_entry"))
+    entry = spread(groups.join(top_entry.hint("merge"), [*keys, "_group"]), keys, "block", F.col("_group") * fan)
+    return pick(frozen.join(entry.hint("merge"), [*keys, "block"]), F.col("_entry"))
 
 
 # --- features --------------------------------------------------------------------------------------------------
