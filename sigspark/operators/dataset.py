@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.operators.scale import dense_ranks, hash_cell, rank_in_cells, small_side
+from sigspark.operators.scale import dense_ranks, hash_cell, hash_digits, rank_by_hash, small_side
 from sigspark.operators.signal import series_keys
 
 
@@ -77,7 +77,7 @@ def _split_marks(dataset: DataFrame, ratio: float, seed: object, row_id: str, on
     Hash cells are counted per label; only the rows of the one cell that holds the boundary are ranked.
     """
     rows = dataset.select(F.col(on).alias("_label"), F.col(row_id).alias("_id"), shuffle_hash(row_id, seed).alias("_h"))
-    rows = rows.withColumn("_cell", hash_cell(F.col("_h")))
+    rows = rows.withColumn("_cell", hash_cell(F.col("_h"), hash_digits(rows)))
     counts = rows.groupBy("_label", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
     label = Window.partitionBy("_label")
     running = label.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -112,8 +112,7 @@ def split(
 def assign_folds(dataset: DataFrame, k: int, seed: object = 0, row_id: str = "row_id", on: str = "label") -> DataFrame:
     """Add ``fold`` 0..k-1, dealt out evenly within every label in hash order."""
     hashed = dataset.withColumn("_h", shuffle_hash(row_id, seed))
-    celled = hashed.withColumn("_cell", hash_cell(F.col("_h")))
-    ranked = rank_in_cells(celled, [on], ["_h", row_id], "_place")
+    ranked = rank_by_hash(hashed, [on], "_h", row_id, "_place")
     return ranked.withColumn("fold", (F.col("_place") % k).cast("int")).drop("_h", "_place")
 
 

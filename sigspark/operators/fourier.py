@@ -1,15 +1,15 @@
 """Full magnitude spectrum of every series.
 
 Series up to ``DIRECT_SAMPLES`` are transformed one row each. Longer ones are never gathered: their transform is
-rewritten as a chirp convolution (which allows any length) on a power-of-two grid of rows and columns, and each row and
-each column is a small transform of its own.
+rewritten as a chirp convolution, which allows any length, on a power-of-two grid. Tasks hold a few columns or a few
+rows of the grid and pass square tiles of it on, so a task holds about ``_TASK_CELLS`` values however long the series.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,9 +17,10 @@ from sigspark.functions.columns import hann_weight
 from sigspark.operators.scale import freeze
 from sigspark.operators.signal import series_keys
 
-DIRECT_SAMPLES = 1 << 20
+DIRECT_SAMPLES = 1 << 22
+_TASK_CELLS = 1 << 20
 _REALS = T.ArrayType(T.DoubleType())
-_COMPLEX = T.StructType([T.StructField("re", _REALS), T.StructField("im", _REALS)])
+_TILES = T.ArrayType(_REALS)
 
 
 def _half_turns(j: np.ndarray, n: int) -> np.ndarray:
@@ -31,14 +32,6 @@ def _half_turns(j: np.ndarray, n: int) -> np.ndarray:
     return np.exp(-1j * np.pi * (square / n))
 
 
-def _split(values: np.ndarray) -> dict:
-    return {"re": values.real, "im": values.imag}
-
-
-def _join(cell: dict) -> np.ndarray:
-    return np.asarray(cell["re"], dtype=float) + 1j * np.asarray(cell["im"], dtype=float)
-
-
 @F.pandas_udf(_REALS)
 def _direct(values: pd.Series) -> pd.Series:
     out = []
@@ -66,97 +59,120 @@ def _series_spectrum(data: DataFrame, keys: list[str], fs: float) -> DataFrame:
     return _magnitude_rows(bins.withColumn("bin", F.col("bin").cast("long")), keys, fs)
 
 
-def _grid(n: Column) -> tuple[Column, Column]:
-    """Rows and columns (powers of two) of a grid with at least 2n cells."""
-    bits = F.ceil(F.log2(2.0 * n)).cast("int") + 1
-    rows = F.floor(bits / 2).cast("int")
-    return F.pow(F.lit(2.0), rows).cast("long"), F.pow(F.lit(2.0), bits - rows).cast("long")
+# --- grid of rows x cols cells, in tiles of side x side; complex values travel as pairs of doubles -----------------
+
+
+def _cut(block: np.ndarray, side: int, axis: int) -> list[np.ndarray]:
+    """Square tiles of a block of whole columns (axis 0) or whole rows (axis 1), as pairs of doubles."""
+    parts = np.split(block, block.shape[axis] // side, axis=axis)
+    return [np.ascontiguousarray(p).view(float).ravel() for p in parts]
 
 
-@F.pandas_udf(_COMPLEX)
-def _signal_columns(idx: pd.Series, value: pd.Series, n: pd.Series, rows: pd.Series, cols: pd.Series, col: pd.Series) -> pd.DataFrame:
-    """Chirped samples of one grid column -> its transform, turned for the row step."""
+def _paste(places, tiles, side: int, axis: int) -> np.ndarray:
+    """The block that square tiles at the given places make up, along an axis."""
+    order = np.argsort(np.asarray(places))
+    parts = [np.asarray(tiles[i], dtype=float).view(complex).reshape(side, side) for i in order]
+    return np.concatenate(parts, axis=axis)
+
+
+def _turn(first: int, side: int, length: int, cells: int, sign: int) -> np.ndarray:
+    """exp(sign * 2i*pi * k*j / cells) for k < length (rows) and j = first .. first+side-1 (columns)."""
+    return np.exp(sign * 2j * np.pi * np.outer(np.arange(length), np.arange(first, first + side)) / cells)
+
+
+@F.pandas_udf(_TILES)
+def _signal_columns(idx: pd.Series, value: pd.Series, shape: pd.DataFrame, tile: pd.Series) -> pd.Series:
+    """Chirped samples of a few grid columns -> their transforms, turned for the row step."""
     out = []
-    for i, v, size, r, c, j in zip(idx, value, n, rows, cols, col):
+    for i, v, (n, rows, cols, side), at in zip(idx, value, shape.itertuples(index=False), tile):
         i = np.asarray(i, dtype=np.int64)
-        x = np.zeros(r, dtype=complex)
-        x[i // c] = np.asarray(v, dtype=float) * _half_turns(i, int(size))
-        out.append(_split(np.fft.fft(x) * np.exp(-2j * np.pi * j * np.arange(r) / (r * c))))
-    return pd.DataFrame(out)
+        x = np.zeros((rows, side), dtype=complex)
+        x[i // cols, i % cols - at * side] = np.asarray(v, dtype=float) * _half_turns(i, n)
+        out.append(_cut(np.fft.fft(x, axis=0) * _turn(at * side, side, rows, rows * cols, -1), side, 0))
+    return pd.Series(out)
 
 
-@F.pandas_udf(_COMPLEX)
-def _chirp_columns(n: pd.Series, rows: pd.Series, cols: pd.Series, col: pd.Series) -> pd.DataFrame:
+@F.pandas_udf(_TILES)
+def _chirp_columns(shape: pd.DataFrame, tile: pd.Series) -> pd.Series:
     """The same for the chirp itself, which depends on the series length only."""
     out = []
-    for size, r, c, j in zip(n, rows, cols, col):
-        i = np.arange(r, dtype=np.int64) * c + j
-        i = np.minimum(i, r * c - i)
-        x = np.where(i < size, np.conj(_half_turns(i, int(size))), 0)
-        out.append(_split(np.fft.fft(x) * np.exp(-2j * np.pi * j * np.arange(r) / (r * c))))
-    return pd.DataFrame(out)
+    for (n, rows, cols, side), at in zip(shape.itertuples(index=False), tile):
+        i = np.arange(rows, dtype=np.int64)[:, None] * cols + np.arange(at * side, (at + 1) * side)
+        i = np.minimum(i, rows * cols - i)
+        x = np.where(i < n, np.conj(_half_turns(i, n)), 0)
+        out.append(_cut(np.fft.fft(x, axis=0) * _turn(at * side, side, rows, rows * cols, -1), side, 0))
+    return pd.Series(out)
 
 
-@F.pandas_udf(_COMPLEX)
-def _row_step(values: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([_split(np.fft.fft(_join({"re": re, "im": im}))) for re, im in zip(values["re"], values["im"])])
+@F.pandas_udf(_REALS)
+def _chirp_rows(places: pd.Series, tiles: pd.Series, shape: pd.DataFrame) -> pd.Series:
+    """Transform of the chirp on a few grid rows."""
+    return pd.Series([
+        np.fft.fft(_paste(p, t, s.side, 1), axis=1).view(float).ravel()
+        for p, t, s in zip(places, tiles, shape.itertuples(index=False))
+    ])
 
 
-@F.pandas_udf(_COMPLEX)
-def _back_columns(a: pd.DataFrame, b: pd.DataFrame, rows: pd.Series, cols: pd.Series, row: pd.Series) -> pd.DataFrame:
-    """Product of both spectra on one grid row -> first half of the inverse transform."""
+@F.pandas_udf(_TILES)
+def _convolve_rows(places: pd.Series, tiles: pd.Series, chirp: pd.Series, shape: pd.DataFrame, tile: pd.Series) -> pd.Series:
+    """Transform of the signal on a few grid rows, times that of the chirp -> first half of the inverse."""
     out = []
-    for are, aim, bre, bim, r, c, j in zip(a["re"], a["im"], b["re"], b["im"], rows, cols, row):
-        product = _join({"re": are, "im": aim}) * _join({"re": bre, "im": bim})
-        out.append(_split(np.fft.ifft(product) * np.exp(2j * np.pi * j * np.arange(c) / (r * c))))
-    return pd.DataFrame(out)
+    for p, t, c, (_, rows, cols, side), at in zip(places, tiles, chirp, shape.itertuples(index=False), tile):
+        product = np.fft.fft(_paste(p, t, side, 1), axis=1) * np.asarray(c, dtype=float).view(complex).reshape(side, cols)
+        turned = np.fft.ifft(product, axis=1) * _turn(at * side, side, cols, rows * cols, 1).T
+        out.append(_cut(turned, side, 1))
+    return pd.Series(out)
 
 
 @F.pandas_udf(_REALS)
-def _back_rows(values: pd.DataFrame) -> pd.Series:
-    return pd.Series(
-        [np.abs(np.fft.ifft(_join({"re": re, "im": im}))) for re, im in zip(values["re"], values["im"])]
-    )
+def _magnitudes(places: pd.Series, tiles: pd.Series, shape: pd.DataFrame) -> pd.Series:
+    """Second half of the inverse on a few grid columns: magnitudes, row by row, of the rows that hold wanted bins."""
+    out = []
+    for p, t, (n, _, cols, side) in zip(places, tiles, shape.itertuples(index=False)):
+        whole = np.fft.ifft(_paste(p, t, side, 0), axis=0)
+        out.append((np.abs(whole[: -(-(n // 2) // cols)]) / n).ravel())
+    return pd.Series(out)
 
 
-def _turn_grid(df: DataFrame, keys: list[str], from_col: str, to_col: str) -> DataFrame:
-    """Regroup complex arrays of grid columns into arrays of grid rows."""
-    cells = df.select(
-        *keys, from_col, F.posexplode(F.arrays_zip(F.col("z.re").alias("re"), F.col("z.im").alias("im"))).alias(to_col, "_v")
-    )
-    grouped = cells.groupBy(*keys, F.col(to_col).cast("long").alias(to_col)).agg(
-        F.sort_array(F.collect_list(F.struct(from_col, "_v"))).alias("_s")
-    )
-    return grouped.withColumn("z", F.struct(F.col("_s._v.re").alias("re"), F.col("_s._v.im").alias("im"))).drop("_s")
+def _regroup(df: DataFrame, keys: list[str], held: str, tile: str) -> DataFrame:
+    """Send tile number ``tile`` of every block to one place; ``held`` is the block it comes from."""
+    tiles = df.select(*keys, held, F.posexplode("_tiles").alias(tile, "_cells"))
+    return tiles.groupBy(*keys, tile).agg(F.collect_list(F.struct(held, "_cells")).alias("_parts"))
 
 
 def _grid_spectrum(data: DataFrame, keys: list[str], fs: float) -> DataFrame:
-    rows, cols = _grid(F.col("n"))
-    shaped = data.withColumn("_rows", rows).withColumn("_cols", cols)
-    grid_keys = [*keys, "n", "_rows", "_cols"]
-
-    first = (
-        shaped.groupBy(*grid_keys, (F.col("idx") % F.col("_cols")).alias("_col"))
+    bits = "cast(ceil(log2(2.0d * n)) as int)"
+    shape = F.struct("n", "rows", "cols", "side").alias("_shape")
+    shaped = (
+        data.withColumn("rows", F.expr(f"shiftleft(1L, {bits} div 2)"))
+        .withColumn("cols", F.expr(f"shiftleft(1L, {bits} - {bits} div 2)"))
+        .withColumn("side", F.expr(f"least(rows, greatest(1L, {_TASK_CELLS}L div cols))"))
+        .withColumn("_shape", shape)
+        .drop("n", "rows", "cols", "side")
+    )
+    grid = [*keys, "_shape"]
+    columns = (
+        shaped.groupBy(*grid, F.expr("idx % _shape.cols div _shape.side").alias("_col"))
         .agg(F.collect_list(F.struct("idx", "value")).alias("_s"))
-        .withColumn("z", _signal_columns("_s.idx", "_s.value", "n", "_rows", "_cols", "_col"))
+        .withColumn("_tiles", _signal_columns("_s.idx", "_s.value", "_shape", "_col"))
     )
-    spectrum = _turn_grid(first, grid_keys, "_col", "_row").withColumn("z", _row_step("z"))
+    rows = _regroup(columns, grid, "_col", "_row")
 
-    lengths = freeze(shaped.select("n", "_rows", "_cols").distinct())
-    chirp = lengths.withColumn("_col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_cols") - 1)))
-    chirp = chirp.repartition("n", "_col").withColumn("z", _chirp_columns("n", "_rows", "_cols", "_col"))
-    chirp = _turn_grid(chirp, ["n", "_rows", "_cols"], "_col", "_row").select("n", "_row", _row_step("z").alias("_chirp"))
+    shapes = freeze(shaped.select("_shape").distinct())
+    last = F.expr("_shape.cols div _shape.side - 1")
+    chirp = shapes.withColumn("_col", F.explode(F.sequence(F.lit(0).cast("long"), last))).repartition("_shape", "_col")
+    chirp = _regroup(chirp.withColumn("_tiles", _chirp_columns("_shape", "_col")), ["_shape"], "_col", "_row")
+    chirp = chirp.select("_shape", "_row", _chirp_rows("_parts._col", "_parts._cells", "_shape").alias("_chirp"))
 
     # The planner sees one row per length and would broadcast the chirp; it is as large as the padded series.
-    half = spectrum.join(chirp.hint("merge"), ["n", "_row"]).withColumn("z", _back_columns("z", "_chirp", "_rows", "_cols", "_row"))
-    back = _turn_grid(half, grid_keys, "_row", "_out").withColumn("m", _back_rows("z"))
-    bins = back.select(*grid_keys, "_out", F.posexplode("m").alias("_place", "_m")).select(
-        *keys,
-        "n",
-        (F.col("_out") + F.col("_place") * F.col("_cols")).alias("bin"),
-        (F.col("_m") / F.col("n")).alias("magnitude"),
+    both = rows.join(chirp.hint("merge"), ["_shape", "_row"])
+    back = both.withColumn("_tiles", _convolve_rows("_parts._col", "_parts._cells", "_chirp", "_shape", "_row"))
+    bins = _regroup(back, grid, "_row", "_col").select(
+        *grid, "_col", F.posexplode(_magnitudes("_parts._row", "_parts._cells", "_shape")).alias("_place", "magnitude")
     )
-    return _magnitude_rows(bins.where(F.col("bin") < F.expr("n div 2")), keys, fs)
+    place = "_col * _shape.side + _place % _shape.side + _shape.cols * (_place div _shape.side)"
+    found = bins.select(*keys, F.col("_shape.n").alias("n"), F.expr(place).cast("long").alias("bin"), "magnitude")
+    return _magnitude_rows(found.where(F.col("bin") < F.expr("n div 2")), keys, fs)
 
 
 def spectrum(

@@ -7,6 +7,7 @@ A window over ``partitionBy(key)`` sorts all rows of a key in a single task. The
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 # Rows one (key, cell) window may hold on average before a key is split into more cells.
 ROWS_PER_CELL = 1_000_000
+# A cell this many times too large means the cells do not fit the values.
+_LOPSIDED = 8
 # A frozen summary table is broadcast only up to this many rows; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
@@ -91,29 +94,51 @@ def with_position(
 
     ``order[0]`` must be numeric; the rest break ties. A key holding most of the data is sorted by many tasks.
     """
-    celled, single = with_cells(df, keys, F.col(order[0]), total, rows_per_cell)
-    if not single:
-        return rank_in_cells(celled, keys, order, position)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return celled.withColumn(position, rank.cast("long") - 1).drop("_cell")
-
-
-def rank_in_cells(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: str) -> DataFrame:
-    """0-based rank within ``keys`` for rows that carry ``_cell``, where cell order agrees with ``order``."""
+    limit = ROWS_PER_CELL if rows_per_cell is None else rows_per_cell
+    celled, single = with_cells(df, keys, F.col(order[0]), total, limit)
+    if single:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return celled.withColumn(position, rank.cast("long") - 1).drop("_cell")
+    sizes, largest = small_side_and_max(_cell_sizes(celled, keys), "_rows")
+    if largest > _LOPSIDED * limit:
+        # Equal widths do not fit these values (an outlier, or many ties): cut by sampled ranges of the whole order.
+        ranges = math.ceil(sizes.agg(F.sum("_rows")).first()[0] / limit)
+        ranged = celled.repartitionByRange(ranges, *keys, *order)
+        celled = freeze(ranged.withColumn("_cell", F.spark_partition_id().cast("long")))
+        sizes = small_side(_cell_sizes(celled, keys))
+    return _shift(celled, sizes, keys, order, position)
+
+
+def _cell_sizes(celled: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return celled.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def _shift(celled: DataFrame, sizes: DataFrame, keys: Sequence[str], order: Sequence[str], position: str) -> DataFrame:
+    """Rank rows within their cell and add the sizes of the key's cells before it."""
     group = [*keys, "_cell"]
-    offsets = small_side(_offsets(df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")), keys))
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long") - 1
     return (
-        df.withColumn("_rank", rank)
-        .join(offsets, group)
+        celled.withColumn("_rank", rank)
+        .join(_offsets(sizes, keys), group)
         .withColumn(position, F.col("_before") + F.col("_rank"))
         .drop("_cell", "_rank", "_before")
     )
 
 
-def hash_cell(hashed: Column) -> Column:
-    """Cell of a hex digest: its first four digits, so order by cell agrees with order by digest."""
-    return F.conv(F.substring(hashed, 1, 4), 16, 10).cast("long")
+def rank_by_hash(df: DataFrame, keys: Sequence[str], hashed: str, tie: str, position: str) -> DataFrame:
+    """0-based rank within ``keys`` by a hex digest column; the digest's first digits are the cells."""
+    celled = df.withColumn("_cell", hash_cell(F.col(hashed), hash_digits(df)))
+    return _shift(celled, small_side(_cell_sizes(celled, keys)), keys, [hashed, tie], position)
+
+
+def hash_digits(df: DataFrame) -> int:
+    """Leading hex digits that leave about a tenth of a full cell per hash cell, if one key held all rows."""
+    return min(max(math.ceil(math.log(max(df.count(), 1) / (ROWS_PER_CELL / 10), 16)), 1), 8)
+
+
+def hash_cell(hashed: Column, digits: int) -> Column:
+    """Cell of a hex digest: its first digits, so order by cell agrees with order by digest."""
+    return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("long")
 
 
 def dense_ranks(df: DataFrame, column: str, rank: str) -> DataFrame:
@@ -127,8 +152,5 @@ def dense_ranks(df: DataFrame, column: str, rank: str) -> DataFrame:
         .repartitionByRange(column)
         .withColumn("_cell", F.spark_partition_id().cast("long"))
     )
-    sizes = ranged.groupBy("_cell").agg(F.count(F.lit(1)).alias("_rows"))
-    offsets = F.broadcast(_offsets(sizes, []))  # one row per shuffle partition
-    local = F.row_number().over(Window.partitionBy("_cell").orderBy(column)).cast("long") - 1
-    ranks = ranged.withColumn("_rank", local).join(offsets, "_cell")
-    return small_side(ranks.select(column, (F.col("_before") + F.col("_rank")).alias(rank)))
+    sizes = F.broadcast(_cell_sizes(ranged, []))  # one row per shuffle partition
+    return small_side(_shift(ranged, sizes, [], [column], rank).select(column, rank))

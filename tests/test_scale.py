@@ -31,6 +31,24 @@ def test_with_position(skewed, limit):
     assert sorted(got.select(cols).collect()) == sorted(want.select(cols).collect())
 
 
+def test_position_with_an_outlier_and_ties(spark):
+    """One far value would put all others into one equal-width cell."""
+    rows = [("hot", 1e12, 0)] + [("hot", float(i % 3), i) for i in range(1, 1500)] + [("k", 0.0, 1)]
+    df = spark.createDataFrame(rows, "k string, t double, id long")
+    got = scale.with_position(df, ["k"], ["t", "id"], rows_per_cell=100)
+    want = sorted((t, i) for k, t, i in rows if k == "hot")
+    mine = sorted((r["idx"], r["t"], r["id"]) for r in got.where("k = 'hot'").collect())
+    assert mine == [(n, *row) for n, row in enumerate(want)]
+
+
+def test_hash_rank_with_many_cells(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id").alias("row_id"), F.lit("a").alias("k"), F.md5(F.col("id").cast("string")).alias("h"))
+    monkeypatch.setattr(scale, "ROWS_PER_CELL", 100)
+    assert scale.hash_digits(df) == 3
+    got = [r["row_id"] for r in scale.rank_by_hash(df, ["k"], "h", "row_id", "p").orderBy("p").collect()]
+    assert got == [r["row_id"] for r in df.orderBy("h").collect()]
+
+
 def test_cells_bound_a_hot_key(skewed):
     celled, single = scale.with_cells(skewed, ["k"], F.col("t"), rows_per_cell=50)
     assert not single
