@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigspark.operators.blocks import collect_in_order
 from sigspark.operators.scale import dense_ranks, hash_cell, hash_digits, rank_by_hash, small_side
 from sigspark.operators.signal import series_keys
 
@@ -14,9 +15,9 @@ from sigspark.operators.signal import series_keys
 def make_dataset(series: DataFrame) -> DataFrame:
     """One row per series with its values in order. Series should be shrunk first: a row holds the whole vector."""
     keys = series_keys(series)
-    rows = series.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_s"))
+    rows = collect_in_order(series, keys, ["value"])
     row_id = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    return rows.select(row_id.alias("row_id"), *keys, F.col("_s.value").alias("features"))
+    return rows.select(row_id.alias("row_id"), *keys, F.col("values").alias("features"))
 
 
 def features_of(dataset: DataFrame) -> DataFrame:

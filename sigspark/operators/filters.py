@@ -164,8 +164,10 @@ def zero_phase(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
     return _run(kernel, _run(kernel, ext)[::-1])[::-1][pad:-pad]
 
 
-def apply_filters(signal: DataFrame, chain: Sequence[Filter], block: int | None = None) -> DataFrame:
-    """Apply filters in sequence to every series, in one shuffle."""
+def apply_filters(
+    signal: DataFrame, chain: Sequence[Filter], block: int | None = None, longest: int | None = None
+) -> DataFrame:
+    """Apply filters in sequence to every series, in one shuffle. ``longest``: largest series length, if known."""
     if not chain:
         return signal
     margin = sum(settling(f) for f in chain)
@@ -174,7 +176,7 @@ def apply_filters(signal: DataFrame, chain: Sequence[Filter], block: int | None
     carry = ["t"] if "t" in signal.columns else []
     if "channel_pos" in signal.columns:
         keys = [*keys, "channel_pos"]
-    blocks = to_blocks(signal, keys, length, margin, margin, carry)
+    blocks = to_blocks(signal, keys, length, margin, margin, carry, longest)
 
     kernels = [prepare(f) for f in chain]
 
@@ -199,7 +201,8 @@ def apply_filters(signal: DataFrame, chain: Sequence[Filter], block: int | None
         columns.append(F.col("t"))
     rows = done.select(*keys, "n", "block", F.posexplode(F.arrays_zip(*columns)).alias("_pos", "_row"))
     return rows.select(
-        *keys, (F.col("block") * length + F.col("_pos")).alias("idx"), "n", "_row.value", *[F.col("_row.t") for _ in carry]
+        *keys, (F.col("block") * length + F.col("_pos")).alias("idx"), "n", "_row.value",
+        *[F.when(~F.isnan("_row.t"), F.col("_row.t")).alias("t") for _ in carry]
     )
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sigspark.functions.columns import hann_weight
+from sigspark.operators.blocks import collect_in_order
 from sigspark.operators.scale import freeze
 from sigspark.operators.signal import series_keys
 
@@ -52,10 +53,8 @@ def _magnitude_rows(df: DataFrame, keys: list[str], fs: float) -> DataFrame:
 
 
 def _series_spectrum(data: DataFrame, keys: list[str], fs: float) -> DataFrame:
-    series = data.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("_s")
-    )
-    bins = series.select(*keys, "n", F.posexplode(_direct(F.col("_s.value"))).alias("bin", "magnitude"))
+    series = collect_in_order(data, keys, ["value"])
+    bins = series.select(*keys, "n", F.posexplode(_direct("values")).alias("bin", "magnitude"))
     return _magnitude_rows(bins.withColumn("bin", F.col("bin").cast("long")), keys, fs)
 
 

@@ -56,7 +56,11 @@ def edge_rule(crossed: DataFrame, before: int, after: int, mode: str = "ignore")
 
 
 def spike_blocks(
-    signal: DataFrame, cfg: SpikeConfig, stats: DataFrame | None = None, block: int | None = None
+    signal: DataFrame,
+    cfg: SpikeConfig,
+    stats: DataFrame | None = None,
+    block: int | None = None,
+    longest: int | None = None,
 ) -> DataFrame:
     """Blocks of every channel that is not all zero, with the channel's deviation.
 
@@ -64,7 +68,7 @@ def spike_blocks(
     """
     before, after = cfg.before, cfg.after
     length = max(BLOCK_SAMPLES if block is None else block, 2 * max(before, after, 1))
-    blocks = to_blocks(signal.select(*CHANNEL_KEYS, "idx", "n", "value"), CHANNEL_KEYS, length, 2 * before, 2 * after)
+    blocks = to_blocks(signal, CHANNEL_KEYS, length, 2 * before, 2 * after, longest=longest)
     return blocks.join(_live(signal, stats), CHANNEL_KEYS).withColumn("length", F.lit(length).cast("long"))
 
 
@@ -113,6 +117,7 @@ def peaks(blocks: DataFrame, cfg: SpikeConfig) -> DataFrame:
             place = low[part, None] + reach
             inside = place < high[part, None]
             w = x[np.minimum(place - start, len(x) - 1)]
+            inside &= ~np.isnan(w)
             signed = np.where(positive[part, None], w, -w)
             peak[part] = low[part] + np.argmax(np.where(inside, signed, -np.inf), axis=1)
             extreme[part] = low[part] + np.argmax(np.where(inside, np.abs(w), -np.inf), axis=1)

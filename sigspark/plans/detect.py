@@ -25,7 +25,7 @@ def accepted_spikes(
     if cfg.top_channels:
         out = ops.top_n_channels(out, cfg.top_channels, stats=stats)
     length = max(sp.BLOCK_SAMPLES if block is None else block, 2 * (cfg.dead + cfg.before + cfg.after))
-    blocks = sp.spike_blocks(out, cfg, stats, length)
+    blocks = sp.spike_blocks(out, cfg, stats, length, longest)
     chosen = sp.refractory(
         sp.peaks(blocks, cfg),
         length=length,

@@ -28,17 +28,20 @@ def process(signal: DataFrame, cfg: ProcessConfig) -> DataFrame:
     """
     cfg.validate()
     out = ops.drop_channels(signal, cfg.time_like)
+    longest = None
     if cfg.top_channels or cfg.fft:
         stats, longest = small_side_and_max(ops.channel_stats(out), "n")
+        longest //= cfg.segments or 1
     if cfg.top_channels:
         out = ops.top_n_channels(out, cfg.top_channels, stats=stats)
     if cfg.segments:
         out = ops.segment(out, cfg.segments)
     wanted = harmonics(cfg.harmonic_freq, cfg.harmonic_nth, cfg.harmonic_mode) if cfg.harmonic_freq else []
     if cfg.filter_type or wanted:
-        out = apply_filters(out, design_chain(cfg.filter_order, cfg.filter_type, cfg.cuts, wanted, cfg.fs))
+        chain = design_chain(cfg.filter_order, cfg.filter_type, cfg.cuts, wanted, cfg.fs)
+        out = apply_filters(out, chain, longest=longest)
     if cfg.fft:
-        bins = spectrum(out, cfg.fs, longest=longest // (cfg.segments or 1))
+        bins = spectrum(out, cfg.fs, longest=longest)
         out = bins.withColumnsRenamed({"bin": "idx", "freq_hz": "t", "magnitude": "value", "n_bins": "n"})
     if cfg.average:
         out = ops.channel_mean(out)
