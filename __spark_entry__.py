@@ -500,8 +500,21 @@ def entry(spark: SparkSession) -> DataFrame:
     return process_to_dataset(signal(spark, "/root/testdata/sf0.001"), cfg)
 
 
+def _corpus() -> tuple[dict, dict]:
+    """Queries of the text corpus operators and their SQL, if that subpackage is there."""
+    try:
+        import corpus_pipeline
+        from sigspark.llm import queries as corpus
+    except ImportError:
+        return {}, {}
+    sql = corpus.oracle_sql()
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return corpus.queries() | {"pipeline": corpus_pipeline.run}, sql
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    return {name[2:]: f for name, f in globals().items() if name.startswith("q_")} | _corpus()[0]
 
 
 # --- the same in SQL -------------------------------------------------------------------------------------------
@@ -653,7 +666,7 @@ FROM embeddings"""
     url_last = "CASE WHEN contains(url, 'example') THEN 'example' WHEN contains(url, 'page=') THEN 'paged' " \
                "WHEN contains(url, '/de/') THEN 'german' WHEN contains(url, '/fr/') THEN 'french' END"
     best = """best AS (SELECT * FROM scored ORDER BY trust DESC, run_id LIMIT 1)"""
-    return {
+    return _corpus()[1] | {
         "signal_positions": f"WITH {_SIG} SELECT {keys}, idx, n, value FROM sig",
         "wide_to_long": """WITH w AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS recording_id, l_orderkey AS t, sum(l_quantity) AS E1, max(l_partkey) AS E2
