@@ -1,14 +1,15 @@
 """Exact Jaccard join of texts on word shingles: size-banded tiles with hashed bitmap signatures.
 
-A set's shingles are ordered from rare to frequent. Two sets that reach the threshold share one of their first
-``n - ceil(t * n) + 1`` shingles, so only documents that meet at such a shingle are compared. Documents that meet are
-compared in tiles of near set sizes: the bits in which two bitmap signatures differ bound the overlap from above, and
-only pairs that pass the bound have their sorted arrays intersected. Nothing is sampled or capped; the order of the
+A set's shingles are ordered from rare to frequent, by the frequency of their rarest word. Two sets that reach the
+threshold share one of their first ``n - ceil(t * n) + 1`` shingles, and the shingles before the first shared one are
+differences. So only documents that meet at such a shingle, near enough to the front, are compared. Documents that meet
+are compared in tiles of near set sizes: the bits in which two bitmap signatures differ bound the overlap from above,
+and only pairs that pass the bound have their sorted arrays intersected. Nothing is sampled or capped; the order of the
 shingles and the tiles change the work, never the result.
 
-Equal sets are one class from the start. Within a meeting place, documents are first held against one of them; what
-those links join needs no further comparison, so a group of thousands of near copies costs a comparison a member
-rather than all pairs.
+Equal sets are one class from the start. Each class is first held against one or two it meets: those of most copies and
+of smallest size. What these links join needs no further comparison, so a group of thousands of near copies of one text
+costs a few comparisons a member rather than all pairs.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from sigspark.llm import words as wd
 from sigspark.llm.components import components
 from sigspark.llm.tables import freeze, in_batches, rows_of
 
-# Counters of the frequency sketch. A fixed size: its 2^17 levels of one byte are sent to every task.
-SKETCH_BITS = 17
+# Counters of the word frequency sketch. A fixed size: its 2^18 levels of one byte are sent to every task.
+SKETCH_BITS = 18
+# A shingle's code: its level in the upper bits, so that codes sort from rare to frequent, and the rest of its hash.
+_LEVEL_BITS = 6
 # Members of one meeting place that one task compares; larger places are cut into pairs of tiles.
 TILE = 512
 _LEAST_BITS, _MOST_BITS = 256, 1 << 14
@@ -36,34 +39,49 @@ def _least_overlap(n, percent: int):
     return (percent * n + 99) // 100
 
 
-def _sets(batches, size: int):
-    """Rows of a batch with their sorted distinct shingle hashes."""
+def _coded(hashes: np.ndarray, size: int, levels: np.ndarray) -> np.ndarray:
+    """Sorted distinct codes of a text's shingles, rare ones first."""
+    found = wd.shingles(hashes, size)
+    if not len(found):
+        return found
+    level = levels[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    n = len(found)
+    least = level[:n]
+    for j in range(1, len(hashes) - n + 1):
+        least = np.minimum(least, level[j : j + n])
+    return wd.distinct(least.astype(np.uint64) << np.uint64(64 - _LEVEL_BITS) | found >> np.uint64(_LEVEL_BITS))
+
+
+def _sets(batches, size: int, levels: np.ndarray):
+    """Rows of a batch with the codes of their shingles."""
     for batch in batches:
         for first, end in rows_of(batch, 512):
             part = batch.slice(first, end - first)
             hashes, at = wd.words(part.column("text"))
-            yield part, [wd.distinct(wd.shingles(hashes[at[i] : at[i + 1]], size)) for i in range(len(part))]
+            yield part, [_coded(hashes[at[i] : at[i + 1]], size, levels) for i in range(len(part))]
 
 
-def shingle_levels(docs: DataFrame, size: int) -> np.ndarray:
-    """How frequent the shingles of each of the sketch's counters are, on a logarithmic scale from 0 (rare)."""
+def word_levels(docs: DataFrame) -> np.ndarray:
+    """How frequent the words of each of the sketch's counters are, on a logarithmic scale from 0 (rare)."""
     cells = 1 << SKETCH_BITS
 
     def count(batches):
         total = np.zeros(cells, np.int64)
-        for _, sets in _sets(batches, size):
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64),
-                                     minlength=cells)
+        for batch in batches:
+            for first, end in rows_of(batch, 512):
+                hashes, _ = wd.words(batch.column("text").slice(first, end - first))
+                total += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=cells)
         seen = np.flatnonzero(total)
         yield {"cell": seen.astype(np.int32), "n": total[seen]}
 
-    rows = in_batches(docs.select("text"), count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(cells)
-    for r in rows:
-        counts[r["cell"]] = r["n"]
-    usual = max(1.0, float(np.median(counts)))
-    return np.clip(np.floor(4 * np.log2(np.maximum(counts, 1) / usual)), 0, 255).astype(np.uint8)
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    rows = in_batches(texts, count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    # one byte a counter
+    step = F.least(F.floor(2 * F.log2(F.col("n").cast("double"))), F.lit((1 << _LEVEL_BITS) - 1)).cast("int")
+    levels = np.zeros(cells, np.uint8)
+    for r in rows.groupBy(step.alias("step")).agg(F.collect_list("cell").alias("cells")).collect():
+        levels[r["cells"]] = r["step"]
+    return levels
 
 
 def _key(shingles: np.ndarray) -> np.uint64:
@@ -71,25 +89,23 @@ def _key(shingles: np.ndarray) -> np.uint64:
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """Signature of about two bits a member; its length is a power of two."""
+    """Signature of about four bits a member; its length is a power of two."""
     n = len(shingles)
-    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << max(0, (2 * n - 1).bit_length())))
+    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << max(0, (4 * n - 1).bit_length())))
     marks = np.zeros(bits, np.uint8)
     marks[((shingles >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(marks, bitorder="little").tobytes()
 
 
-def shingle_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def shingle_sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
     """``doc_id, n, key, prefix, bitmap`` of each document; equal sets have equal keys. Written to the shared folder."""
-    levels = shingle_levels(docs, size)
 
     def summarise(batches):
-        for part, sets in _sets(batches, size):
+        for part, sets in _sets(batches, size, levels):
             keys, prefixes, bitmaps = [], [], []
             for s in sets:
                 keys.append(_key(s))
-                order = np.argsort(levels[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                prefixes.append(s[order[: len(s) - _least_overlap(len(s), percent) + 1 if len(s) else 0]])
+                prefixes.append(s[: len(s) - _least_overlap(len(s), percent) + 1] if len(s) else s)
                 bitmaps.append(_bitmap(s))
             ends = np.cumsum([0, *map(len, prefixes)])
             yield {
@@ -145,7 +161,8 @@ def _may_reach(n_left, n_right, differing, percent: int):
     return (100 + percent) * most >= percent * (n_left + n_right)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, checked: bool) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, levels: np.ndarray,
+              checked: bool) -> DataFrame:
     """``a, b`` of the class pairs that reach the threshold. ``checked``: their signatures have been compared."""
     if not checked:
         marks = sets.select("key", "n", "bitmap")
@@ -173,7 +190,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def of_class(batches):
-        for part, found in _sets(batches, size):
+        for part, found in _sets(batches, size, levels):
             keys = wd.signed(np.array([_key(s) for s in found], np.uint64))
             right = np.flatnonzero(keys == part.column("key").to_numpy())
             found = [found[i] for i in right]
@@ -222,7 +239,7 @@ def _tiled(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     dealt = rows.withColumn("at", F.explode(F.when(F.col("met") <= TILE, small).otherwise(apart))).select(
         "h", "at.band", F.floor((F.col("at.role") + 1) / 2).cast("int").alias("kind"), "at.i", "at.j",
-        "n", F.pmod(F.col("at.role"), F.lit(2)).cast("int").alias("role"), "key", "component", "bitmap",
+        "n", "pos", F.pmod(F.col("at.role"), F.lit(2)).cast("int").alias("role"), "key", "component", "bitmap",
     )
     dealt = dealt.repartition("h", "band", "kind", "i", "j").sortWithinPartitions("h", "band", "kind", "i", "j", "n")
 
@@ -251,7 +268,8 @@ def _groups(table: pa.Table) -> np.ndarray:
 
 
 def _pairs(table: pa.Table, group: np.ndarray, percent: int):
-    n, key, comp, role, kind = (table.column(c).to_numpy() for c in ("n", "key", "component", "role", "kind"))
+    n, pos, key, comp, role, kind = (
+        table.column(c).to_numpy() for c in ("n", "pos", "key", "component", "role", "kind"))
     bitmaps = table.column("bitmap").to_pylist()
     alive = np.arange(len(group))
     step = 0
@@ -262,7 +280,9 @@ def _pairs(table: pa.Table, group: np.ndarray, percent: int):
         alive = alive[(group[alive] == group[np.minimum(alive + step, len(group) - 1)])]
         alive = alive[100 * n[alive] >= percent * n[alive + step]]
         other = alive + step
-        open_ = (comp[alive] != comp[other]) & (key[alive] != key[other]) & ((kind[alive] == 0) | (role[alive] != role[other]))
+        open_ = (comp[alive] != comp[other]) & ((kind[alive] == 0) | (role[alive] != role[other]))
+        # if this is the first shingle that both have, all those before it differ
+        open_ &= (100 + percent) * (pos[alive] + pos[other]) <= (100 - percent) * (n[alive] + n[other])
         left, right = alive[open_], other[open_]
         if len(left):
             keep = _may_reach(n[left], n[right], _differing_bits_of(bitmaps, left, right), percent)
@@ -285,28 +305,29 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     that repeat a doc_id are one node with the links of all its texts. A row with a null doc_id links with nothing and
     has a null component_id. An empty table gives an empty result.
     """
-    sets = shingle_sets(docs, size, percent)
+    levels = word_levels(docs)
+    sets = shingle_sets(docs, size, percent, levels)
     classes = freeze(
         sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
              F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     )
-    meeting = classes.select("key", "n", F.explode("prefix").alias("h"))
+    meeting = classes.select("key", "n", "copies", F.posexplode("prefix").alias("pos", "h"))
     places = meeting.groupBy("h").agg(
-        F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "key")).alias("lead")).where("met > 1")
-    shared = freeze(meeting.join(places, "h").select("h", "key", "n", "met", "lead"))
-    first = (
-        shared.where(F.col("key") != F.col("lead.key")).where(_near(F.col("n"), F.col("lead.n"), percent))
-        .select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b")).distinct()
-    )
-    links = freeze(_verified(first, classes, docs, size, percent, checked=False))
+        F.count(F.lit(1)).alias("met"), F.max(F.struct("copies", "key")).alias("most"),
+        F.min(F.struct("n", "key")).alias("least")).where("met > 1")
+    shared = freeze(meeting.join(places, "h").select("h", "key", "n", "pos", "met", "most", "least"))
+    leaders = shared.groupBy("key").agg(F.max("most").alias("most"),
+                                        F.min("least").alias("least"))
+    first = leaders.select("key", F.explode(F.array("most.key", "least.key")).alias("lead")).where("key <> lead").select(
+        F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
+    links = freeze(_verified(first, classes, docs, size, percent, levels, checked=False))
     joined = components(links)
-    shared = shared.select("h", "key", "n", "met").join(joined.withColumnRenamed("node", "key"), "key", "left").select(
-        "h", "key", "n", "met", F.coalesce("component", "key").alias("component"))
-    shared = freeze(shared)
+    shared = freeze(shared.select("h", "key", "n", "pos", "met").join(
+        joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
     mixed = shared.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     rest = _tiled(shared.join(mixed.select("h"), "h"), classes, percent)
-    more = _verified(rest, classes, docs, size, percent, checked=True)
+    more = _verified(rest, classes, docs, size, percent, levels, checked=True)
 
     reps = classes.select("key", "rep")
     found = (
