@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, decontaminate, html, jaccard, language, pii, warc
+from sigspark.llm import bpe, decontaminate, html, jaccard, language, pii, toxicity, warc
 from sigspark.llm.tables import read, remainder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +35,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), ~_held_out(5, 0))
+    scored = toxicity.score(docs, model).withColumn("held_out", _held_out(5, 0))
+    return scored.select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return bpe.encode_documents(docs, VOCABULARY, public_tokenizers.PATTERN, with_ids=False)

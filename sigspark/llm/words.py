@@ -11,6 +11,9 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# letters, digits and all bytes of other characters
+_PLAIN = _SPACE.copy()
+_PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = True
 _LOWER = np.arange(1, 257, dtype=np.uint64)
 _LOWER[0x41:0x5B] += np.uint64(32)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -47,13 +50,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all texts, first and past-the-end byte of each word, and the first word of each text."""
     raw, at = text_bytes(texts)
     n = len(raw)
     if not n:
         return raw, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    solid = ~_SPACE[raw]
+    solid = ~(_PLAIN if plain else _SPACE)[raw]
     left = np.empty(n, bool)
     left[0], left[1:] = True, ~solid[:-1]
     left[at[:-1][at[:-1] < n]] = True
@@ -64,9 +67,12 @@ def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return raw, first, np.flatnonzero(solid & right) + 1, np.searchsorted(first, at)
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of every text, and the first word of each text (one entry more than texts)."""
-    raw, first, end, at = word_spans(texts)
+def words(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every text, and the first word of each text (one entry more than texts).
+
+    ``plain``: ASCII signs part words as white space does.
+    """
+    raw, first, end, at = word_spans(texts, plain)
     if not len(first):
         return np.zeros(0, np.uint64), at
     up, down = _power_tables(len(raw) + 1)
