@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, decontaminate, html, jaccard, language, pii, toxicity, warc
+from sigspark.llm import bpe, decontaminate, embeddings, html, jaccard, language, pii, recurrent, toxicity, warc
 from sigspark.llm.tables import read, remainder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -57,10 +57,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, folder).drop("payload", "url")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = recurrent.log_likelihoods(docs, ~_held_out(7, 2)).withColumn("held_out", _held_out(7, 2))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -75,6 +85,16 @@ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_embeddings": """WITH RECURSIVE e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        AND list_cosine_similarity(a.v, b.v) >= 0.9),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT p.y, r.c FROM r JOIN p ON p.x = r.vec_id),
+n AS (SELECT x, count(*) AS n FROM p GROUP BY x)
+SELECT vec_id, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(r.c) AS component_id, min(r.c) = vec_id AS kept
+FROM r LEFT JOIN n ON n.x = r.vec_id GROUP BY vec_id""",
         "op7_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, ''))::BIGINT AS n,
        sha1(coalesce(html, '')) AS d FROM pages),
 m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
