@@ -30,9 +30,9 @@ _BLOCK = 64
 
 def _terms(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and counts of the terms of a text."""
-    at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
     if not len(vocabulary):
-        return at, at
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
     return np.unique(at[vocabulary[at] == hashes], return_counts=True)
 
 
