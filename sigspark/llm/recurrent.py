@@ -113,7 +113,16 @@ def count_words(train: DataFrame, shortlist: int = SHORTLIST, common: int = COMM
     source = train.select(F.col("text").cast("string").alias("text"))
     table = freeze(in_batches(source, count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")))
     total = table.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = table.orderBy(F.desc("n"), "term").limit(common).toPandas()
+    # the cut that leaves at most ``common`` words comes from a histogram, so that tasks send no more than those
+    level = F.floor(16 * F.log2(F.col("n").cast("double")))
+    kept, cut = 0, None
+    for r in sorted(table.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        kept += r["words"]
+        if kept > common:
+            break
+        cut = r["level"]
+    top = table.where(level >= cut if cut is not None else F.lit(False)).toPandas()
+    top = top.sort_values(["n", "term"], ascending=[False, True])
     terms, n = top["term"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     short = min(shortlist, len(n))
     return Counts(table, total["n"], total["v"], terms, n, short, total["n"] - int(n[:short].sum()), total["v"] - short)
