@@ -50,7 +50,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def signal(spark: SparkSession, sf: str) -> DataFrame:
+def signal(spark: SparkSession, sf: str, rows_per_cell: int | None = None) -> DataFrame:
     rows = table(spark, sf, "events").select(
         F.concat(F.lit("rec"), F.col("user_id") % 4).alias("recording_id"),
         F.col("user_id").cast("string").alias("channel"),
@@ -59,7 +59,7 @@ def signal(spark: SparkSession, sf: str) -> DataFrame:
         "event_id",
         "value",
     )
-    return sg.index_signal(rows, ["t", "event_id"]).drop("event_id")
+    return sg.index_signal(rows, ["t", "event_id"], rows_per_cell).drop("event_id")
 
 
 def long_signal(spark: SparkSession, sf: str) -> DataFrame:
@@ -142,6 +142,31 @@ def q_signal_positions(spark, sf):
     return signal(spark, sf).select("recording_id", "channel", "idx", "n", "value")
 
 
+# The same with cells, blocks and tiles so small that these tables take the paths of very long series.
+
+
+def q_signal_positions_cells(spark, sf):
+    return signal(spark, sf, 50).select("recording_id", "channel", "idx", "n", "value")
+
+
+def q_spike_features_blocks(spark, sf):
+    return _spike_columns(detect_spikes(signal(spark, sf), SPIKES, block=32, blocks_per_group=2))
+
+
+def q_spectrum_grid(spark, sf):
+    return fo.spectrum(signal(spark, sf), 1000.0, direct=16).select(
+        "recording_id", "channel", "bin", r6("freq_hz").alias("freq_hz"), r6("magnitude").alias("magnitude")
+    )
+
+
+def q_nearest_spike_cells(spark, sf):
+    return _nearest(spark, sf, 5)
+
+
+def q_spike_neighbours_cells(spark, sf):
+    return ra.neighbours(spike_table(spark, sf), 5)
+
+
 def q_wide_to_long(spark, sf):
     wide = (
         table(spark, sf, "lineitem")
@@ -337,7 +362,11 @@ def q_spike_refractory(spark, sf):
 
 
 def q_spike_features(spark, sf):
-    return detect_spikes(signal(spark, sf), SPIKES).select(
+    return _spike_columns(detect_spikes(signal(spark, sf), SPIKES))
+
+
+def _spike_columns(spikes):
+    return spikes.select(
         "key", "file", "sampling_hz", "n_values", "target", "column_id", "crossing_idx", "peak_value", "peak_idx",
         "min_value", "max_value", r6("slope").alias("slope"), r6("extrema_ratio").alias("extrema_ratio"), "first_idx", "last_idx",
     )
@@ -379,10 +408,14 @@ def q_raster_limits(spark, sf):
 
 
 def q_nearest_spike(spark, sf):
+    return _nearest(spark, sf)
+
+
+def _nearest(spark, sf, rows_per_cell=None):
     points = table(spark, sf, "orders").select(
         "o_orderkey", (F.col("o_custkey") % 150).cast("string").alias("column_id"), (F.col("o_orderkey") % 80).alias("x")
     )
-    return ra.nearest_spike(points, spike_table(spark, sf)).select("o_orderkey", "nearest_key", "nearest_idx")
+    return ra.nearest_spike(points, spike_table(spark, sf), rows_per_cell).select("o_orderkey", "nearest_key", "nearest_idx")
 
 
 def q_spike_neighbours(spark, sf):
@@ -666,7 +699,7 @@ FROM embeddings"""
     url_last = "CASE WHEN contains(url, 'example') THEN 'example' WHEN contains(url, 'page=') THEN 'paged' " \
                "WHEN contains(url, '/de/') THEN 'german' WHEN contains(url, '/fr/') THEN 'french' END"
     best = """best AS (SELECT * FROM scored ORDER BY trust DESC, run_id LIMIT 1)"""
-    return _corpus()[1] | {
+    sql = _corpus()[1] | {
         "signal_positions": f"WITH {_SIG} SELECT {keys}, idx, n, value FROM sig",
         "wide_to_long": """WITH w AS (
   SELECT CAST(l_suppkey AS VARCHAR) AS recording_id, l_orderkey AS t, sum(l_quantity) AS E1, max(l_partkey) AS E2
@@ -781,14 +814,15 @@ per AS (SELECT l, sum(CASE WHEN predicted = l AND actual = l THEN 1 ELSE 0 END):
 SELECT round_even(avg(CASE WHEN was + said > 0 THEN 2 * tp / (was + said) ELSE 0 END), 3) AS f1,
        round_even(avg(CASE WHEN was > 0 THEN tp / was ELSE 0 END), 3) AS recall,
        round_even(avg(CASE WHEN said > 0 THEN tp / said ELSE 0 END), 3) AS "precision" FROM per""",
-        "cup_stats": f"""WITH {_PRED} SELECT 'testing' AS phase, predicted AS target,
+        "cup_stats": f"""WITH {_PRED}, c AS (SELECT predicted AS target FROM pred UNION SELECT actual FROM pred)
+SELECT 'testing' AS phase, target,
 count(*) FILTER (WHERE predicted = actual) AS n_true,
 round_even(avg(confidence) FILTER (WHERE predicted = actual), 3) AS mean_cup_true,
 round_even(stddev_pop(confidence) FILTER (WHERE predicted = actual), 3) AS std_cup_true,
 count(*) FILTER (WHERE predicted <> actual) AS n_false,
 round_even(avg(confidence) FILTER (WHERE predicted <> actual), 3) AS mean_cup_false,
 round_even(stddev_pop(confidence) FILTER (WHERE predicted <> actual), 3) AS std_cup_false
-FROM pred GROUP BY predicted""",
+FROM c LEFT JOIN pred ON predicted = target GROUP BY target""",
         "confusion": f"WITH {_PRED}, {_confusion_sql('pred', LABELS[:8], LABELS[:6])} SELECT predicted, actual, n, percent, cup FROM conf",
         "confusion_cells": f"""WITH {_PRED}, {_confusion_sql('pred', LABELS, LABELS)}
 SELECT 9 - CAST(predicted AS BIGINT) AS row_index, 9 - CAST(actual AS BIGINT) AS column_index,
@@ -829,3 +863,6 @@ SELECT label, {_r6('cx', 'center_x')}, {_r6('cy', 'center_y')}, {_r6('vx', 'var_
 {_r6('r', 'pearson')}, {_r6('sqrt(1 + r)', 'radius_x')}, {_r6('sqrt(1 - r)', 'radius_y')}, {_r6('sqrt(vx)', 'scale_x')},
 {_r6('sqrt(vy)', 'scale_y')} FROM e""",
     }
+    for name in ("signal_positions_cells", "spike_features_blocks", "spectrum_grid", "nearest_spike_cells", "spike_neighbours_cells"):
+        sql[name] = sql[name.rpartition("_")[0]]
+    return sql

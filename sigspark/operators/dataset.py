@@ -73,7 +73,7 @@ def shuffle_hash(row_id: str, seed: object) -> Column:
 
 
 def _split_marks(dataset: DataFrame, ratio: float, seed: object, row_id: str, on: str) -> DataFrame:
-    """Per label, the last (hash, row id) that still belongs to the train side.
+    """Per label, the last (hash, row id) that still belongs to the train side, and how many rows of it do.
 
     Hash cells are counted per label; only the rows of the one cell that holds the boundary are ranked.
     """
@@ -89,9 +89,11 @@ def _split_marks(dataset: DataFrame, ratio: float, seed: object, row_id: str, on
         .select("_label", "_cell", (F.col("_take") - F.col("_through") + F.col("_rows")).alias("_left"))
     )
     inside = rows.join(small_side(placed), ["_label", "_cell"])
-    rank = F.row_number().over(label.orderBy("_h", "_id"))
-    marks = inside.withColumn("_rank", rank).where(F.col("_rank") == F.col("_left"))
-    return small_side(marks.select("_label", F.struct("_h", "_id").alias("_mark")))
+    order = label.orderBy("_h", "_id")
+    ranked = inside.withColumn("_rank", F.row_number().over(order)).withColumn("_first", F.rank().over(order))
+    marks = ranked.where(F.col("_rank") == F.col("_left"))
+    ties = (F.col("_left") - F.col("_first") + 1).alias("_ties")
+    return small_side(marks.select("_label", F.struct("_h", "_id").alias("_mark"), ties))
 
 
 def split(
@@ -100,18 +102,26 @@ def split(
     """Train and test rows: exactly floor(ratio * n) of every label train, chosen by a seeded hash of the row id.
 
     The rows themselves are not shuffled: each is compared with its label's boundary, a table of one row per label.
+    Only rows that share the boundary's id are ordered among themselves, by their content. Rows without a label are test.
     """
     if not 0 < ratio < 1:
         raise ValueError("ratio must be between 0 and 1")
     marks = _split_marks(dataset, ratio, seed, row_id, on)
     here = F.struct(shuffle_hash(row_id, seed).alias("_h"), F.col(row_id).alias("_id"))
     joined = dataset.join(marks.withColumnRenamed("_label", on), on, "left")
-    train = F.coalesce(here <= F.col("_mark"), F.lit(False))
-    return joined.where(train).select(*dataset.columns), joined.where(~train).select(*dataset.columns)
+    train = F.coalesce(here < F.col("_mark"), F.lit(False))
+    at_mark = F.coalesce(here == F.col("_mark"), F.lit(False))
+    place = F.row_number().over(Window.partitionBy(on).orderBy(F.xxhash64(*dataset.columns)))
+    tied = joined.where(at_mark).withColumn("_place", place)
+    names = dataset.columns
+    return (
+        joined.where(train).select(*names).union(tied.where(F.col("_place") <= F.col("_ties")).select(*names)),
+        joined.where(~train & ~at_mark).select(*names).union(tied.where(F.col("_place") > F.col("_ties")).select(*names)),
+    )
 
 
 def assign_folds(dataset: DataFrame, k: int, seed: object = 0, row_id: str = "row_id", on: str = "label") -> DataFrame:
-    """Add ``fold`` 0..k-1, dealt out evenly within every label in hash order."""
+    """Add ``fold`` 0..k-1, dealt out evenly within every label in hash order; rows without a label are a label's."""
     hashed = dataset.withColumn("_h", shuffle_hash(row_id, seed))
     ranked = rank_by_hash(hashed, [on], "_h", row_id, "_place")
     return ranked.withColumn("fold", (F.col("_place") % k).cast("int")).drop("_h", "_place")

@@ -167,7 +167,11 @@ def zero_phase(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
 def apply_filters(
     signal: DataFrame, chain: Sequence[Filter], block: int | None = None, longest: int | None = None
 ) -> DataFrame:
-    """Apply filters in sequence to every series, in one shuffle. ``longest``: largest series length, if known."""
+    """Apply filters in sequence to every series, in one shuffle. ``longest``: largest series length, if known.
+
+    A null or NaN sample would reach the whole series through the recursion: it raises an error, whatever the blocks.
+    Drop or fill such samples before.
+    """
     if not chain:
         return signal
     margin = sum(settling(f) for f in chain)
@@ -185,6 +189,8 @@ def apply_filters(
         out = []
         for x, lo, count in zip(values, skip, keep):
             y = np.asarray(x, dtype=float)
+            if np.isnan(y).any():
+                raise ValueError("a series to be filtered holds a null or NaN sample: drop or fill it before")
             for kernel in kernels:
                 y = zero_phase(kernel, y)
             out.append(y[lo : lo + count])

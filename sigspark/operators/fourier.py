@@ -18,7 +18,7 @@ from sigspark.operators.blocks import collect_in_order
 from sigspark.operators.scale import freeze
 from sigspark.operators.signal import series_keys
 
-DIRECT_SAMPLES = 1 << 22
+DIRECT_SAMPLES = 1 << 18
 _TASK_CELLS = 1 << 20
 _REALS = T.ArrayType(T.DoubleType())
 _TILES = T.ArrayType(_REALS)

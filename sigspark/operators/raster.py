@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigspark.operators.scale import dense_ranks, small_side, with_cells
+from sigspark.operators.scale import dense_ranks, evened, join_keys, ROWS_PER_CELL, small_side, with_cells
 
 NUMERIC_COLOURS = ("peak_value", "min_value", "max_value", "slope", "extrema_ratio")
 _CELL = ["column_id", "_cell"]
@@ -92,6 +92,8 @@ def nearest_spike(points: DataFrame, spikes: DataFrame, rows_per_cell: int | Non
     asked = points.select("column_id", F.col("x").cast("long").alias("_pos")).distinct()
     both = sites.select("column_id", "_pos", "_key").unionByName(asked.withColumn("_key", F.lit(None).cast("string")))
     celled, single = with_cells(both, ["column_id"], F.col("_pos"), "_n", rows_per_cell)
+    if not single:
+        celled, _ = evened(celled, ["column_id"], ["_pos", "_key"], rows_per_cell or ROWS_PER_CELL)
 
     site = F.when(F.col("_key").isNotNull(), F.struct("_pos", "_key"))
     order = Window.partitionBy(*_CELL).orderBy("_pos", F.col("_key").isNull())
@@ -100,7 +102,7 @@ def nearest_spike(points: DataFrame, spikes: DataFrame, rows_per_cell: int | Non
     found = celled.withColumn("_before", before).withColumn("_after", after)
     if not single:
         found = (
-            found.join(_beside(celled, site), _CELL)
+            join_keys(found, _beside(celled, site), _CELL)
             .withColumn("_before", F.coalesce("_before", "_cell_before"))
             .withColumn("_after", F.coalesce("_after", "_cell_after"))
         )
@@ -121,6 +123,8 @@ def neighbours(spikes: DataFrame, rows_per_cell: int | None = None) -> DataFrame
     """Each spike's next and previous spike on its channel; at the ends, the spike itself."""
     rows = spikes.select("column_id", "key", F.col("peak_idx").alias("_pos"))
     celled, single = with_cells(rows, ["column_id"], F.col("_pos"), "_n", rows_per_cell)
+    if not single:
+        celled, _ = evened(celled, ["column_id"], ["_pos", "key"], rows_per_cell or ROWS_PER_CELL)
     site = F.struct(F.col("_pos"), F.col("key").alias("_key"))
     order = Window.partitionBy(*_CELL).orderBy("_pos", "key")
     found = celled.withColumn("_next", F.lead(site).over(order)).withColumn("_prev", F.lag(site).over(order))
@@ -131,7 +135,7 @@ def neighbours(spikes: DataFrame, rows_per_cell: int | None = None) -> DataFrame
             *_CELL, F.lead("_first").over(by_cell).alias("_cell_next"), F.lag("_last").over(by_cell).alias("_cell_prev")
         )
         found = (
-            found.join(small_side(edges), _CELL)
+            join_keys(found, small_side(edges), _CELL)
             .withColumn("_next", F.coalesce("_next", "_cell_next"))
             .withColumn("_prev", F.coalesce("_prev", "_cell_prev"))
         )

@@ -58,6 +58,15 @@ def small_side_and_max(df: DataFrame, column: str | None = None) -> tuple[DataFr
     return (F.broadcast(frozen) if rows <= BROADCAST_ROWS else frozen), top
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` in which a null key meets a null key, so no row is lost."""
+    other = {k: f"_key{i}" for i, k in enumerate(keys)}
+    same = F.lit(True)
+    for k, name in other.items():
+        same = same & F.col(k).eqNullSafe(F.col(name))
+    return left.join(right.withColumnsRenamed(other), same).drop(*other.values())
+
+
 def _offsets(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     before = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     return cells.select(*keys, "_cell", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
@@ -68,17 +77,21 @@ def with_cells(
 ) -> tuple[DataFrame, bool]:
     """Add the key's row count and ``_cell``; also tell whether every key fits one cell.
 
-    Keys larger than ``rows_per_cell`` are cut into equal-width ranges of ``lead``, which must be numeric.
+    Keys larger than ``rows_per_cell`` are cut into equal-width ranges of ``lead``, which must be numeric. Rows whose
+    ``lead`` is null have the first cell to themselves, those with NaN the last, as a sort puts them. A null key is a key.
     """
     limit = ROWS_PER_CELL if rows_per_cell is None else rows_per_cell
     x = lead.cast("double")
-    summary = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    known = F.when(~F.isnan(x), x)
+    summary = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(total), F.min(known).alias("_lo"), F.max(known).alias("_hi"))
     stats, longest = small_side_and_max(summary, total)
-    joined = df.join(stats, list(keys))
+    joined = join_keys(df, stats, keys)
     if longest <= limit:
         return joined.withColumn("_cell", F.lit(0).cast("long")).drop("_lo", "_hi"), True
     share = (x - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * F.ceil(F.col(total) / limit))).otherwise(0)
+    cells = F.ceil(F.col(total) / limit)
+    inside = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * cells)).otherwise(0)
+    cell = F.when(x.isNull(), -1).when(F.isnan(x), cells + 1).otherwise(inside)
     return joined.withColumn("_cell", cell.cast("long")).drop("_lo", "_hi"), False
 
 
@@ -99,14 +112,22 @@ def with_position(
     if single:
         rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return celled.withColumn(position, rank.cast("long") - 1).drop("_cell")
+    celled, sizes = evened(celled, keys, order, limit)
+    return _shift(celled, sizes, keys, order, position)
+
+
+def evened(celled: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with cells that hold about ``limit`` of them, and the cells' sizes.
+
+    Where equal widths do not fit the values (an outlier, or many ties), cells become sampled ranges of the whole order.
+    """
     sizes, largest = small_side_and_max(_cell_sizes(celled, keys), "_rows")
     if largest > _LOPSIDED * limit:
-        # Equal widths do not fit these values (an outlier, or many ties): cut by sampled ranges of the whole order.
         ranges = math.ceil(sizes.agg(F.sum("_rows")).first()[0] / limit)
         ranged = celled.repartitionByRange(ranges, *keys, *order)
         celled = freeze(ranged.withColumn("_cell", F.spark_partition_id().cast("long")))
         sizes = small_side(_cell_sizes(celled, keys))
-    return _shift(celled, sizes, keys, order, position)
+    return celled, sizes
 
 
 def _cell_sizes(celled: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -118,8 +139,7 @@ def _shift(celled: DataFrame, sizes: DataFrame, keys: Sequence[str], order: Sequ
     group = [*keys, "_cell"]
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long") - 1
     return (
-        celled.withColumn("_rank", rank)
-        .join(_offsets(sizes, keys), group)
+        join_keys(celled.withColumn("_rank", rank), _offsets(sizes, keys), group)
         .withColumn(position, F.col("_before") + F.col("_rank"))
         .drop("_cell", "_rank", "_before")
     )
