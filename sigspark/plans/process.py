@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
+import re
 import secrets
-import string
 import time
 from collections.abc import Sequence
 
@@ -63,33 +65,23 @@ def process_files(spark: SparkSession, paths: Sequence[str], cfg: ProcessConfig)
     return process_to_dataset(signal, cfg) if cfg.dataset else process(signal, cfg)
 
 
+# Settings that name a run rather than change its result.
+_NAMING = ("file_name", "keyword", "random_key", "timestamp")
+
+
 def run_name(cfg: ProcessConfig) -> str:
-    """Base name of a run's output, spelled from its settings."""
-    parts = []
-    if cfg.file_name is not None:
-        parts.append(cfg.file_name)
-    else:
-        if cfg.top_channels:
-            parts.append(f"SelMaximumStandard deviation{cfg.top_channels}")
-        if cfg.segments:
-            parts.append(f"Ds{cfg.segments}")
-        if cfg.filter_type:
-            first, second = (*cfg.cuts, "", "")[:2]
-            freq, nth = cfg.harmonic_freq or "", cfg.harmonic_nth or ""
-            mode = cfg.harmonic_mode if cfg.harmonic_freq else "None"
-            parts.append(f"O{cfg.filter_order}{cfg.filter_type.capitalize()}{first}-{second}H{mode}{freq}-{nth}")
-        if cfg.fft:
-            parts.append("signal fft")
-        if cfg.average:
-            parts.append("avg")
-        if cfg.shrink:
-            parts.append(f"Sm{cfg.shrink}")
-    if cfg.random_key:
-        parts.append("".join(secrets.choice(string.ascii_letters + string.digits) for _ in range(6)))
-    if cfg.keyword:
-        parts.append(cfg.keyword)
+    """Folder name of a run's output: the settings that differ from their defaults, and a digest of all of them.
+
+    Equal settings give equal names, unless ``timestamp`` or ``random_key`` ask for more. ``file_name`` stands for the listed settings, ``keyword`` is put before them.
+    Characters that a path cannot hold everywhere become ``-``.
+    """
+    settings = {f.name: getattr(cfg, f.name) for f in dataclasses.fields(cfg) if f.name not in _NAMING}
+    plain = ProcessConfig()
+    changed = [f"{k}={v}" for k, v in settings.items() if v != getattr(plain, k) and not isinstance(v, (dict, list, tuple))]
+    digest = hashlib.sha256(repr(sorted(settings.items())).encode()).hexdigest()[:10]
+    parts = [cfg.keyword, cfg.file_name or ",".join(changed) or "plain", digest]
     if cfg.timestamp:
-        parts.append(time.strftime("%Y-%m-%d-%H-%M"))
-    if not (cfg.random_key or cfg.keyword or cfg.timestamp or cfg.file_name is not None):
-        parts.append("processed")
-    return "_".join(parts)
+        parts.append(time.strftime("%Y%m%dT%H%M%S"))
+    if cfg.random_key:
+        parts.append(secrets.token_hex(4))
+    return "__".join(re.sub(r"[^\w=.,+-]", "-", str(p)) for p in parts if p)

@@ -258,10 +258,12 @@ def test_process_without_steps(noise):
 
 
 def test_run_name():
-    cfg = ProcessConfig(top_channels=35, segments=20, filter_type="lowpass", cuts=(50,), fs=1e4, fft=True, average=True, shrink=1000)
-    assert run_name(cfg) == "SelMaximumStandard deviation35_Ds20_O3Lowpass50-HNone-_signal fft_avg_Sm1000_processed"
-    assert run_name(ProcessConfig(file_name="x", keyword="k")) == "x_k"
-    assert len(run_name(ProcessConfig(random_key=True))) == 6
+    cfg = ProcessConfig(top_channels=35, segments=20, keyword="a/b")
+    name = run_name(cfg)
+    assert name.startswith("a-b__") and "top_channels=35" in name and "segments=20" in name
+    assert name == run_name(ProcessConfig(top_channels=35, segments=20, keyword="a/b"))
+    assert name != run_name(ProcessConfig(top_channels=35, segments=21, keyword="a/b"))
+    assert run_name(ProcessConfig(file_name="x")).startswith("x__") and run_name(ProcessConfig()).startswith("plain__")
 
 
 @pytest.mark.parametrize("bad", [
