@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from sigspark.llm import bpe, decontaminate, jaccard, language, pii
 from sigspark.llm.queries import PII_KEY, VOCABULARY
-from sigspark.llm.tables import freeze, read, remainder
+from sigspark.llm.tables import bounded_batches, freeze, read, remainder
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in an identified language; those without any letter go. Learns from the documents it is given."""
+    bounded_batches(spark)
     return language.keep_identified(docs, remainder("doc_id", 5) != 0)
 
 
@@ -25,6 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows that repeat a doc_id are one document, of which the first in order of its columns stays. Rows without a
     doc_id, and texts without words, have no duplicates.
     """
+    bounded_batches(spark)
     groups = jaccard.jaccard_components(docs, size=5, percent=80)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
@@ -35,17 +37,20 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    bounded_batches(spark)
     return decontaminate.keep_clean(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced in ``text`` and ``n_chars`` counted anew."""
+    bounded_batches(spark)
     hidden = pii.with_pseudonyms(docs, PII_KEY)
     return hidden.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document and their digests."""
+    bounded_batches(spark)
     return bpe.encode_documents(docs, VOCABULARY, public_tokenizers.PATTERN)
 
 

@@ -16,7 +16,6 @@ import functools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -205,15 +204,14 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", tex
     for items in _blocks(benchmark, item, text):
         packed = docs.sparkSession.sparkContext.broadcast(tuple(items))
 
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series) -> pd.Series:
+        def clean(batches, packed=packed):
             index = _index(packed.value, retrieve)
-            batch = pa.record_batch({"text": pa.array(texts, pa.string())})
-            bad = np.zeros(len(texts), bool)
-            for first, end in rows_of(batch, 512):
-                for row, *_ in index.leaks(batch.column("text").slice(first, end - first)):
-                    bad[first + row] = True
-            return pd.Series(~bad)
-
-        docs = docs.where(clean(F.col("text").cast("string")))
+            for batch in batches:
+                for first, end in rows_of(batch, 512):
+                    part = batch.slice(first, end - first)
+                    good = np.ones(len(part), bool)
+                    good[[row for row, *_ in index.leaks(part.column("text"))]] = False
+                    yield part.filter(pa.array(good))
+
+        docs = docs.mapInArrow(clean, docs.schema)
     return docs

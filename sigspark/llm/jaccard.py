@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 
 from sigspark.llm import words as wd
 from sigspark.llm.components import components
-from sigspark.llm.tables import freeze, in_batches, rows_of
+from sigspark.llm.tables import drop, freeze, in_batches, rows_of, store
 
-# Counters of the word frequency sketch. A fixed size: its 2^18 levels of one byte are sent to every task.
-SKETCH_BITS = 18
+# Counters of the word frequency sketch. A fixed size: its 2^20 levels of one byte are sent to every task.
+SKETCH_BITS = 20
 # A shingle's code: its level in the upper bits, so that codes sort from rare to frequent, and the rest of its hash.
 _LEVEL_BITS = 6
+# Bits of the sketch that tells which texts are needed for exact intersections. A fixed size of one megabyte.
+_MARK_BITS = 23
 # Members of one meeting place that one task compares; larger places are cut into pairs of tiles.
 TILE = 512
 _LEAST_BITS, _MOST_BITS = 256, 1 << 14
@@ -98,7 +100,7 @@ def _bitmap(shingles: np.ndarray) -> bytes:
 
 
 def shingle_sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """``doc_id, n, key, prefix, bitmap`` of each document; equal sets have equal keys. Written to the shared folder."""
+    """``doc_id, n, key, prefix, bitmap`` of each document; equal sets have equal keys."""
 
     def summarise(batches):
         for part, sets in _sets(batches, size, levels):
@@ -116,7 +118,7 @@ def shingle_sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -
             }
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return freeze(in_batches(source, summarise, "doc_id long, n long, key long, prefix array<long>, bitmap binary"))
+    return in_batches(source, summarise, "doc_id long, n long, key long, prefix array<long>, bitmap binary")
 
 
 def _near(a, b, percent: int):
@@ -186,20 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = freeze(sets.join(needed, "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
 
-    # a repeated doc_id may carry other texts than its class: the set's own key tells them apart
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def of_class(batches):
-        for part, found in _sets(batches, size, levels):
-            keys = wd.signed(np.array([_key(s) for s in found], np.uint64))
-            right = np.flatnonzero(keys == part.column("key").to_numpy())
-            found = [found[i] for i in right]
-            ends = np.cumsum([0, *map(len, found)])
-            yield {"key": keys[right], "members": pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(wd.signed(np.concatenate([*found, np.zeros(0, np.uint64)]))))}
-
-    members = freeze(in_batches(texts.join(wanted, "doc_id"), of_class, "key long, members array<long>")
-                     .dropDuplicates(["key"]))
+    members = freeze(_members(docs, wanted, size, levels))
     both = (
         pairs.join(members.select(F.col("key").alias("a"), F.col("members").alias("of_a")), "a")
         .join(members.select(F.col("key").alias("b"), F.col("members").alias("of_b")), "b")
@@ -218,6 +207,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, per
     return in_batches(both, linked, "a long, b long")
 
 
+def _members(docs: DataFrame, wanted: DataFrame, size: int, levels: np.ndarray) -> DataFrame:
+    """``key, members`` of the classes in ``wanted`` (``key, doc_id``), from their texts.
+
+    A sketch of the wanted ids decides where shingles are made, so texts are neither shuffled nor made into shingles in
+    vain. It may let others through; the join drops them. A repeated doc_id may carry other texts than its class: the
+    set's key tells them apart.
+    """
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(1 << _MARK_BITS))
+    rows = wanted.select(spot.alias("spot")).groupBy(F.floor(F.col("spot") / 32).cast("int").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(spot % 32 AS INT))")).alias("bits")).collect()
+    marks = np.zeros(1 << _MARK_BITS >> 5, np.int64)
+    marks[[r["word"] for r in rows]] = [r["bits"] for r in rows]
+    packed = docs.sparkSession.sparkContext.broadcast(marks.astype(np.uint32))
+
+    def make(batches):
+        marks = packed.value
+        for batch in batches:
+            spots = batch.column("spot").to_numpy()
+            good = marks[spots >> 5] >> (spots & 31).astype(np.uint32) & np.uint32(1)
+            for part, found in _sets([batch.filter(pa.array(good == 1))], size, levels):
+                ends = np.cumsum([0, *map(len, found)])
+                yield {"doc_id": part.column("doc_id"), "key": wd.signed(np.array([_key(s) for s in found], np.uint64)),
+                       "members": pa.ListArray.from_arrays(
+                           pa.array(ends, pa.int32()), pa.array(wd.signed(np.concatenate([*found, np.zeros(0, np.uint64)]))))}
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.where("doc_id IS NOT NULL").withColumn("spot", spot)
+    made = in_batches(texts, make, "doc_id long, key long, members array<long>")
+    return made.join(wanted, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "members")
+
+
 def _tiled(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Class pairs of one meeting place and different components whose signatures allow the threshold."""
     rows = shared.join(sets.select("key", "bitmap"), "key")
@@ -306,25 +326,30 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     has a null component_id. An empty table gives an empty result.
     """
     levels = word_levels(docs)
-    sets = shingle_sets(docs, size, percent, levels)
+    whole, path = store(shingle_sets(docs, size, percent, levels))
     classes = freeze(
-        sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("key")
+        whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
              F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     )
-    meeting = classes.select("key", "n", "copies", F.posexplode("prefix").alias("pos", "h"))
-    places = meeting.groupBy("h").agg(
-        F.count(F.lit(1)).alias("met"), F.max(F.struct("copies", "key")).alias("most"),
-        F.min(F.struct("n", "key")).alias("least")).where("met > 1")
-    shared = freeze(meeting.join(places, "h").select("h", "key", "n", "pos", "met", "most", "least"))
-    leaders = shared.groupBy("key").agg(F.max("most").alias("most"),
-                                        F.min("least").alias("least"))
+    sets = freeze(whole.select("doc_id", "n", "key"))
+    drop(docs.sparkSession, path)
+    meeting = classes.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
+    places = meeting.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    shared, path = store(meeting.join(places, "h").select("h", "key", "n", "pos", "met"))
+    ranked = shared.select("h", "key", "n").join(classes.where("copies > 1").select("key", "copies"), "key", "left")
+    leads = ranked.groupBy("h").agg(F.max(F.struct(F.coalesce("copies", F.lit(1)).alias("copies"), "key")).alias("most"),
+                                    F.min(F.struct("n", "key")).alias("least"))
+    leaders = shared.select("h", "key").join(leads, "h").groupBy("key").agg(
+        F.max("most").alias("most"), F.min("least").alias("least"))
     first = leaders.select("key", F.explode(F.array("most.key", "least.key")).alias("lead")).where("key <> lead").select(
         F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
     links = freeze(_verified(first, classes, docs, size, percent, levels, checked=False))
     joined = components(links)
-    shared = freeze(shared.select("h", "key", "n", "pos", "met").join(
-        joined.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key")))
+    known = freeze(shared.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn(
+        "component", F.coalesce("component", "key")))
+    drop(docs.sparkSession, path)
+    shared = known
     mixed = shared.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     rest = _tiled(shared.join(mixed.select("h"), "h"), classes, percent)
     more = _verified(rest, classes, docs, size, percent, levels, checked=True)

@@ -11,7 +11,6 @@ import functools
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,8 +176,10 @@ def keep_identified(docs: DataFrame, train: Column, most: int = PROFILE) -> Data
     """
     judge = _judge(learn_profiles(docs.where(train), most=most), most)
 
-    @F.pandas_udf("string")
-    def language(texts: pd.Series) -> pd.Series:
-        return pd.Series([judge(t)[0] for t in texts], dtype=object)
+    def keep(batches):
+        for batch in batches:
+            for first, end in rows_of(batch, 512):
+                part = batch.slice(first, end - first)
+                yield part.filter(pa.array([judge(t)[0] != "und" for t in part.column("text").to_pylist()], pa.bool_()))
 
-    return docs.where(language(F.col("text").cast("string")) != "und")
+    return docs.mapInArrow(keep, docs.schema)

@@ -13,11 +13,11 @@ import functools
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.tables import in_batches
+from sigspark.llm.tables import in_batches, rows_of
 
 _ROUNDS = 10
 #: Dates outside are left alone: they are rarely about a living person.
@@ -245,8 +245,12 @@ def pseudonymized(docs: DataFrame, key: bytes) -> DataFrame:
 def with_pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` with all its columns, ``text`` replaced by its pseudonymised form."""
 
-    @F.pandas_udf("string")
-    def hidden(texts: pd.Series) -> pd.Series:
-        return pd.Series([pseudonymize(t, key)[0] for t in texts], dtype=object)
+    def hide(batches):
+        for batch in batches:
+            for first, end in rows_of(batch, 512):
+                part = batch.slice(first, end - first)
+                texts = [pseudonymize(t, key)[0] for t in part.column("text").to_pylist()]
+                place = part.schema.get_field_index("text")
+                yield part.set_column(place, "text", pa.array(texts, part.schema.field(place).type))
 
-    return docs.withColumn("text", hidden(F.col("text").cast("string")))
+    return docs.mapInArrow(hide, docs.schema)

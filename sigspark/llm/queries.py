@@ -8,14 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, decontaminate, embeddings, html, jaccard, language, pii, recurrent, toxicity, warc
-from sigspark.llm.tables import read, remainder
+from sigspark.llm import bpe, decontaminate, embeddings, html, jaccard, language, pii, recurrent, tables, toxicity, warc
+from sigspark.llm.tables import bounded_batches, remainder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Replace in production; whoever holds it can undo the pseudonyms.
 PII_KEY = b"replace me"
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
+    return tables.read(spark, sf_dir, name)
+
+
 def _held_out(divisor: int, value: int):
     return remainder("doc_id", divisor) == value
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -9,15 +10,36 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.operators.scale import freeze
+from sigspark.operators.scale import freeze, shared_dir
 
-__all__ = ["freeze", "in_batches", "read", "remainder", "remainder_of", "rows_of"]
+__all__ = ["bounded_batches", "drop", "freeze", "in_batches", "read", "remainder", "remainder_of", "rows_of", "store"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let a Python worker get 1000 rows at a time: with whole documents, Spark's 10000 are hundreds of megabytes.
+
+    A setting of the session, read when a query runs; for applications, not called by the operators.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """``freeze`` that also tells the table's path, for ``drop`` once every table made from it is written."""
+    path = f"{shared_dir(df.sparkSession)}/sigspark/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``store`` wrote."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of the decimal id modulo ``divisor``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
