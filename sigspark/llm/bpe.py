@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from sigspark.llm.tables import in_batches
 
 #: Entries of the memories of a task; when full they start anew.
-REMEMBERED_FITS = 1 << 20
-REMEMBERED_SEGMENTS = 1 << 18
+REMEMBERED_FITS = 1 << 18
+REMEMBERED_SEGMENTS = 1 << 17
 
 _NEVER = 1 << 60
 
@@ -220,6 +220,10 @@ class Vocabulary:
             self._segments[segment] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty the memories, so that a worker which goes on to other work does not hold them."""
+        self._fits, self._segments, self._older = {}, {}, {}
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -262,6 +266,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                     for column in out.values():
                         column.clear()
             yield taken()
+        vocabulary.forget()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = "ids array<int>, " if with_ids else ""
