@@ -20,11 +20,13 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Let a Python worker get 1000 rows at a time: with whole documents, Spark's 10000 are hundreds of megabytes.
+    """Let a Python worker get 1000 rows and 8 MB at a time: Spark's 10000 and 64 MB are held on both sides of the pipe,
+    and a row can be a whole document or all its shingles. A longer row is a batch of its own.
 
-    A setting of the session, read when a query runs; for applications, not called by the operators.
+    Settings of the session, read when a query runs; for applications, not called by the operators.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def store(df: DataFrame) -> tuple[DataFrame, str]:
@@ -62,6 +64,8 @@ def in_batches(df: DataFrame, step, schema: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [c if isinstance(c, pa.Array) else pa.array(c, type=t) for c, t in
                  ((columns[f.name], f.type) for f in target)], schema=target)
+        # idle workers live on: give back what this task took
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, fields)
 
