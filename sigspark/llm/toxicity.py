@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the words that tell the labels apart in a bounded sample of the labelled rows, in which copies of one text
-count once. Examples are the sample's rows that have a term; similar ones stand in one block. For a text, the terms' largest weights in each block bound the
-cosine of all its examples, blocks are opened from the highest bound on, and the search ends when no block left can
-hold a nearer example than the k found: the neighbours are exact. Their votes are weighted by nearness and by how many
-labelled rows each example stands for, and pulled towards the rate of texts without any term.
+Terms are all words of a bounded sample of the labelled rows, in which copies of one text count once. A term's idf is
+multiplied by how far the labels' rates of it are apart, smoothed so that the number of rows does not matter; no word
+has the factor 0. Examples are the sample's rows that have a term; similar ones stand in one block. For a text, the
+terms' largest weights in each block bound the cosine of all its examples, blocks are opened from the highest bound on,
+and the search ends when no block left can hold a nearer example than the k found: the neighbours are exact. Their votes
+are weighted by nearness and by how many labelled rows each example stands for, and pulled towards the rate of texts
+without any term.
 """
 
 from __future__ import annotations
@@ -19,13 +21,14 @@ from pyspark.sql import functions as F
 from sigspark.llm import words as wd
 from sigspark.llm.tables import freeze, in_batches, rows_of
 
-#: Terms, least labelled rows with a term, and the chi-square that a term needs.
-TERMS, LEAST_ROWS, CHI_SQUARE = 4096, 4, 30.0
+#: Added to the distance of the labels' rates of a term, so that words common to both count too.
+LEAST_APART = 0.01
 #: Labelled rows of each class that the model is fitted on, at most; of them, examples of each class in the index.
 SAMPLE, EXAMPLES = 16_384, 4096
 #: Neighbours that vote.
 NEIGHBOURS = 15
-_BLOCK = 64
+#: Examples in a block; blocks opened before the bounds are looked at again.
+_BLOCK, _ROUNDS = 64, (4, 16)
 
 
 def _terms(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -36,18 +39,32 @@ def _terms(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.n
     return np.unique(at[vocabulary[at] == hashes], return_counts=True)
 
 
-def _vector(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    weights = (1 + np.log(counts)) * idf[terms]
+def factors(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Factor of each term found in ``pos`` and ``neg`` of ``n_pos`` and ``n_neg`` rows: idf times the distance of the
+    smoothed rates p and q, (p - q) log(p / q) + LEAST_APART."""
+    p, q = (pos + 0.5) / (n_pos + 1), (neg + 0.5) / (n_neg + 1)
+    return np.log1p((n_pos + n_neg) / (pos + neg)) * ((p - q) * np.log(p / q) + LEAST_APART)
+
+
+def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range that each is of."""
+    size = end - first
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (first - np.cumsum(size) + size)[of], of
+
+
+def _vector(terms: np.ndarray, counts: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    weights = (1 + np.log(counts)) * factor[terms]
     norm = np.sqrt((weights * weights).sum())
     return weights / norm if norm else weights
 
 
 @dataclass
 class Model:
-    """Vocabulary, examples and rates; its size is bounded by TERMS and EXAMPLES."""
+    """Vocabulary, examples and rates; its size is bounded by the words of SAMPLE and EXAMPLES rows."""
 
     vocabulary: np.ndarray
-    idf: np.ndarray
+    factor: np.ndarray
     ids: list
     labels: np.ndarray
     weights: np.ndarray
@@ -62,33 +79,48 @@ class Model:
         self.ids = [self.ids[i] for i in order]
         self.labels, self.weights = self.labels[order], self.weights[order]
         self.rows = [self.rows[i] for i in order]
-        count = -(-len(order) // _BLOCK)
-        self.most = np.zeros((len(self.vocabulary), count))
-        self.blocks = []
-        for b in range(count):
-            rows = self.rows[b * _BLOCK : (b + 1) * _BLOCK]
-            terms = np.unique(np.concatenate([t for t, _ in rows]))
-            own = np.zeros((len(terms), len(rows)))
-            for j, (t, w) in enumerate(rows):
-                own[np.searchsorted(terms, t), j] = w
-            self.most[terms, b] = own.max(axis=1)
-            self.blocks.append((terms, own))
+        self.blocks = -(-len(order) // _BLOCK)
+        # postings by term and example; a run is those of a term in a block
+        row = np.repeat(np.arange(len(order)), [len(t) for t, _ in self.rows])
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.rows)])
+        by_term = np.argsort(term, kind="stable")
+        term, row = term[by_term], row[by_term]
+        self.post_row = row.astype(np.int32)
+        self.post_weight = np.concatenate([np.zeros(0), *(w for _, w in self.rows)])[by_term]
+        block = row // _BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        new = np.flatnonzero(new)
+        self.run_first, self.run_block = np.append(new, len(term)), block[new]
+        self.run_most = np.maximum.reduceat(self.post_weight, new) if len(new) else np.zeros(0)
+        self.term_first = np.searchsorted(term[new], np.arange(len(self.vocabulary) + 1))
+
+    def __getstate__(self):
+        # tasks need the postings only
+        return {**self.__dict__, "rows": []}
 
     def nearest(self, terms: np.ndarray, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Examples of largest cosine above 0, nearest first, ties by their place in the index; and the cosines."""
-        bounds = vector @ self.most[terms] if len(terms) else np.zeros(0)
+        runs, of = _spread(self.term_first[terms], self.term_first[terms + 1])
+        blocks = self.run_block[runs]
+        bounds = np.bincount(blocks, self.run_most[runs] * vector[of], minlength=self.blocks)
+        order = np.argsort(-bounds, kind="stable")
         found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(found) >= self.neighbours and bounds[b] < least - 1e-12:
+        for first, end in zip((0, *_ROUNDS), (*_ROUNDS, self.blocks)):
+            opened = np.zeros(self.blocks, bool)
+            opened[order[first:end]] = True
+            opened &= (bounds > 0) & (bounds >= least - 1e-12)
+            if not opened.any():
                 break
-            own_terms, own = self.blocks[b]
-            at = np.minimum(np.searchsorted(own_terms, terms), len(own_terms) - 1)
-            hit = own_terms[at] == terms
-            near = vector[hit] @ own[at[hit]]
-            found = np.concatenate([found, b * _BLOCK + np.arange(len(near))])
-            cosines = np.concatenate([cosines, near])
+            at = np.flatnonzero(opened[blocks])
+            post, by = _spread(self.run_first[runs[at]], self.run_first[runs[at] + 1])
+            near = np.bincount(self.post_row[post], self.post_weight[post] * vector[of[at]][by])
+            enough = least - 1e-11
+            if len(near) > self.neighbours:
+                enough = max(enough, np.partition(near, -self.neighbours)[-self.neighbours] - 1e-11)
+            new = np.flatnonzero((near >= enough) & (near > 1e-12))
+            found, cosines = np.concatenate([found, new]), np.concatenate([cosines, near[new]])
             keep = np.lexsort((found, -np.round(cosines, 12)))[: self.neighbours]
-            keep = keep[cosines[keep] > 1e-12]
             found, cosines = found[keep], cosines[keep]
             least = cosines[-1] if len(found) >= self.neighbours else 0.0
         return found, cosines
@@ -96,7 +128,7 @@ class Model:
     def score(self, hashes: np.ndarray) -> tuple[float, list]:
         """Probability of label 1, and the nearest examples as ``(doc_id, label, cosine)``."""
         terms, counts = _terms(hashes, self.vocabulary)
-        found, cosines = self.nearest(terms, _vector(terms, counts, self.idf))
+        found, cosines = self.nearest(terms, _vector(terms, counts, self.factor))
         if not len(found):
             return self.rate_without, []
         votes = self.weights[found] * cosines / (1.05 - np.minimum(cosines, 1.0))
@@ -105,8 +137,8 @@ class Model:
         return value, [(self.ids[i], int(self.labels[i]), float(c)) for i, c in zip(found[:3], cosines[:3])]
 
 
-def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", terms: int = TERMS,
-          sample: int = SAMPLE, examples: int = EXAMPLES) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic", sample: int = SAMPLE,
+          examples: int = EXAMPLES) -> Model:
     """Model from the rows of ``docs`` for which ``train`` holds and that have a label 0 or 1.
 
     Fitted on at most ``sample`` rows of each class, the first in order of a hash of their id; rates and votes are scaled
@@ -157,19 +189,17 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
     n_pos, n_neg = (sums["pos"], sums["neg"]) if sums else (0, 0)
     if not n_pos or not n_neg:
         return nothing
-    n, df = float(n_pos + n_neg), F.col("pos") + F.col("neg")
-    apart = F.col("pos") * float(n_neg) - F.col("neg") * float(n_pos)
-    chi = n * apart * apart / (F.lit(float(n_pos)) * n_neg * df * (n - df + 0.5))
-    chosen = counts.where(F.col("term").isNotNull() & (df >= LEAST_ROWS)).withColumn("chi", chi).where(
-        F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(terms).collect()
-    if not chosen:
+    chosen = counts.where("term IS NOT NULL").toPandas()
+    if not len(chosen):
         return nothing
-    vocabulary = np.array([r["term"] for r in chosen], np.int64).view(np.uint64)
+    vocabulary = chosen["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(vocabulary)
+    factor = factors(chosen["pos"].to_numpy(np.int64)[order], chosen["neg"].to_numpy(np.int64)[order], n_pos, n_neg)
     vocabulary = vocabulary[order]
-    idf = np.log1p(n / np.array([r["pos"] + r["neg"] for r in chosen], float))[order]
+    packed = docs.sparkSession.sparkContext.broadcast((vocabulary, factor))
 
     def vectors(batches):
+        vocabulary, factor = packed.value
         without = [0, 0]
         for batch in batches:
             kinds, ids = batch.column("label").to_numpy(), batch.column("doc_id").to_numpy()
@@ -181,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
                     if not len(own):
                         without[kinds[first + i]] += 1
                         continue
-                    for k, v in zip(out, (ids[first + i], kinds[first + i], own, _vector(own, m, idf), 0)):
+                    for k, v in zip(out, (ids[first + i], kinds[first + i], own, _vector(own, m, factor), 0)):
                         out[k].append(v)
             yield out
         for kind in (0, 1):
@@ -194,15 +224,15 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
     have = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = [
         found.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-        .select("doc_id", "label", "terms", "weights").collect() for kind in (0, 1)
+        .select("doc_id", "label", "terms", "weights").toPandas() for kind in (0, 1)
     ]
-    kept = [r for rows_ in taken for r in rows_]
+    kept = [r for rows_ in taken for r in rows_.to_dict("records")]
     scale = [total[0] / n_neg, total[1] / n_pos]
     share = [scale[kind] * have.get(kind, 0) / max(1, len(taken[kind])) for kind in (0, 1)]
     without = [scale[kind] * bare.get(kind, 0) for kind in (0, 1)]
     rate = (without[1] + base) / (sum(without) + 1)
     return Model(
-        vocabulary, idf, [r["doc_id"] for r in kept], np.array([float(r["label"]) for r in kept]),
+        vocabulary, factor, [int(r["doc_id"]) for r in kept], np.array([float(r["label"]) for r in kept]),
         np.array([share[r["label"]] for r in kept]),
         [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in kept], rate,
     )

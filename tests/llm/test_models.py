@@ -51,6 +51,28 @@ def test_scores_tell_held_out_labels_apart(spark, odd_documents, no_documents):
     assert toxicity.learn(docs, nothing, F.lit(True)).ids == []
 
 
+@pytest.mark.parametrize("times", [1, 10])
+def test_rare_words_of_few_rows_count(spark, times):
+    rng = random.Random(7)
+    docs, labels = [], []
+    for i in range(70 * times):
+        own = rng.choices([f"w{j}" for j in range(300)], k=60)
+        toxic = int(i % 7 == 0)
+        own += ["scum", "moron", "loser"][i // 7 % 3 :][:2] if toxic else []
+        docs.append((i, " ".join(own)))
+        labels.append((i, toxic))
+    docs.append((-1, "w1 w2 w3"))
+    docs, labels = (spark.createDataFrame(x, s) for x, s in ((docs, "doc_id long, text string"), (labels, "doc_id long, toxic int")))
+    train = F.col("doc_id") % 5 != 0
+    model = toxicity.learn(docs, labels, train)
+    texts = docs.join(labels, "doc_id").where(train).collect()
+    assert set(model.vocabulary.tolist()) == {words.hash_of(w) for r in texts for w in r["text"].split()}
+    assert (model.factor > 0).all()
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
+    assert [i for i in got if i >= 0 and i % 5 == 0 and got[i]["predicted"] != int(i % 7 == 0)] == []
+    assert got[-1]["evidence"] and not got[-1]["predicted"]
+
+
 def test_neighbours_are_exact():
     rng = np.random.default_rng(1)
     rows = []
