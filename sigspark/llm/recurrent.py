@@ -5,8 +5,9 @@ class. The model gives the class, then the word within its class; a word of the
 that class's training tokens, with one added to each count and one unseen word, so all words together have the
 probability 1. The state runs through a document from its first word to its end, window after window.
 
-Counts cover all training texts. The network is trained by truncated backpropagation on a bounded sample of them, in
-several tasks from equal weights that are averaged after each round.
+Counts cover all training texts, and so does training: truncated backpropagation passes over each of them at least
+once, in tasks whose number grows with the tokens. They start from equal weights, read their texts as a stream, and their
+weights are averaged after each round, in groups of tasks first.
 """
 
 from __future__ import annotations
@@ -25,13 +26,16 @@ from sigspark.llm.tables import freeze, in_batches, rows_of
 
 #: Words of the shortlist, words of a class, units of the state and of a word's vector.
 SHORTLIST, CLASS, UNITS = 4032, 64, 16
-#: Training tokens of a round (about), tasks of a round, rounds.
-SAMPLE_TOKENS, TRAINERS, ROUNDS = 1_200_000, 6, 2
+#: Rounds. Each takes half of the texts, so that each text is in one; more of them, up to all, below ROUND_TOKENS.
+ROUNDS, ROUND_TOKENS = 2, 1_200_000
+#: Tasks of a round at least, tokens of a task (about), tokens that a task lays out at once, weights added up by a task.
+TRAINERS, TASK_TOKENS, CHUNK, GROUP = 6, 4_000_000, 200_000, 16
 #: Steps that a gradient runs back; lanes of documents side by side; tokens that a task holds at once.
 WINDOW, LANES, HELD = 16, 384, 1_000_000
 #: Most frequent words whose counts go to every task: 16 bytes each. Rarer ones are joined.
 COMMON = 1 << 18
-_STREAMS, _RATE = 48, 0.01
+#: Texts that a trainer reads side by side: more of them if it has many tokens, which takes half the time a token.
+_STREAMS, _STREAM_TOKENS, _RATE = (48, 192), 1024, 0.01
 #: Stands for the end of a text among the words' hashes.
 END = 0x2545F4914F6CDD1D
 
@@ -251,34 +255,52 @@ def train_window(p, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray,
     return -logs.mean(), gradient, h
 
 
-def train_on(p: dict[str, np.ndarray], texts: list[np.ndarray], end: int) -> dict[str, np.ndarray]:
-    """Weights after one pass over texts given as word numbers; ``end`` is the number that closes each."""
-    p = {k: v.copy() for k, v in p.items()}
-    if not texts:
-        return p
-    whole = np.concatenate(texts)
-    begins = np.zeros(len(whole), bool)
-    begins[np.cumsum([0, *map(len, texts[:-1])])] = True
-    length = -(-len(whole) // _STREAMS)
-    whole, begins = np.resize(whole, length * _STREAMS), np.resize(begins, length * _STREAMS)
-    before = np.where(begins, end, np.roll(whole, 1))
-    targets, inputs, fresh = (x.reshape(_STREAMS, length).T for x in (whole, before, begins))
-    fresh = fresh.copy()
-    fresh[0] = True
-    first = {k: np.zeros_like(v) for k, v in p.items()}
-    second = {k: np.zeros_like(v) for k, v in p.items()}
-    h = np.zeros((_STREAMS, UNITS), np.float32)
-    for turn, at in enumerate(range(0, length, WINDOW), 1):
-        _, gradient, h = train_window(p, inputs[at : at + WINDOW], targets[at : at + WINDOW], fresh[at : at + WINDOW], h)
-        norm = math.sqrt(sum(float((g * g).sum()) for g in gradient.values()))
-        clip = min(1.0, 1.0 / max(norm, 1e-9))
-        rate = _RATE * math.sqrt(1 - 0.999**turn) / (1 - 0.9**turn)
-        for k, g in gradient.items():
-            g *= np.float32(clip)
-            first[k] += np.float32(0.1) * (g - first[k])
-            second[k] += np.float32(0.001) * (g * g - second[k])
-            p[k] -= np.float32(rate) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
-    return p
+class Trainer:
+    """Weights on their way through texts given as word numbers; ``end`` is the number that closes each."""
+
+    def __init__(self, p: dict[str, np.ndarray], end: int):
+        self.p = {k: v.copy() for k, v in p.items()}
+        self.end, self.turn, self.tokens = end, 0, 0
+        self.first = {k: np.zeros_like(v) for k, v in p.items()}
+        self.second = {k: np.zeros_like(v) for k, v in p.items()}
+        self.texts: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, text: np.ndarray) -> None:
+        """Take a text; once about CHUNK tokens wait, train on them."""
+        self.texts.append(text)
+        self.held += len(text)
+        if self.held >= CHUNK:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.held:
+            return
+        p, first, second = self.p, self.first, self.second
+        whole = np.concatenate(self.texts)
+        begins = np.zeros(len(whole), bool)
+        begins[np.cumsum([0, *map(len, self.texts[:-1])])] = True
+        self.tokens += len(whole)
+        self.texts, self.held = [], 0
+        streams = min(max(len(whole) // _STREAM_TOKENS, _STREAMS[0]), _STREAMS[1])
+        length = -(-len(whole) // streams)
+        whole, begins = np.resize(whole, length * streams), np.resize(begins, length * streams)
+        before = np.where(begins, self.end, np.roll(whole, 1))
+        targets, inputs, fresh = (x.reshape(streams, length).T for x in (whole, before, begins))
+        fresh = fresh.copy()
+        fresh[0] = True
+        h = np.zeros((streams, UNITS), np.float32)
+        for at in range(0, length, WINDOW):
+            self.turn += 1
+            _, gradient, h = train_window(p, inputs[at : at + WINDOW], targets[at : at + WINDOW], fresh[at : at + WINDOW], h)
+            norm = math.sqrt(sum(float((g * g).sum()) for g in gradient.values()))
+            clip = min(1.0, 1.0 / max(norm, 1e-9))
+            rate = _RATE * math.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
+            for k, g in gradient.items():
+                g *= np.float32(clip)
+                first[k] += np.float32(0.1) * (g - first[k])
+                second[k] += np.float32(0.001) * (g * g - second[k])
+                p[k] -= np.float32(rate) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
 
 
 def _packed(p) -> bytes:
@@ -292,44 +314,77 @@ def _unpacked(data: bytes) -> dict[str, np.ndarray]:
         return {k: found[k] for k in found.files}
 
 
-def learn(train: DataFrame, counts: Counts, sample_tokens: int = SAMPLE_TOKENS, trainers: int = TRAINERS,
-          rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """Weights trained on about ``sample_tokens`` tokens of ``train``, whole texts chosen by a hash of the text.
+def _added(parts) -> tuple[dict[str, np.ndarray], int]:
+    """Mean of weights given as ``(packed weights, tokens)``, each counted by its tokens, and all tokens."""
+    total, tokens = {}, 0
+    for weights, n in parts:
+        for k, w in _unpacked(weights).items():
+            total[k] = total.get(k, 0) + w.astype(np.float64) * n
+        tokens += n
+    return {k: (w / tokens).astype(np.float32) for k, w in total.items()}, tokens
+
+
+def rounds_of(train: DataFrame, share: float, rounds: int) -> list[DataFrame]:
+    """The texts of each round, in ``order``: ``share`` of them, at least 1 / rounds; together all texts."""
+    texts = train.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    number = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    starts = [(1 - share) * turn / max(1, rounds - 1) for turn in range(rounds)]
+    # a range ends no earlier than the next begins, and the last is open: rounding leaves no gap
+    ends = [max(a + share, b) for a, b in zip(starts, starts[1:])]
+    return [
+        texts.where((number >= starts[turn]) & ((number < ends[turn]) if turn < rounds - 1 else F.lit(True)))
+        .withColumn("order", F.xxhash64("text", F.lit(turn + 4))) for turn in range(rounds)
+    ]
 
-    Each round ``trainers`` tasks pass over a share of the sample; the driver averages their weights (half a megabyte each).
+
+def learn(train: DataFrame, counts: Counts, round_tokens: int = ROUND_TOKENS, trainers: int = TRAINERS,
+          rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> dict[str, np.ndarray]:
+    """Weights trained on all texts of ``train``, each in one round at least.
+
+    Texts are dealt to rounds and tasks by hashes of the text. A task holds
+    about CHUNK tokens (one text at least). The driver gets one set of weights (half a megabyte) for each GROUP tasks.
     """
     p = initial(counts.counts[: counts.short], counts.rest_tokens)
     if not counts.short:
         return p
-    share = min(1.0, sample_tokens / max(1, counts.tokens))
-    chance = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
-    sample = freeze(train.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(chance)
-                    .withColumn("trainer", F.pmod(F.xxhash64("text", F.lit(4)), F.lit(trainers)).cast("int")))
+    share = min(1.0, max(1 / rounds, round_tokens / max(1, counts.tokens)))
+    trainers = max(trainers, math.ceil(counts.tokens * share / task_tokens))
     short, total = counts.common[: counts.short], counts.short
-    for turn in range(rounds):
-        packed = _packed(p)
-
-        def run(batches):
-            lookup = Lookup(short)
-            texts = []
+    spark = train.sparkSession
+    for chosen in rounds_of(train, share, rounds):
+        packed = spark.sparkContext.broadcast((short, _packed(p)))
+
+        def run(batches, packed=packed):
+            known, weights = packed.value
+            lookup = Lookup(known)
+            closing = lookup(np.array([END], np.uint64))[0]
+            trainer = Trainer(_unpacked(weights), total if closing < 0 else int(closing))
             for batch in batches:
                 for first, stop in rows_of(batch, 512):
                     hashes, at = _tokens(batch.column("text").slice(first, stop - first))
                     numbers = lookup(hashes)
                     numbers = np.where(numbers < 0, total, numbers)
-                    texts += [numbers[at[i] : at[i + 1]] for i in range(stop - first)]
-            if texts:
-                order = np.random.default_rng(turn).permutation(len(texts))
-                closing = np.where((n := lookup(np.array([END], np.uint64))) < 0, total, n)[0]
-                found = train_on(_unpacked(packed), [texts[i] for i in order], int(closing))
-                yield {"weights": [_packed(found)], "tokens": [sum(map(len, texts))]}
-
-        dealt = sample.repartition(trainers, "trainer").sortWithinPartitions("trainer", "text").select("text")
-        rows = in_batches(dealt, run, "weights binary, tokens long").collect()
+                    for i in range(stop - first):
+                        trainer.add(numbers[at[i] : at[i + 1]])
+            trainer.flush()
+            if trainer.tokens:
+                yield {"weights": [_packed(trainer.p)], "tokens": [trainer.tokens]}
+
+        def add(batches):
+            rows = ((w, n) for b in batches for w, n in zip(b.column("weights").to_pylist(), b.column("tokens").to_pylist()))
+            found, tokens = _added(rows)
+            if tokens:
+                yield {"weights": [_packed(found)], "tokens": [tokens]}
+
+        dealt = chosen.repartition(trainers, "order").sortWithinPartitions("order", "doc_id", "text")
+        found = freeze(in_batches(dealt.select("text"), run, "weights binary, tokens long"))
+        n = found.count()
+        while n > GROUP:
+            n = math.ceil(n / GROUP)
+            found = freeze(in_batches(found.repartition(n), add, "weights binary, tokens long"))
+        rows = found.orderBy("tokens", F.xxhash64("weights")).collect()
         if rows:
-            all_tokens = sum(r["tokens"] for r in rows)
-            parts = [(_unpacked(bytes(r["weights"])), r["tokens"] / all_tokens) for r in rows]
-            p = {k: sum((w[k] * np.float32(x) for w, x in parts), np.zeros_like(p[k])) for k in p}
+            p = _added((bytes(r["weights"]), r["tokens"]) for r in rows)[0]
     return p
 
 

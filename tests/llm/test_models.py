@@ -206,6 +206,23 @@ def test_probabilities_sum_to_one_and_lanes_do_not_matter(monkeypatch):
     assert np.isclose(whole[6], total, rtol=1e-5)
 
 
+def test_training_reads_every_text(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i} of the text{i % 7}") for i in range(900)] + [(None, None), (1, "other")],
+                                 "doc_id long, text string")
+    want = sorted((r["doc_id"] or -1, r["text"] or "") for r in docs.collect())
+    for share, rounds in ((0.5, 2), (0.7, 2), (1.0, 2), (1 / 3, 3), (1.0, 1)):
+        parts = [p.select("doc_id", "text").collect() for p in recurrent.rounds_of(docs, share, rounds)]
+        assert sorted({(r["doc_id"] or -1, r["text"]) for p in parts for r in p}) == want
+        assert all(abs(len(p) - share * len(want)) < 90 for p in parts)
+    # weights of many tasks, added up in groups; far more texts than a round needs at least
+    counts = recurrent.count_words(docs)
+    seen, added = [], recurrent._added
+    monkeypatch.setattr(recurrent, "GROUP", 2)
+    monkeypatch.setattr(recurrent, "_added", lambda parts: seen.append(added(parts)) or seen[-1])
+    recurrent.learn(docs, counts, round_tokens=10, task_tokens=300)
+    assert sum(n for _, n in seen) == counts.tokens
+
+
 def test_lookup():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(12))
