@@ -327,13 +327,13 @@ def _added(parts) -> tuple[dict[str, np.ndarray], int]:
 def rounds_of(train: DataFrame, share: float, rounds: int) -> list[DataFrame]:
     """The texts of each round, in ``order``: ``share`` of them, at least 1 / rounds; together all texts."""
     texts = train.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    number = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
+    number = F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     starts = [(1 - share) * turn / max(1, rounds - 1) for turn in range(rounds)]
     # a range ends no earlier than the next begins, and the last is open: rounding leaves no gap
     ends = [max(a + share, b) for a, b in zip(starts, starts[1:])]
     return [
         texts.where((number >= starts[turn]) & ((number < ends[turn]) if turn < rounds - 1 else F.lit(True)))
-        .withColumn("order", F.xxhash64("text", F.lit(turn + 4))) for turn in range(rounds)
+        .withColumn("order", F.xxhash64("doc_id", "text", F.lit(turn + 4))) for turn in range(rounds)
     ]
 
 
@@ -341,7 +341,7 @@ def learn(train: DataFrame, counts: Counts, round_tokens: int = ROUND_TOKENS, tr
           rounds: int = ROUNDS, task_tokens: int = TASK_TOKENS) -> dict[str, np.ndarray]:
     """Weights trained on all texts of ``train``, each in one round at least.
 
-    Texts are dealt to rounds and tasks by hashes of the text. A task holds
+    Texts are dealt to rounds and tasks by hashes of doc_id and text, so copies of a text are spread. A task holds
     about CHUNK tokens (one text at least). The driver gets one set of weights (half a megabyte) for each GROUP tasks.
     """
     p = initial(counts.counts[: counts.short], counts.rest_tokens)

@@ -223,6 +223,29 @@ def test_training_reads_every_text(spark, monkeypatch):
     assert sum(n for _, n in seen) == counts.tokens
 
 
+def test_trainer_holds_a_chunk(monkeypatch):
+    monkeypatch.setattr(recurrent, "CHUNK", 500)
+    before = recurrent.initial(np.arange(200, 70, -1), 50)
+    trainer = recurrent.Trainer(before, 3)
+    texts = [np.full(n, 5) for n in (1, 400, 30, 90, 2000, 7, 1)]
+    held = []
+    for x in texts:
+        trainer.add(x)
+        held.append(trainer.held)
+    assert max(held) < 500
+    trainer.flush()
+    assert trainer.tokens == sum(map(len, texts)) and not trainer.texts
+    h = np.zeros((1, recurrent.UNITS), np.float32)
+    new, old = (recurrent.log_probabilities(p, h, np.array([5]))[0][0] for p in (trainer.p, before))
+    assert new > old
+
+
+def test_copies_are_spread_over_rounds(spark):
+    docs = spark.range(600).selectExpr("id AS doc_id", "'one text many times' AS text")
+    parts = recurrent.rounds_of(docs, 0.5, 2)
+    assert all(200 < p.count() < 400 and p.select("order").distinct().count() == p.count() for p in parts)
+
+
 def test_lookup():
     rng = np.random.default_rng(2)
     keys = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64) << np.uint64(12))
