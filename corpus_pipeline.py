@@ -21,18 +21,22 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one of the smallest doc_id. Words five, similarity 0.8.
+    """One row of each group of texts that are near duplicates: the one of the smallest doc_id. Words five, similarity 0.8.
 
-    Rows that repeat a doc_id are one document, of which the first in order of its columns stays. Rows without a
-    doc_id, and texts without words, have no duplicates.
+    Each text is judged by itself: a doc_id's other texts stay if they are like no kept one. Of rows that repeat both
+    doc_id and text the first in order of their columns stays. Rows without a doc_id, and texts without words, have no
+    duplicates.
     """
     bounded_batches(spark)
-    groups = jaccard.jaccard_components(docs, size=5, percent=80)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, docs["doc_id"].cast("long") == kept["doc_id"], "left_semi")
-    first = named.groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("_row"))
-    return first.select(*[F.col(c) if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns]).union(
-        docs.where("doc_id IS NULL"))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    judged = F.col("doc_id").isNotNull() & F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    nodes = docs.where(judged).withColumn("_node", F.xxhash64(doc_id, text))
+    groups = jaccard.jaccard_components(nodes.select(F.col("_node").alias("doc_id"), "text"), size=5, percent=80)
+    groups = groups.select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    kept = nodes.select("_node", doc_id.alias("_id")).distinct().join(groups, "_node").groupBy("component_id").agg(
+        F.min(F.struct("_id", "_node")).alias("_kept")).select("_kept._node")
+    first = nodes.join(kept, "_node", "left_semi").groupBy("_node").agg(F.min(F.struct(*docs.columns)).alias("_row"))
+    return first.select(*[F.col("_row")[c].alias(c) for c in docs.columns]).union(docs.where(~judged))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -299,6 +299,16 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "decontamination", "pii", "bpe"]
 
 
+def test_near_duplicates_are_judged_by_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, a), (1, b), (2, a + " end"), (3, a), (3, c), (4, " "), (4, " "), (4, None), (None, a)]
+    docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).collect()
+    want = [(1, a), (1, b), (3, c), (4, " "), (4, " "), (4, None), (None, a)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, want))
+
+
 def test_stages_take_odd_documents(spark, odd_documents, no_documents):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (odd_documents.select(columns), no_documents.select(columns)):
