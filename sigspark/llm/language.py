@@ -172,9 +172,12 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], most: int = PROFI
 def keep_identified(docs: DataFrame, train: Column, most: int = PROFILE) -> DataFrame:
     """Rows of ``docs`` in an identified language, with all their columns: those that ``identify`` calls ``und`` go.
 
-    Profiles come from the rows for which ``train`` holds and ``lang`` is known. The texts are not shuffled.
+    These are the texts without a letter: no distance to the profiles is too far. Profiles come from the rows for which
+    ``train`` holds and ``lang`` is known; if there are none, every text with a letter stays too. The texts are not
+    shuffled.
     """
-    judge = _judge(learn_profiles(docs.where(train), most=most), most)
+    profiles = learn_profiles(docs.where(train), most=most)
+    judge = _judge(profiles, most) if profiles else lambda text: ("any" if text and len(grams(text)) else "und", 0.0)
 
     def keep(batches):
         for batch in batches:

@@ -309,6 +309,12 @@ def test_near_duplicates_are_judged_by_text(spark):
     assert sorted(map(str, ((r["doc_id"], r["text"]) for r in got))) == sorted(map(str, want))
 
 
+def test_no_known_language_drops_only_texts_without_letters(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "a", 9), (2, "12 !", None, "a", 4), (3, None, None, "a", 0)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, SMALL).collect()] == [1]
+
+
 def test_stages_take_odd_documents(spark, odd_documents, no_documents):
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     for docs in (odd_documents.select(columns), no_documents.select(columns)):
