@@ -323,7 +323,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     ``docs``: ``doc_id``, ``n_shingles`` (0 for a null, empty or blank text, which links with nothing) and
     ``component_id``, the smallest doc_id reachable by links. Texts shorter than ``size`` words are one shingle. Rows
     that repeat a doc_id are one node with the links of all its texts. A row with a null doc_id links with nothing and
-    has a null component_id. An empty table gives an empty result.
+    has a null component_id. An empty table gives an empty result. Links within a component are not enumerated: pairs
+    that other links already join are not compared, so there is no list or number of a document's links.
     """
     levels = word_levels(docs)
     whole, path = store(shingle_sets(docs, size, percent, levels))
