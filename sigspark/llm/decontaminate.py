@@ -5,9 +5,10 @@ occurs in a text lies in one passage. A part's score is taken relative to its sc
 all its words.
 
 Retrieval is exact, by block-max WAND: the postings of a term are blocks with their largest impact, and each part's
-terms are parted into those that decide and a rest that adds less than half the threshold. Only parts of which a
-passage has deciding terms are looked at, and only if those and the rest's bound reach the threshold is the score
-worked out. Retrieved items are then verified against the words around the passage.
+terms are parted into those that decide and a rest that adds less than half the threshold. A block of parts is opened for
+a passage only if its largest impacts and largest rest can reach the threshold. Only parts of which a passage has
+deciding terms are looked at, and only if those and the rest's bound reach the threshold is the score worked out. A term's
+weight comes from the whole benchmark, however many indexes it is searched in. Retrieved items are then verified against the words around the passage.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.llm import words as wd
-from sigspark.llm.tables import in_batches, rows_of
+from sigspark.llm.tables import freeze, in_batches, rows_of
 
 PART, PASSAGE, STRIDE = 64, 128, 64
 #: Retrieved: BM25 relative to the part's own. Verified: share of the question's 5-word shingles, and of the answer's words.
@@ -32,10 +33,22 @@ ITEMS_PER_INDEX = 20_000
 _BLOCK = 16
 
 
+def _spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges, and the range that each is of."""
+    size = end - first
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) + (first - np.cumsum(size) + size)[of], of
+
+
 class Index:
-    """Postings of one block of benchmark items."""
+    """Postings of one block of benchmark items.
+
+    ``whole``: number and mean length of the parts of all blocks, this block's terms in order of their hashes and in how
+    many of all parts each is; taken from ``items`` if not given. The last two are bytes of unsigned and signed numbers.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], retrieve: float = RETRIEVE):
+    def __init__(self, items: list[tuple[int, str]], retrieve: float = RETRIEVE,
+                 whole: tuple[int, float, bytes, bytes] | None = None):
         self.retrieve = retrieve
         self.items, parts, of_item = [], [], []
         for item_id, text in items:
@@ -62,8 +75,12 @@ class Index:
         part, term, tf = np.concatenate(part_of), np.concatenate(term_of), np.concatenate(count)
         df = np.bincount(term, minlength=len(self.terms))
         length = np.array([len(p) for p in parts])
-        norm = _K1 * (1 - _B + _B * length / length.mean())
-        impact = np.log1p((n - df + 0.5) / (df + 0.5))[term] * tf * (_K1 + 1) / (tf + norm[part])
+        n_all, mean = n, length.mean()
+        if whole is not None:
+            n_all, mean = whole[:2]
+            df = np.frombuffer(whole[3], np.int64)[np.searchsorted(np.frombuffer(whole[2], np.uint64), self.terms)]
+        norm = _K1 * (1 - _B + _B * length / mean)
+        impact = np.log1p((n_all - df + 0.5) / (df + 0.5))[term] * tf * (_K1 + 1) / (tf + norm[part])
         impact /= np.bincount(part, impact, minlength=n)[part]
         # the terms of a part from weak to strong; those before the bound are its rest
         order = np.lexsort((impact, part))
@@ -77,10 +94,15 @@ class Index:
         strong = np.flatnonzero(~weak)
         strong = strong[np.lexsort((part[strong], term[strong]))]
         self.post_part, self.post_impact = part[strong], impact[strong]
-        self.post_first = np.searchsorted(term[strong], np.arange(len(self.terms) + 1))
-        self.block_most = np.zeros((len(self.terms), n // _BLOCK + 1), np.float32) if n <= 64 * _BLOCK else None
-        if self.block_most is not None:
-            np.maximum.at(self.block_most, (term[strong], part[strong] // _BLOCK), impact[strong].astype(np.float32))
+        # a run is a term's postings in a block of parts
+        own, block = term[strong], self.post_part // _BLOCK
+        new = np.ones(len(own), bool)
+        new[1:] = (own[1:] != own[:-1]) | (block[1:] != block[:-1])
+        new = np.flatnonzero(new)
+        self.run_first, self.run_block = np.append(new, len(own)), block[new]
+        self.run_most = np.maximum.reduceat(self.post_impact, new)
+        self.term_first = np.searchsorted(own[new], np.arange(len(self.terms) + 1))
+        self.rest_most = np.maximum.reduceat(self.rest, np.arange(0, n, _BLOCK))
         # a table of the low bits of a term's hash tells most words apart from terms at once
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
@@ -103,22 +125,15 @@ class Index:
         term = np.concatenate([term, term[slot > 0]])
         keys = wd.distinct((passage * len(self.terms) + term).astype(np.uint64)).astype(np.int64)
         passage, term = keys // len(self.terms), keys % len(self.terms)
-        degree = self.post_first[term + 1] - self.post_first[term]
         # block-max: a block of parts is opened for a passage only if its terms' largest impacts can reach the bound
-        if self.block_most is not None and len(passage):
-            has = np.flatnonzero(degree)
-            names, back = np.unique(passage[has], return_inverse=True)
-            bound = np.zeros((len(names), self.block_most.shape[1]), np.float32)
-            np.add.at(bound, back, self.block_most[term[has]])
-            least = np.float32(self.retrieve - self.rest.max() - 1e-4)
-            has = has[bound[back].max(axis=1) >= least]
-            passage_s, term_s, degree = passage[has], term[has], degree[has]
-        else:
-            passage_s, term_s = passage, term
-        spread = np.repeat(np.arange(len(term_s)), degree)
-        post = np.arange(len(spread)) - np.repeat(np.cumsum(degree) - degree, degree) + self.post_first[term_s][spread]
+        runs, of = _spread(self.term_first[term], self.term_first[term + 1])
+        cells, back = np.unique(passage[of] * len(self.rest_most) + self.run_block[runs], return_inverse=True)
+        bound = np.bincount(back, self.run_most[runs], minlength=len(cells)) + self.rest_most[cells % len(self.rest_most)]
+        opened = (bound >= self.retrieve - 2e-9)[back]
+        runs, of = runs[opened], of[opened]
+        post, by = _spread(self.run_first[runs], self.run_first[runs + 1])
         n = len(self.of_item)
-        pair = passage_s[spread] * n + self.post_part[post]
+        pair = passage[of[by]] * n + self.post_part[post]
         pairs, back = np.unique(pair, return_inverse=True)
         strong = np.bincount(back, self.post_impact[post], minlength=len(pairs))
         pairs = pairs[strong + self.rest[pairs % n] >= self.retrieve - 1e-9]
@@ -150,18 +165,50 @@ class Index:
         return [(row, self.items[item][0], *found) for (row, item), found in sorted(best.items())]
 
 
+def _part_terms(rows: DataFrame) -> DataFrame:
+    """``term, parts, words`` of items: in how many parts each term is; a null term has the number and words of all."""
+
+    def count(batches):
+        for batch in batches:
+            terms, parts, length = [np.zeros(0, np.uint64)], 0, 0
+            for first, end in rows_of(batch, 512):
+                hashes, at = wd.words(batch.column("text").slice(first, end - first))
+                for i in range(end - first):
+                    for j in range(at[i], at[i + 1], PART):
+                        terms.append(wd.distinct(hashes[j : min(j + PART, at[i + 1])]))
+                        parts += 1
+                length += len(hashes)
+            found, n = np.unique(np.concatenate(terms), return_counts=True)
+            yield {"term": wd.signed(found), "parts": n, "words": np.zeros(len(n), np.int64)}
+            yield {"term": pa.array([None], pa.int64()), "parts": [parts], "words": [length]}
+
+    return in_batches(rows.select("text"), count, "term long, parts long, words long").groupBy("term").agg(
+        F.sum("parts").alias("parts"), F.sum("words").alias("words"))
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str):
-    """The benchmark's items, at most ITEMS_PER_INDEX at a time, fetched one block after the other."""
+    """The benchmark's items, at most ITEMS_PER_INDEX or so at a time, fetched one block after the other; and ``whole``."""
     source = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text"))
     blocks = math.ceil(max(1, source.count()) / ITEMS_PER_INDEX)
+    if blocks > 1:
+        source = freeze(source.where("item IS NOT NULL AND text <> ''").distinct())
+        counts = freeze(_part_terms(source))
+        total = counts.where("term IS NULL").first()
     for b in range(blocks):
         rows = source.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else source
-        yield sorted({(r["item"], r["text"]) for r in rows.collect() if r["item"] is not None and r["text"]})
+        items = sorted({(r["item"], r["text"]) for r in rows.collect() if r["item"] is not None and r["text"]})
+        whole = None
+        if blocks > 1 and items:
+            own = counts.join(_part_terms(rows).select("term"), "term", "left_semi").toPandas()
+            terms, parts = own["term"].to_numpy(np.int64).view(np.uint64), own["parts"].to_numpy(np.int64)
+            order = np.argsort(terms)
+            whole = total["parts"], total["words"] / max(1, total["parts"]), terms[order].tobytes(), parts[order].tobytes()
+        yield items, whole
 
 
 @functools.lru_cache(4)
-def _index(items: tuple, retrieve: float) -> Index:
-    return Index(list(items), retrieve)
+def _index(items: tuple, whole: tuple | None, retrieve: float) -> Index:
+    return Index(list(items), retrieve, whole)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text",
@@ -175,11 +222,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", t
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for items in _blocks(benchmark, item, text):
-        packed = docs.sparkSession.sparkContext.broadcast(tuple(items))
+    for items, whole in _blocks(benchmark, item, text):
+        packed = docs.sparkSession.sparkContext.broadcast((tuple(items), whole))
 
         def search(batches, packed=packed):
-            index = _index(packed.value, retrieve)
+            index = _index(*packed.value, retrieve)
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 for first, end in rows_of(batch, 512):
@@ -201,11 +248,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", t
 def keep_clean(docs: DataFrame, benchmark: DataFrame, item: str = "item_id", text: str = "text",
                retrieve: float = RETRIEVE) -> DataFrame:
     """Rows of ``docs`` in which no benchmark item is verified, with all their columns. The texts are not shuffled."""
-    for items in _blocks(benchmark, item, text):
-        packed = docs.sparkSession.sparkContext.broadcast(tuple(items))
+    for items, whole in _blocks(benchmark, item, text):
+        packed = docs.sparkSession.sparkContext.broadcast((tuple(items), whole))
 
         def clean(batches, packed=packed):
-            index = _index(packed.value, retrieve)
+            index = _index(*packed.value, retrieve)
             for batch in batches:
                 for first, end in rows_of(batch, 512):
                     part = batch.slice(first, end - first)

@@ -211,3 +211,44 @@ def test_odd_pages(spark):
     n = 5000 * len("para, graph") + 4999 * 2
     assert got[:4] == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 0, 0)] and got[4][0] == 3 and got[4][1] >= n
     assert html.extract(pages.limit(0)).count() == 0
+
+
+def test_blocks_are_skipped_in_a_large_benchmark():
+    rng = random.Random(3)
+    items = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(12))) for i in range(1500)]
+    index = decontaminate.Index(items)
+    blocks = -(-len(index.of_item) // decontaminate._BLOCK)
+    assert len(index.of_item) > 1024 and len(index.rest_most) == blocks
+    # a run's impact bounds the impacts of its postings, which are all there
+    sizes = np.diff(index.run_first)
+    assert sizes.sum() == len(index.post_part) and (np.repeat(index.run_most, sizes) >= index.post_impact).all()
+    texts = [" ".join(rng.choices(items, k=4)[j][1] for j in range(4)) for _ in range(20)]
+    hashes, at = words.words(pa.array(texts))
+    got = {(int(r), int(p), int(q)) for r, p, q, _ in zip(*index.retrieved(hashes, at))}
+    want = set()
+    for i in range(len(texts)):
+        own = hashes[at[i] : at[i + 1]]
+        for p in range(-(-len(own) // decontaminate.STRIDE)):
+            seen = np.isin(index.terms, own[p * decontaminate.STRIDE : p * decontaminate.STRIDE + decontaminate.PASSAGE])
+            for q in range(len(index.of_item)):
+                has = slice(index.part_first[q], index.part_first[q + 1])
+                if index.part_impacts[has][seen[index.part_terms[has]]].sum() >= decontaminate.RETRIEVE:
+                    want.add((i, p, q))
+    assert got == want and len(want) >= 20
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{int(rng.random() ** 3 * 400)}" for _ in range(rng.choice([9, 20, 90])))) for i in range(60)]
+    items += [(3, items[3][1]), (70, ""), (None, "w1 w2"), (71, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(items[i][1].split()[:60]) + " and more") for i in range(40)], "doc_id long, text string")
+
+    def found():
+        return sorted((r["doc_id"], r["item_id"], round(r["score"], 9), r["word"]) for r in decontaminate.contaminated(docs, bench).collect())
+
+    whole = found()
+    clean = decontaminate.keep_clean(docs, bench).count()
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_INDEX", 16)
+    assert found() == whole and len(whole) >= 20
+    assert decontaminate.keep_clean(docs, bench).count() == clean
