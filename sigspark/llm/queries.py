@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, decontaminate, embeddings, html, jaccard, language, negatives, pii, recurrent, tables, toxicity, warc
+from sigspark.llm import bpe, copies, decontaminate, embeddings, html, jaccard, language, negatives, pii, recurrent, tables, toxicity, warc
 from sigspark.llm.tables import bounded_batches, remainder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -81,6 +81,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", label)
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return copies.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -95,6 +99,10 @@ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_exact_dedup": r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, min(doc_id) OVER w = doc_id AS kept,
+       sha256(text) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY text)""",
         "op11_hard_negatives": """WITH e AS (
   SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
          list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
