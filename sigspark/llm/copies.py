@@ -144,7 +144,8 @@ def exact_duplicates(docs: DataFrame, digest: Column | None = None, chunk_rows:
         F.count(F.lit(1)), F.coalesce(F.max("part"), F.lit(0)) + 1).first()
     bits = min(62, max(total, 2).bit_length() + SPARE_BITS)
     owner_bits = max(0, (-(-total // owner_rows) - 1).bit_length())
-    homes = _homes(spark, min(parts, _BUCKETS))
+    # fewer buckets than shuffle partitions, and Spark would deal the texts anew to join them
+    homes = _homes(spark, min(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), _BUCKETS))
 
     def deal(batches):
         part = TaskContext.get().partitionId()
