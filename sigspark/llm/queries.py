@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import bpe, copies, decontaminate, embeddings, html, jaccard, language, negatives, pii, recurrent, tables, toxicity, warc
+from sigspark.llm import bpe, copies, decontaminate, embeddings, html, jaccard, language, negatives, pii, recurrent, tables, toxicity, turns, warc
 from sigspark.llm.tables import bounded_batches, remainder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -85,6 +85,11 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return turns.repaired(rows, turns.damaged(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -97,8 +102,56 @@ s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3
         ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS s FROM w)"""
 
 
+# CRC-32 by its polynomial; then the cheapest, ASCII-least edits into each state, row after row
+_TURNS = r"""WITH RECURSIVE
+tab AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+          lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM range(256) r(i))),
+d AS (SELECT coalesce('v' || conv_id, '') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor(list_reduce([4294967295::BIGINT] || list_transform(
+          string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT),
+          lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS k
+      FROM conversations, tab),
+m AS (SELECT conv, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+        CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS c
+      FROM d WHERE k <> 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, sha256(text), c) AS i FROM m),
+f AS (SELECT *, substr(role, 1, 1) AS o, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+        WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'd'
+        WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE '-' END AS f,
+        lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY i) AS before FROM p),
+r(conv, i, q, cost, audit, lines) AS (
+  SELECT DISTINCT conv, 0::BIGINT, 0, 0::BIGINT, '', []::VARCHAR[] FROM f
+  UNION ALL
+  SELECT conv, i, q, cost, audit, lines FROM (
+    SELECT r.conv, f.i, CASE letter WHEN 'D' THEN z WHEN 'K' THEN s ELSE [2, 2, 3, 2][z + 1] END AS q,
+      r.cost + 5 * ins + CASE letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END
+        + CASE WHEN letter <> 'D' AND f.f = 't' THEN 5 ELSE 0 END AS cost,
+      r.audit || repeat('I', ins) || letter AS audit,
+      r.lines || CASE ins WHEN 0 THEN [] WHEN 1 THEN [w[r.q + 1] || ':'] ELSE [w[r.q + 1] || ':', w[[2, 2, 3, 2][r.q + 1] + 1] || ':'] END
+        || CASE letter WHEN 'D' THEN [] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [w[z + 1] || ':' || f.text] END AS lines
+    FROM r JOIN f ON f.conv = r.conv AND f.i = r.i + 1, (VALUES (0), (1), (2)) a(ins), (VALUES ('D'), ('K'), ('R')) e(letter),
+      LATERAL (SELECT CASE ins WHEN 0 THEN r.q WHEN 1 THEN [2, 2, 3, 2][r.q + 1] ELSE [2, 2, 3, 2][[2, 2, 3, 2][r.q + 1] + 1] END AS z,
+                      ['user', 'user', 'assistant', 'user'] AS w) y,
+      LATERAL (SELECT CASE WHEN z = 0 AND f.o = 's' THEN 1 WHEN z IN (0, 1, 3) AND f.o = 'u' THEN 2 WHEN z = 2 AND f.o = 'a' THEN 3 END AS s) x
+    WHERE letter = 'D' OR (f.f NOT IN ('b', 'd') AND (letter = 'R' OR s IS NOT NULL)))
+  QUALIFY row_number() OVER (PARTITION BY conv, q ORDER BY cost, audit) = 1),
+n AS (SELECT conv, max(i) AS i, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+        count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate, count(*) FILTER (f = 't') AS truncated,
+        count(*) FILTER (before IS NOT NULL AND before || o NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv),
+g AS (SELECT conv, cost + [0, 10, 5, 0][q + 1] AS cost, audit || ['', 'II', 'I', ''][q + 1] AS audit,
+        lines || CASE q WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE [] END AS lines FROM r JOIN n USING (conv, i)),
+b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY conv ORDER BY cost, audit) = 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+       coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN n ON n.conv = coalesce('v' || c.conv_id, '') LEFT JOIN b ON b.conv = n.conv"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op13_turn_repair": _TURNS,
         "op12_exact_dedup": r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, min(doc_id) OVER w = doc_id AS kept,
        sha256(text) AS text_sha256
