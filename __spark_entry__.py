@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -257,18 +258,25 @@ def q_harmonics(spark, sf):
 
 def q_butterworth(spark, sf):
     out = fl.butter_filter(long_signal(spark, sf), 2, "lowpass", [50], 1000)
-    return out.select("recording_id", "channel", "idx", F.round("value", 3).alias("value"))
+    return out.select("recording_id", "channel", "idx", (F.round("value", 3) + F.lit(0.0)).alias("value"))
+
+
+def q_butterworth_blocks(spark, sf):
+    """Blocks far shorter than the filter takes to settle."""
+    out = fl.apply_filters(long_signal(spark, sf), fl.design_chain(2, "highpass", [5], [], 1000), 50, group=3)
+    return out.select("recording_id", "channel", "idx", (F.round("value", 3) + F.lit(0.0)).alias("value"))
 
 
 def q_notch_harmonics(spark, sf):
     out = fl.notch_harmonics(long_signal(spark, sf), [100, 300], 2, 1000)
-    return out.select("recording_id", "channel", "idx", F.round("value", 3).alias("value"))
+    return out.select("recording_id", "channel", "idx", (F.round("value", 2) + F.lit(0.0)).alias("value"))
 
 
 def q_process_chain(spark, sf):
     cfg = ProcessConfig(top_channels=8, segments=2, filter_order=2, filter_type="bandpass", cuts=(20, 200),
                         harmonic_freq=100, harmonic_nth=2, fs=1000, fft=True, average=True, shrink=10)
-    return process(long_signal(spark, sf), cfg).select("recording_id", "segment_id", "idx", F.round("value", 3).alias("value"))
+    value = F.bround(F.round("value", 9), 3) + F.lit(0.0)
+    return process(long_signal(spark, sf), cfg).select("recording_id", "segment_id", "idx", value.alias("value"))
 
 
 def q_path_select(spark, sf):
@@ -655,6 +663,97 @@ spk AS (
   FROM acc JOIN cut ON cut.channel = acc.channel AND cut.idx = acc.idx)"""
 
 
+def _polynomials(btype: str, cuts: list[float], fs: float) -> tuple[list[float], list[float]]:
+    """Digital second-order Butterworth filter as one fraction of polynomials in 1/z, by substitution into
+    1 / (s^2 + sqrt(2) s + 1) and s = c (z - 1) / (z + 1)."""
+    w = [2 * fs * math.tan(math.pi * f / fs) for f in cuts]
+    r = math.sqrt(2)
+    if btype == "lowpass":
+        top, under = [w[0] ** 2, 0, 0], [w[0] ** 2, r * w[0], 1]
+    elif btype == "highpass":
+        top, under = [0, 0, 1], [w[0] ** 2, r * w[0], 1]
+    else:
+        wide, mid = w[1] - w[0], w[0] * w[1]
+        under = [mid**2, r * wide * mid, 2 * mid + wide**2, r * wide, 1]
+        top = [0, 0, wide**2, 0, 0] if btype == "bandpass" else [mid**2, 0, 2 * mid, 0, 1]
+
+    def digital(poly: list[float]) -> list[float]:
+        m, total = len(poly) - 1, [0.0] * len(poly)
+        for k, c in enumerate(poly):
+            term = [1.0]
+            for sign in [-1] * k + [1] * (m - k):
+                term = [a + sign * b for a, b in zip([*term, 0], [0, *term])]
+            total = [a + c * (2 * fs) ** k * b for a, b in zip(total, term)]
+        return total
+
+    b, a = digital(top), digital(under)
+    return [x / a[0] for x in b], [x / a[0] for x in a]
+
+
+def _zero_phase_sql(source: str, to: str, btype: str, cuts: list[float], fs: float = 1000.0) -> str:
+    """CTE ``to`` (sk, idx, value): ``source`` filtered sample by sample, forwards and backwards, odd ends."""
+    b, a = _polynomials(btype, cuts, fs)
+    m, pad = len(b) - 1, 3 * len(b)
+    gain = {"lowpass": 1.0, "bandstop": 1.0}.get(btype, 0.0)
+    rest = [0.0] * (m + 2)
+    for k in range(m, 0, -1):
+        rest[k] = b[k] - a[k] * gain + rest[k + 1]
+    held = ", ".join(f"s{k}" for k in range(1, m + 1))
+
+    def recursion(name: str, values: str) -> str:
+        y = f"({b[0]!r}::DOUBLE * xs[j + 2] + s1)"
+        then = ", ".join(f"{b[k]!r}::DOUBLE * xs[j + 2] - {a[k]!r}::DOUBLE * {y}" + (f" + s{k + 1}" if k < m else "")
+                         for k in range(1, m + 1))
+        first = ", ".join(f"{rest[k]!r}::DOUBLE * xs[1]" for k in range(1, m + 1))
+        return f"""{name}(sk, j, y, {held}) AS (
+  SELECT sk, 0::BIGINT, {gain!r}::DOUBLE * xs[1], {first} FROM {values}
+  UNION ALL SELECT sk, j + 1, {y}, {then} FROM {name} JOIN {values} USING (sk) WHERE j + 1 < len(xs))"""
+
+    return f"""{to}_v AS MATERIALIZED (SELECT sk, list(value::DOUBLE ORDER BY idx) AS v FROM {source} GROUP BY sk),
+{to}_x AS MATERIALIZED (SELECT sk, [2 * v[1] - v[i] for i in range({pad} + 1, 1, -1)] || v || [2 * v[-1] - v[len(v) - i] for i in range(1, {pad} + 1)] AS xs FROM {to}_v),
+{recursion(to + "_f", to + "_x")},
+{to}_y AS MATERIALIZED (SELECT sk, list(y ORDER BY j DESC) AS xs FROM {to}_f GROUP BY sk),
+{recursion(to + "_b", to + "_y")},
+{to} AS MATERIALIZED (SELECT sk, len(xs) - 1 - j - {pad} AS idx, y AS value FROM {to}_b JOIN {to}_y USING (sk)
+  WHERE j >= {pad} AND j < len(xs) - {pad})"""
+
+
+def _filtered_sql(*steps: tuple[str, list[float]], digits: int = 3) -> str:
+    """Steps of (type, cuts) on the long signal."""
+    ctes, source = [], "src"
+    for i, (btype, cuts) in enumerate(steps):
+        ctes.append(_zero_phase_sql(source, f"z{i}", btype, cuts))
+        source = f"z{i}"
+    return f"""WITH RECURSIVE {_LONG}, src AS (SELECT channel AS sk, idx, value FROM sig),
+{", ".join(ctes)}
+SELECT recording_id, channel, idx, round({source}.value, {digits}) + 0.0::DOUBLE AS value
+FROM {source} JOIN (SELECT DISTINCT recording_id, channel FROM sig) c ON channel = sk"""
+
+
+def _chain_sql() -> str:
+    """The process_chain query: eight channels, two segments, band-pass, two notches, spectrum, mean, ten values."""
+    steps = [("bandpass", [20, 200]), ("bandstop", [98, 102]), ("bandstop", [198, 202])]
+    ctes, source = [], "src"
+    for i, (btype, cuts) in enumerate(steps):
+        ctes.append(_zero_phase_sql(source, f"z{i}", btype, cuts))
+        source = f"z{i}"
+    return f"""WITH RECURSIVE {_LONG}, {_STATS},
+seg AS (SELECT sig.recording_id, sig.channel, idx // (sig.n // 2) AS segment_id, idx % (sig.n // 2) AS idx, sig.n // 2 AS n, value
+        FROM sig JOIN rk USING (recording_id, channel) WHERE rank <= 8 AND idx < 2 * (sig.n // 2)),
+src AS (SELECT channel || '/' || segment_id AS sk, idx, value FROM seg),
+{", ".join(ctes)},
+hw AS (SELECT c.*, z.idx, value * (0.5 - 0.5 * cos(2 * pi() * z.idx / (n - 1))) AS v
+       FROM {source} z JOIN (SELECT DISTINCT recording_id, segment_id, channel, n FROM seg) c ON sk = channel || '/' || segment_id),
+sp AS (SELECT recording_id, segment_id, channel, k, n // 2 AS bins,
+              sqrt(power(sum(v * cos(2 * pi() * k * idx / n)), 2) + power(sum(v * sin(2 * pi() * k * idx / n)), 2)) / n AS m
+       FROM hw JOIN (SELECT unnest(generate_series(0, (SELECT max(n) FROM seg) // 2)) AS k) b ON k < n // 2
+       GROUP BY recording_id, segment_id, channel, k, n),
+mean AS (SELECT recording_id, segment_id, k, max(bins) AS bins, round_even(avg(m)::DECIMAL(18, 9), 3)::DOUBLE AS m
+         FROM sp GROUP BY recording_id, segment_id, k)
+SELECT recording_id, segment_id, (k * 10) // bins AS idx, round_even(avg(m)::DECIMAL(18, 9), 3)::DOUBLE + 0.0::DOUBLE AS value
+FROM mean GROUP BY recording_id, segment_id, (k * 10) // bins"""
+
+
 def _confusion_sql(source: str, train: list[str], test: list[str]) -> str:
     def values(labels: list[str]) -> str:
         return "(VALUES " + ", ".join(f"('{v}')" for v in labels) + ")"
@@ -740,6 +839,10 @@ SELECT recording_id, segment_id,
        CASE recording_id WHEN 'rec0' THEN 'zero' WHEN 'rec1' THEN 'one' WHEN 'rec2' THEN 'rec2' END AS label,
        (idx * 4) // n AS pos, {_r6('avg(value)', 'value')}
 FROM mean WHERE recording_id <> 'rec3' GROUP BY recording_id, segment_id, (idx * 4) // n""",
+        "butterworth": _filtered_sql(("lowpass", [50])),
+        "butterworth_blocks": _filtered_sql(("highpass", [5])),
+        "notch_harmonics": _filtered_sql(("bandstop", [98, 102]), ("bandstop", [298, 302]), digits=2),
+        "process_chain": _chain_sql(),
         "hann_window": f"WITH {hann} SELECT {keys}, idx, {_r6('v', 'value')} FROM hw",
         "spectrum_bins": f"""WITH {hann} SELECT {keys}, k AS bin, {_r6('k * 1000.0::DOUBLE / max(n)', 'freq_hz')},
 {_r6('sqrt(power(sum(v * cos(2 * pi() * k * idx / n)), 2) + power(sum(v * sin(2 * pi() * k * idx / n)), 2)) / max(n)', 'magnitude')}

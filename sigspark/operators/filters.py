@@ -1,8 +1,11 @@
 """Butterworth filters, zero-phase, on long signals.
 
-Coefficients are designed on the driver from the textbook analog prototype and the bilinear transform. Series are cut
-into blocks with margins long enough for the filters' start-up transients to die out, so any series length runs as
-bounded, independent tasks. Only the two true ends of a series get the usual odd extension.
+Coefficients are designed on the driver from the textbook analog prototype and the bilinear transform. A series is cut
+into blocks of bounded length, without margins, whatever the filter. A pass over a block is an affine map of the state
+it is entered with: a power of the filter's step matrix, and a push that depends on the samples. The pushes of a series
+are small rows; they are folded in groups, the groups among each other, and the entry states handed back down - forward
+along the series, then backward. So the blocks of one long series are filtered by many tasks, exactly as if in one.
+Only the two true ends of a series get the usual odd extension.
 """
 
 from __future__ import annotations
@@ -17,13 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.operators.blocks import BLOCK_SAMPLES, to_blocks
+from sigspark.operators.blocks import collect_in_order
+from sigspark.operators.scale import freeze
 from sigspark.operators.signal import series_keys
 
-# A transient this small is below the rounding of a double.
-_NEGLIGIBLE = 1e-18
+# A series' last block takes what is left over, so blocks hold fewer than twice as many samples.
+BLOCK = 1 << 17
+# Blocks whose pushes are folded by one task.
+_GROUP = 1024
+# Entry states are sent to every task up to this size.
+_BROADCAST_BYTES = 32 << 20
 _ROWS = 128
 
+
 class Filter(NamedTuple):
     """A digital filter as second-order sections ``(b0, b1, b2, a1, a2)``, with its poles."""
 
@@ -96,13 +105,6 @@ def design_chain(
     return chain + [design_butterworth(order, "bandstop", (h - 2, h + 2), fs) for h in harmonics]
 
 
-def settling(filt: Filter) -> int:
-    """Samples after which the filter has forgotten its starting state, to double precision."""
-    radius = max(abs(p) for p in filt.poles)
-    decay = math.ceil(math.log(_NEGLIGIBLE) / math.log(radius)) if radius > 0 else 1
-    return decay + 16 * len(filt.poles) + filt.pad
-
-
 class _Kernel(NamedTuple):
     """Matrices that advance a filter by a row of samples at a time."""
 
@@ -110,7 +112,7 @@ class _Kernel(NamedTuple):
     toeplitz: np.ndarray
     observe: np.ndarray
     carry: np.ndarray
-    jump: np.ndarray
+    jumps: np.ndarray  # over 0 to _ROWS samples
     rest: np.ndarray
 
 
@@ -137,22 +139,37 @@ def prepare(filt: Filter) -> _Kernel:
     lag = np.subtract.outer(np.arange(_ROWS), np.arange(_ROWS))
     toeplitz = np.where(lag >= 0, response[np.maximum(lag, 0)], 0.0)
     carry = np.array([powers[_ROWS - 1 - j] @ feed for j in range(_ROWS)])  # row of inputs -> next state
-    return _Kernel(filt.pad, toeplitz.T.copy(), observe.T.copy(), carry, powers[_ROWS].T.copy(), rest)
+    return _Kernel(filt.pad, toeplitz.T.copy(), observe.T.copy(), carry, np.array([p.T for p in powers]), rest)
 
 
-def _run(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
-    """One causal pass, starting at rest on the first sample's level."""
-    rows = -(-len(x) // _ROWS)
-    grid = np.zeros(rows * _ROWS)
-    grid[: len(x)] = x
-    grid = grid.reshape(rows, _ROWS)
-    pushes = grid @ kernel.carry
-    states = np.empty_like(pushes)
-    state = kernel.rest * x[0]
+def _pass(kernel: _Kernel, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One causal pass from a state: output and last state."""
+    rows, left = divmod(len(x), _ROWS)
+    grid = np.zeros((rows + 1, _ROWS))
+    grid.reshape(-1)[: len(x)] = x
+    pushes = grid[:rows] @ kernel.carry
+    states = np.empty((rows + 1, len(state)))
+    jump = kernel.jumps[_ROWS]
     for r in range(rows):
         states[r] = state
-        state = state @ kernel.jump + pushes[r]
-    return (grid @ kernel.toeplitz + states @ kernel.observe).reshape(-1)[: len(x)]
+        state = state @ jump + pushes[r]
+    states[rows] = state
+    last = state @ kernel.jumps[left] + grid[rows, :left] @ kernel.carry[_ROWS - left :]
+    return (grid @ kernel.toeplitz + states @ kernel.observe).reshape(-1)[: len(x)], last
+
+
+def _run(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
+    """One causal pass, starting at rest on the first sample's level."""
+    return _pass(kernel, x, kernel.rest * x[0])[0]
+
+
+def _before(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
+    """Odd extension in front of a series."""
+    return 2 * x[0] - x[kernel.pad : 0 : -1]
+
+
+def _after(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
+    return 2 * x[-1] - x[-2 : -kernel.pad - 2 : -1]
 
 
 def zero_phase(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
@@ -160,51 +177,155 @@ def zero_phase(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
     pad = kernel.pad
     if len(x) <= pad:
         raise ValueError(f"a series of {len(x)} samples is too short to filter: more than {pad} are needed")
-    ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
+    ext = np.concatenate([_before(kernel, x), x, _after(kernel, x)])
     return _run(kernel, _run(kernel, ext)[::-1])[::-1][pad:-pad]
 
 
+def _forward(kernel: _Kernel, x: np.ndarray, state, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Forward pass over a block and the state it leaves; a series' first block starts at rest."""
+    if first:
+        x = np.concatenate([_before(kernel, x), x])
+        state = kernel.rest * x[0]
+    return _pass(kernel, np.concatenate([x, _after(kernel, x)]) if last else x, state)
+
+
+def _backward(kernel: _Kernel, y: np.ndarray, state, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Backward pass over a block's forward output, cut to its own samples, and the state it leaves."""
+    y = y[::-1]
+    z, state = _pass(kernel, y, kernel.rest * y[0] if last else state)
+    z = z[::-1][kernel.pad if first else 0 :]
+    return z[: len(z) - kernel.pad] if last else z, state
+
+
+def _samples(values) -> np.ndarray:
+    x = np.asarray(values, dtype=float)
+    if np.isnan(x).any():
+        raise ValueError("a series to be filtered holds a null or NaN sample: drop or fill it before")
+    return x
+
+
+def _entry_states(pushes: DataFrame, kernel: _Kernel, length: int, group: int) -> DataFrame:
+    """``series, block, state``: what each block is entered with. ``pushes``: ``series, block, place, push``, ``place``
+    the block's number in the direction of the pass; the first one's push is the whole state that it leaves.
+
+    A push per block, folded by one task for ``group`` blocks, then one row per group.
+    """
+    step = np.linalg.matrix_power(kernel.jumps[1], length)
+    far = np.linalg.matrix_power(step, group)
+    size = len(kernel.rest)
+
+    def handed(rows: pd.DataFrame, state: np.ndarray, jump: np.ndarray) -> tuple[list, np.ndarray]:
+        out = []
+        for push in rows["push"]:
+            out.append(state)
+            state = state @ jump + np.asarray(push)
+        return out, state
+
+    def folded(rows: pd.DataFrame) -> pd.DataFrame:
+        _, state = handed(rows.sort_values("place"), np.zeros(size), step)
+        return pd.DataFrame({"series": rows["series"].iloc[:1], "part": rows["part"].iloc[:1], "push": [state]})
+
+    def between(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("part")
+        return pd.DataFrame({"series": rows["series"], "part": rows["part"], "entry": handed(rows, np.zeros(size), far)[0]})
+
+    def within(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("place")
+        states, _ = handed(rows, np.asarray(rows["entry"].iloc[0]), step)
+        return pd.DataFrame({"series": rows["series"], "block": rows["block"], "state": states})
+
+    rows = pushes.withColumn("part", F.expr(f"place DIV {group}"))
+    parts = rows.groupBy("series", "part").applyInPandas(folded, "series string, part long, push array<double>")
+    entries = parts.groupBy("series").applyInPandas(between, "series string, part long, entry array<double>")
+    joined = rows.join(entries, ["series", "part"])
+    states = freeze(joined.groupBy("series", "part").applyInPandas(within, "series string, block long, state array<double>"))
+    small = states.count() * (8 * size + 64) <= _BROADCAST_BYTES
+    return F.broadcast(states) if small else states.hint("shuffle_hash")
+
+
+def _filter_long(blocks: DataFrame, kernels: Sequence[_Kernel], length: int, group: int) -> DataFrame:
+    """``blocks`` of series of several blocks, filtered. Each pass is stored, so that its pushes and its samples agree."""
+    kind = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("push", T.ArrayType(T.DoubleType()))])
+
+    def step(pass_: str, kernel: _Kernel, then: _Kernel | None):
+        """A pass over a block, and the push of the pass that follows it."""
+
+        @F.pandas_udf(kind)
+        def done(values: pd.Series, states: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
+            out, pushes = [], []
+            for x, state, head, tail in zip(values, states, first, last):
+                zero = np.zeros(len(kernel.rest))
+                state = zero if state is None else np.asarray(state)
+                if pass_ == "forward":
+                    y = _forward(kernel, np.asarray(x), state, head, tail)[0]
+                    push = _backward(kernel, y, zero, head, tail)[1]
+                else:
+                    y = _samples(x) if pass_ == "none" else _backward(kernel, np.asarray(x), state, head, tail)[0]
+                    push = np.zeros(0) if then is None else _forward(then, y, np.zeros(len(then.rest)), head, tail)[1]
+                out.append(y)
+                pushes.append(push)
+            return pd.DataFrame({"values": out, "push": pushes})
+
+        return done
+
+    def through(rows: DataFrame, udf, states: DataFrame | None, stored: bool = True) -> DataFrame:
+        rows = rows.withColumn("state", F.lit(None).cast("array<double>")) if states is None else rows.join(states, ["series", "block"])
+        rows = rows.withColumn("done", udf("values", "state", F.col("block") == 0, F.col("block") == F.col("blocks") - 1))
+        rows = rows.withColumns({"values": F.col("done.values"), "push": F.col("done.push")}).drop("done", "state")
+        return freeze(rows) if stored else rows
+
+    rows = through(blocks, step("none", kernels[0], kernels[0]), None)
+    for kernel, then in zip(kernels, [*kernels[1:], None]):
+        place = rows.select("series", "block", F.col("block").alias("place"), "push")
+        rows = through(rows, step("forward", kernel, None), _entry_states(place, kernel, length, group))
+        place = rows.select("series", "block", (F.col("blocks") - 1 - F.col("block")).alias("place"), "push")
+        rows = through(rows, step("backward", kernel, then), _entry_states(place, kernel, length, group), then is not None)
+    return rows
+
+
 def apply_filters(
-    signal: DataFrame, chain: Sequence[Filter], block: int | None = None, longest: int | None = None
+    signal: DataFrame, chain: Sequence[Filter], block: int | None = None, longest: int | None = None, group: int = _GROUP
 ) -> DataFrame:
-    """Apply filters in sequence to every series, in one shuffle. ``longest``: largest series length, if known.
+    """Apply filters in sequence to every series; samples are shuffled once. ``longest``: largest series length, if known.
 
-    A null or NaN sample would reach the whole series through the recursion: it raises an error, whatever the blocks.
-    Drop or fill such samples before.
+    Blocks hold ``block`` samples (2^17 if not given), the last one of a series fewer than twice as many. A null or NaN
+    sample would reach the whole series through the recursion: it raises an error, whatever the blocks. Drop or fill
+    such samples before.
     """
     if not chain:
         return signal
-    margin = sum(settling(f) for f in chain)
-    length = max(BLOCK_SAMPLES, 4 * margin) if block is None else max(block, margin)
+    length = max(BLOCK if block is None else block, 2 + max(f.pad for f in chain))
     keys = series_keys(signal)
     carry = ["t"] if "t" in signal.columns else []
     if "channel_pos" in signal.columns:
         keys = [*keys, "channel_pos"]
-    blocks = to_blocks(signal, keys, length, margin, margin, carry, longest)
-
+    count = F.greatest(F.expr(f"n DIV {length}"), F.lit(1))
+    own = F.least(F.expr(f"idx DIV {length}"), count - 1)
+    held = signal.select(*keys, "idx", "n", "value", *carry, own.alias("block"))
+    blocks = collect_in_order(held, [*keys, "block"], ["value", *carry])
     kernels = [prepare(f) for f in chain]
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def filtered(values: pd.Series, skip: pd.Series, keep: pd.Series) -> pd.Series:
+    def filtered(values: pd.Series) -> pd.Series:
         out = []
-        for x, lo, count in zip(values, skip, keep):
-            y = np.asarray(x, dtype=float)
-            if np.isnan(y).any():
-                raise ValueError("a series to be filtered holds a null or NaN sample: drop or fill it before")
+        for x in values:
+            y = _samples(x)
             for kernel in kernels:
                 y = zero_phase(kernel, y)
-            out.append(y[lo : lo + count])
+            out.append(y)
         return pd.Series(out)
 
-    own = blocks.withColumn("_skip", F.col("block") * length - F.col("start")).withColumn(
-        "_keep", F.least(F.lit(length).cast("long"), F.col("n") - F.col("block") * length)
-    )
-    columns = [F.col("value").alias("value")]
-    done = own.withColumn("value", filtered("values", "_skip", "_keep"))
-    if carry:
-        times = F.slice(F.col("ts"), (F.col("_skip") + 1).cast("int"), F.col("_keep").cast("int"))
-        done = done.withColumn("t", times)
-        columns.append(F.col("t"))
+    done = blocks
+    if longest is None or longest >= 2 * length:
+        done = freeze(blocks)
+        longest = done.agg(F.max("n")).first()[0] or 0
+    long = done.where(F.col("n") >= 2 * length)
+    done = (done if longest < 2 * length else done.where(F.col("n") < 2 * length)).withColumn("values", filtered("values"))
+    if longest >= 2 * length:
+        # a name for each series that is never null
+        long = long.withColumn("series", F.to_json(F.struct(*keys))).withColumn("blocks", count)
+        done = done.unionByName(_filter_long(long, kernels, length, group).select(*done.columns))
+    columns = [F.col("values").alias("value"), *[F.col("ts").alias("t") for _ in carry]]
     rows = done.select(*keys, "n", "block", F.posexplode(F.arrays_zip(*columns)).alias("_pos", "_row"))
     return rows.select(
         *keys, (F.col("block") * length + F.col("_pos")).alias("idx"), "n", "_row.value",

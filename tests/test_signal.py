@@ -178,18 +178,38 @@ def test_filter_blocks_agree_with_whole_series(noise, order, btype, cuts):
         np.testing.assert_allclose(got[key], fl.zero_phase(fl.prepare(f), x), atol=1e-10)
 
 
-def test_filter_many_blocks(long_signal):
-    x = np.random.default_rng(6).normal(size=16000).cumsum()
-    sig = long_signal({("r", "a"): x}, 0.001)
-    chain = fl.design_chain(2, "lowpass", (150,), [200], 1000)
-    want = x
-    for f in chain:
-        want = fl.zero_phase(fl.prepare(f), want)
-    margin = sum(fl.settling(f) for f in chain)
-    assert 16000 > 3 * margin
-    out = fl.apply_filters(sig, chain, margin)
-    np.testing.assert_allclose(arrays(out)[("r", "a")], want, atol=1e-9)
-    np.testing.assert_allclose(arrays(out, "t")[("r", "a")], np.arange(16000) * 0.001)
+@pytest.mark.parametrize("block, group", [(1000, 2), (333, 1024), (50, 3)])
+def test_filter_many_blocks(long_signal, block, group):
+    """Blocks without margins, of narrow filters that settle far slower than a block is long."""
+    rng = np.random.default_rng(6)
+    data = {("r", "a"): rng.normal(size=16000).cumsum(), ("r", "b"): rng.normal(size=999), ("s", "a"): rng.normal(size=2 * block)}
+    sig = long_signal(data, 0.001)
+    chain = fl.design_chain(2, "bandpass", (20, 150), [100, 200], 1000)
+    out = fl.apply_filters(sig, chain, block, group=group)
+    got, times = arrays(out), arrays(out, "t")
+    for key, x in data.items():
+        for f in chain:
+            x = fl.zero_phase(fl.prepare(f), x)
+        np.testing.assert_allclose(got[key], x, atol=1e-8)
+        np.testing.assert_allclose(times[key], np.arange(len(x)) * 0.001)
+
+
+def test_filter_blocks_are_bounded():
+    narrow = fl.design_chain(2, None, (), [50 * k for k in range(1, 9)], 30_000)
+    assert max(f.pad for f in narrow) < fl.BLOCK and 2 * fl.BLOCK == 1 << 18
+
+
+def test_filter_keeps_null_keys_apart(spark):
+    rows = [(r, c, i, 400, float((i * (7 if c else 3)) % 11)) for r in ("r", None) for c in ("a", None) for i in range(400)]
+    sig = spark.createDataFrame(rows, "recording_id string, channel string, idx long, n long, value double")
+    got = {}
+    for r in fl.butter_filter(sig, 2, "lowpass", [50], 1000, 60).orderBy("idx").collect():
+        got.setdefault((r["recording_id"], r["channel"]), []).append(r["value"])
+    kernel = fl.prepare(fl.design_butterworth(2, "lowpass", [50], 1000))
+    for (_, c), values in got.items():
+        x = np.array([float((i * (7 if c else 3)) % 11) for i in range(400)])
+        np.testing.assert_allclose(values, fl.zero_phase(kernel, x), atol=1e-9)
+    assert len(got) == 4
 
 
 def test_filter_properties(long_signal):
