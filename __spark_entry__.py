@@ -529,9 +529,19 @@ def q_forest_importance(spark, sf):
 
 def q_svc_confusion(spark, sf):
     train, test = ds.split(features(spark, sf), 0.7, "s1")
-    two = [ds.filter_labels(part, [1, 2, 3]) for part in (train, test)]
-    model = ml.train_svc(two[0], {"kernel": "rbf", "C": 1.0}, seed=1)
-    return ev.confusion(ml.predict(model, two[1]), ["1", "2", "3"])
+    model = ml.train_svc(train, {"kernel": "rbf", "C": 1.0}, seed=1)
+    return ev.confusion(ml.predict(model, test), LABELS)
+
+
+def q_svc_probabilities(spark, sf):
+    """Predicted rows by their label, and how many have a distribution over the labels with its maximum as confidence."""
+    train, test = ds.split(features(spark, sf), 0.7, "s1")
+    out = ml.predict(ml.train_svc(train, {"kernel": "poly", "degree": 2, "coef0": 1.0}), test)
+    p = F.col("probabilities")
+    total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
+    sound = (F.abs(total - 1) < 1e-9) & (F.array_min(p) >= 0) & (F.size(p) == 10) & (F.col("confidence") == F.array_max(p))
+    return out.groupBy(F.col("actual").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.sum(
+        (sound & F.col("predicted").isin(LABELS)).cast("long")).alias("sound"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -863,6 +873,7 @@ FROM pages GROUP BY 1""",
         "encode_labels": f"WITH x AS ({named.format(two='')}) SELECT *, dense_rank() OVER (ORDER BY label) - 1 AS label_code FROM x",
         "split_train": f"WITH {split} SELECT row_id, label FROM feat WHERE r <= floor(0.7 * c)",
         "split_test": f"WITH {split} SELECT row_id, label FROM feat WHERE r > floor(0.7 * c)",
+        "svc_probabilities": f"WITH {split} SELECT label, count(*) AS n, count(*) AS sound FROM feat WHERE r > floor(0.7 * c) GROUP BY label",
         "merge_sets": """SELECT label, count(*) AS n FROM (
   SELECT CAST(label AS VARCHAR) AS label FROM embeddings WHERE label IN (1, 2)
   UNION ALL SELECT CAST(label AS VARCHAR) FROM embeddings WHERE label IN (2, 3)) GROUP BY label""",

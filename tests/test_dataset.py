@@ -249,7 +249,8 @@ def test_forest(spark, blobs, tmp_path):
 
 @pytest.mark.parametrize("kernel", ["linear", "rbf", "poly", "sigmoid"])
 def test_svc(spark, blobs, kernel, tmp_path):
-    train, test = ds.split(blobs, 0.7, 1)
+    # an exact sigmoid machine cannot part features that are all positive
+    train, test = ds.split(pc.standardize(blobs) if kernel == "sigmoid" else blobs, 0.7, 1)
     model = ml.train_svc(train, {"kernel": kernel, "C": 1.0, "max_iter": 20}, 3)
     out = ml.predict(model, test)
     assert ev.accuracy(out).first()[0] > 0.85
