@@ -20,6 +20,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from sigspark.functions import columns as fn  # noqa: E402
 from sigspark.functions.harmonics import harmonic_rows  # noqa: E402
 from sigspark.learning import models as ml  # noqa: E402
+from sigspark.learning.trees import forest_nodes  # noqa: E402
 from sigspark.operators import dataset as ds  # noqa: E402
 from sigspark.operators import evaluate as ev  # noqa: E402
 from sigspark.operators import filters as fl  # noqa: E402
@@ -527,6 +528,22 @@ def q_forest_importance(spark, sf):
     return ml.feature_importance(spark, model)
 
 
+def q_forest_nodes(spark, sf):
+    """What must hold of every tree: the limit on its leaves, weights that add up, and impurities that fit them."""
+    limits = {"n_estimators": 8, "max_depth": 9, "max_leaf_nodes": 12, "ccp_alpha": 0.001, "min_samples_split": 4}
+    model = ml.train_rf(features(spark, sf), limits, seed=1)
+    nodes = forest_nodes(model.pipeline.stages[0]).withColumn("weight", F.aggregate("stats", F.lit(0.0), lambda a, x: a + x))
+    parts = nodes.select("tree", F.col("id").alias("child"), F.col("weight").alias("part"))
+    below = nodes.select("tree", "id", F.explode(F.array("left", "right")).alias("child")).where("child >= 0")
+    below = below.join(parts, ["tree", "child"]).groupBy("tree", "id").agg(F.sum("part").alias("below"))
+    gini = 1 - F.aggregate("stats", F.lit(0.0), lambda a, x: a + x * x) / (F.col("weight") * F.col("weight"))
+    return nodes.join(below, ["tree", "id"], "left").groupBy(F.col("tree").cast("long").alias("tree")).agg(
+        (F.sum((F.col("left") < 0).cast("int")) <= 12).alias("few_leaves"),
+        F.min(F.coalesce(F.abs(F.col("below") - F.col("weight")) < 1e-6, F.lit(True))).alias("weights_add_up"),
+        F.min(F.abs(gini - F.col("impurity")) < 1e-9).alias("impurity_fits"),
+        F.min((F.col("left") < 0) | (F.col("rows") >= 4)).alias("splits_have_rows"))
+
+
 def q_svc_confusion(spark, sf):
     train, test = ds.split(features(spark, sf), 0.7, "s1")
     model = ml.train_svc(train, {"kernel": "rbf", "C": 1.0}, seed=1)
@@ -873,6 +890,8 @@ FROM pages GROUP BY 1""",
         "encode_labels": f"WITH x AS ({named.format(two='')}) SELECT *, dense_rank() OVER (ORDER BY label) - 1 AS label_code FROM x",
         "split_train": f"WITH {split} SELECT row_id, label FROM feat WHERE r <= floor(0.7 * c)",
         "split_test": f"WITH {split} SELECT row_id, label FROM feat WHERE r > floor(0.7 * c)",
+        "forest_nodes": """SELECT unnest(range(8)) AS tree, true AS few_leaves, true AS weights_add_up, true AS impurity_fits,
+true AS splits_have_rows""",
         "svc_probabilities": f"WITH {split} SELECT label, count(*) AS n, count(*) AS sound FROM feat WHERE r > floor(0.7 * c) GROUP BY label",
         "merge_sets": """SELECT label, count(*) AS n FROM (
   SELECT CAST(label AS VARCHAR) AS label FROM embeddings WHERE label IN (1, 2)
