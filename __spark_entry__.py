@@ -504,17 +504,29 @@ def q_standardized(spark, sf):
     return out.select("row_id", "pos", r6("v").alias("value"))
 
 
+def _scores(spark, sf):
+    rows = features(spark, sf)
+    return pc.apply_pca(pc.fit_pca(rows, LABELS[:5], 2), rows, LABELS[5:])
+
+
 def q_ellipse(spark, sf):
-    pairs = features(spark, sf).select("label", F.col("features")[0].alias("pc1"), F.col("features")[1].alias("pc2"))
-    out = pc.ellipse(pairs)
-    return out.select("label", *[r6(c).alias(c) for c in out.columns if c != "label"])
+    """Of the scores of the labels that the components were not fitted on."""
+    out = pc.ellipse(_scores(spark, sf))
+    return out.select("label", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in out.columns if c != "label"])
 
 
 def q_pca_scores(spark, sf):
+    return _scores(spark, sf).select(
+        "row_id", "label", *[(F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("pc1", "pc2")])
+
+
+def q_pca_explained(spark, sf):
+    """Percent of the variance that each component explains, and its loading of each feature."""
     rows = features(spark, sf)
-    return pc.apply_pca(pc.fit_pca(rows, LABELS[:5], 2), rows, LABELS[5:]).select(
-        "row_id", "label", F.round("pc1", 5).alias("pc1"), F.round("pc2", 5).alias("pc2")
-    )
+    fit = pc.fit_pca(rows, LABELS[:5], 2)
+    loads = [(i + 1, p, float(share), float(v)) for i, share in enumerate(fit.explained()) for p, v in enumerate(fit.components()[:, i])]
+    out = spark.createDataFrame(loads, "component int, pos long, explained double, loading double")
+    return out.withColumn("loading", F.round("loading", 5) + F.lit(0.0))
 
 
 def q_forest_confusion(spark, sf):
@@ -614,6 +626,29 @@ cen AS (SELECT label AS c, pos, avg(v) AS m FROM feat GROUP BY label, pos),
 dist AS (SELECT row_id, label, c, sum((v - m) * (v - m)) AS d FROM feat JOIN cen USING (pos) GROUP BY row_id, label, c),
 near AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY d, c) AS r FROM dist),
 pred AS (SELECT row_id, c AS predicted, label AS actual, 1 / (1 + sqrt(d)) AS confidence FROM near WHERE r = 1)"""
+# The leading eigenvector as a column of a high power of the correlations, the next one of what is left without it.
+def _power_sql(source: str, to: str) -> str:
+    return f"""{to}_p(step, i, j, v) AS (
+  SELECT 0, i, j, v / (SELECT sum(v) FROM {source} WHERE i = j) FROM {source}
+  UNION ALL SELECT step, i, j, v / sum(CASE WHEN i = j THEN v END) OVER () FROM (
+    SELECT a.step + 1 AS step, a.i, b.j, sum(a.v * b.v) AS v FROM {to}_p a JOIN {to}_p b ON a.j = b.i WHERE a.step < 22 GROUP BY ALL)),
+{to}_c AS (SELECT i, v FROM {to}_p WHERE step = 22 AND j = (SELECT arg_max(i, v) FROM {to}_p WHERE step = 22 AND i = j)),
+{to}_u AS (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM {to}_c),
+{to} AS MATERIALIZED (SELECT i, v * sign((SELECT arg_max(v, abs(v)) FROM {to}_u)) AS v,
+  (SELECT sum(x.v * m.v * y.v) FROM {source} m JOIN {to}_u x ON x.i = m.i JOIN {to}_u y ON y.i = m.j) AS power FROM {to}_u)"""
+
+
+_PCA = f"""{_FEAT},
+z AS MATERIALIZED (SELECT row_id, label, pos, coalesce((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 0) AS v,
+        label::INTEGER < 5 AS fitted FROM feat WINDOW w AS (PARTITION BY label::INTEGER < 5, pos)),
+cor AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS v FROM z a JOIN z b USING (row_id) WHERE a.fitted GROUP BY 1, 2),
+{_power_sql("cor", "e1")},
+rest AS MATERIALIZED (SELECT cor.i, cor.j, cor.v - x.power * x.v * y.v AS v FROM cor JOIN e1 x ON x.i = cor.i JOIN e1 y ON y.i = cor.j),
+{_power_sql("rest", "e2")},
+parts AS (SELECT 1 AS component, i AS pos, v, power / (SELECT sum(v) FROM cor WHERE i = j) AS share FROM e1
+          UNION ALL SELECT 2, i, v, power / (SELECT sum(v) FROM cor WHERE i = j) FROM e2),
+scores AS (SELECT row_id, label, sum(z.v * e1.v) AS pc1, sum(z.v * e2.v) AS pc2
+           FROM z JOIN e1 ON e1.i = pos JOIN e2 ON e2.i = pos WHERE NOT fitted GROUP BY row_id, label)"""
 _RUNS = """folds AS (
   SELECT l_suppkey AS run_id, l_linenumber % 5 AS fold,
          avg(CASE WHEN l_returnflag <> 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS score,
@@ -989,12 +1024,17 @@ SELECT metric, round_even(avg(x), 3) AS mean, round_even(stddev_pop(x), 3) AS st
 SELECT section, name, value, text, band FROM v""",
         "standardized": f"""WITH {_FEAT}, s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM feat GROUP BY pos)
 SELECT row_id, CAST(pos AS INTEGER) AS pos, {_r6('(v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END', 'value')} FROM feat JOIN s USING (pos)""",
-        "ellipse": f"""WITH p AS (SELECT CAST(label AS VARCHAR) AS label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-e AS (SELECT label, avg(x) AS cx, avg(y) AS cy, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS c, corr(x, y) AS r
-      FROM p GROUP BY label)
-SELECT label, {_r6('cx', 'center_x')}, {_r6('cy', 'center_y')}, {_r6('vx', 'var_x')}, {_r6('vy', 'var_y')}, {_r6('c', 'cov_xy')},
-{_r6('r', 'pearson')}, {_r6('sqrt(1 + r)', 'radius_x')}, {_r6('sqrt(1 - r)', 'radius_y')}, {_r6('sqrt(vx)', 'scale_x')},
-{_r6('sqrt(vy)', 'scale_y')} FROM e""",
+        "ellipse": f"""WITH RECURSIVE {_PCA}, st AS (SELECT label, avg(pc1) AS center_x, avg(pc2) AS center_y, var_samp(pc1) AS var_x,
+  var_samp(pc2) AS var_y, covar_samp(pc1, pc2) AS cov_xy, corr(pc1, pc2) AS pearson FROM scores GROUP BY label)
+SELECT label, {", ".join(f"round({x}, 5) + 0.0::DOUBLE AS {name}" for x, name in (
+    ("center_x", "center_x"), ("center_y", "center_y"), ("var_x", "var_x"), ("var_y", "var_y"), ("cov_xy", "cov_xy"),
+    ("pearson", "pearson"), ("sqrt(1 + pearson)", "radius_x"), ("sqrt(1 - pearson)", "radius_y"), ("sqrt(var_x)", "scale_x"),
+    ("sqrt(var_y)", "scale_y")))} FROM st""",
+        "pca_scores": f"""WITH RECURSIVE {_PCA}
+SELECT row_id, label, round(pc1, 5) + 0.0::DOUBLE AS pc1, round(pc2, 5) + 0.0::DOUBLE AS pc2 FROM scores""",
+        "pca_explained": f"""WITH RECURSIVE {_PCA}
+SELECT component, pos, round(100 * share, 2) AS explained, round(v, 5) + 0.0::DOUBLE AS loading FROM parts""",
+
     }
     for name in ("signal_positions_cells", "spike_features_blocks", "spectrum_grid", "nearest_spike_cells", "spike_neighbours_cells"):
         sql[name] = sql[name.rpartition("_")[0]]

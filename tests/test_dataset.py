@@ -200,6 +200,35 @@ def test_standardize_and_pca(blobs):
     assert np.abs(np.corrcoef(scores.T) - np.eye(3)).max() < 1e-8
 
 
+@pytest.mark.parametrize("block, features", [(4, 7), (12, 1024), (64, 5)])
+def test_pca_by_krylov_blocks(spark, monkeypatch, block, features):
+    """A flat spectrum, from start blocks far smaller than the number of features."""
+    monkeypatch.setattr(pc, "_BLOCK", block)
+    monkeypatch.setattr(pc, "_FEATURES", features)
+    x = np.random.default_rng(3).normal(size=(200, 30))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").repartition(4)
+    z = (x - x.mean(0)) / x.std(0)
+    values, vectors = np.linalg.eigh(z.T @ z)
+    fit = pc.fit_pca(df, k=3)
+    np.testing.assert_allclose(fit.shares, values[::-1][:3] / values.sum(), rtol=1e-9)
+    np.testing.assert_allclose(np.abs(np.sum(fit.components() * vectors[:, ::-1][:, :3], axis=0)), 1, atol=1e-7)
+
+
+def test_pca_of_many_features(spark):
+    """20,000 features: a matrix of features by features would take 3.2 GB."""
+    rng = np.random.default_rng(5)
+    hidden = rng.normal(size=(120, 4)) * [5, 3, 2, 1]
+    x = hidden @ rng.normal(size=(4, 20_000)) + 0.5 * rng.normal(size=(120, 20_000))
+    df = spark.createDataFrame([(v.tolist(),) for v in x], "features array<double>").repartition(3)
+    z = (x - x.mean(0)) / x.std(0)
+    fit = pc.fit_pca(df, k=2)
+    _, s, v = np.linalg.svd(z, full_matrices=False)
+    np.testing.assert_allclose(fit.shares, s[:2] ** 2 / (s**2).sum(), rtol=1e-8)
+    np.testing.assert_allclose(np.abs(np.sum(fit.components() * v[:2].T, axis=0)), 1, atol=1e-8)
+    with pytest.raises(ValueError):
+        pc.fit_pca(df, k=0)
+
+
 def test_pca_on_other_labels(blobs):
     fit = pc.fit_pca(blobs, ["low", "mid"], 2)
     own = pc.apply_pca(fit, blobs, ["high"])
