@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 ROWS_PER_CELL = 1_000_000
 # A cell this many times too large means the cells do not fit the values.
 _LOPSIDED = 8
-# A frozen summary table is broadcast only up to this many rows; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+# A frozen summary table is broadcast only up to this many rows and bytes on disk; beyond them the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,22 +40,32 @@ def freeze(df: DataFrame) -> DataFrame:
 
     Cuts the lineage, so a lost executor cannot make two uses of ``df`` disagree, and gives the planner real sizes.
     """
+    return _stored(df)[0]
+
+
+def _stored(df: DataFrame) -> tuple[DataFrame, str]:
     path = f"{shared_dir(df.sparkSession)}/sigspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
 
 def small_side(df: DataFrame) -> DataFrame:
-    """Freeze a narrow per-key summary; mark it for broadcast only if its counted rows are within the limit."""
+    """Freeze a narrow per-key summary; mark it for broadcast only if its counted rows and bytes are within the limits."""
     return small_side_and_max(df)[0]
 
 
 def small_side_and_max(df: DataFrame, column: str | None = None) -> tuple[DataFrame, int]:
     """The same, with the largest value of a count column (0 if there are no rows)."""
-    frozen = freeze(df)
+    frozen, path = _stored(df)
     largest = F.lit(0) if column is None else F.coalesce(F.max(column), F.lit(0))
     rows, top = frozen.agg(F.count(F.lit(1)), largest).first()
-    return (F.broadcast(frozen) if rows <= BROADCAST_ROWS else frozen), top
+    small = rows <= BROADCAST_ROWS and _bytes(df.sparkSession, path) <= BROADCAST_BYTES
+    return (F.broadcast(frozen) if small else frozen), top
 
 
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

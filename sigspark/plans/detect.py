@@ -53,5 +53,8 @@ def detect_spikes(
     )
 
 
-def detect_files(spark: SparkSession, paths: Sequence[str], cfg: SpikeConfig) -> DataFrame:
-    return detect_spikes(read_recordings(spark, paths, cfg.skip_rows, cfg.time_like), cfg)
+def detect_files(
+    spark: SparkSession, paths: str | Sequence[str], cfg: SpikeConfig, include: Sequence[str] = (), exclude: Sequence[str] = ()
+) -> DataFrame:
+    """Read recordings - files, or a folder with rules on paths - and detect their spikes."""
+    return detect_spikes(read_recordings(spark, paths, cfg.skip_rows, cfg.time_like, include=include, exclude=exclude), cfg)

@@ -59,9 +59,11 @@ def process_to_dataset(signal: DataFrame, cfg: ProcessConfig) -> DataFrame:
     return labelled.withColumnRenamed("target", "label")
 
 
-def process_files(spark: SparkSession, paths: Sequence[str], cfg: ProcessConfig) -> DataFrame:
-    """Read recordings, then ``process_to_dataset`` or ``process`` as configured."""
-    signal = read_recordings(spark, paths, cfg.skip_rows, cfg.time_like)
+def process_files(
+    spark: SparkSession, paths: str | Sequence[str], cfg: ProcessConfig, include: Sequence[str] = (), exclude: Sequence[str] = ()
+) -> DataFrame:
+    """Read recordings - files, or a folder with rules on paths - then ``process_to_dataset`` or ``process`` as configured."""
+    signal = read_recordings(spark, paths, cfg.skip_rows, cfg.time_like, include=include, exclude=exclude)
     return process_to_dataset(signal, cfg) if cfg.dataset else process(signal, cfg)
 
 

@@ -7,31 +7,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigspark.functions.columns import contains_all, contains_any
 from sigspark.operators.scale import freeze, small_side
 
 _FILE_BLOCK = ["path", "_start"]
 
 
-def _pin_splits(spark: SparkSession) -> None:
-    """Cut files alike in every scan of the session, also if executors come and go in between."""
-    key = "spark.sql.files.minPartitionNum"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(spark.sparkContext.defaultParallelism))
-
-
-def _numbered_lines(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def numbered_lines(
+    spark: SparkSession, paths: str | Sequence[str], include: Sequence[str] = (), exclude: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
     """Lines with their number in the file, and per file the number of its last non-blank line.
 
-    A file may be read in many splits. Ids grow within a split, so a line's number is its id less the split's first
-    id, plus the lines of the splits before it: one summary row per split, and no sort of the data.
+    ``paths``: files, or a folder whose files are read at any depth; the rules on paths choose among them before any is
+    opened. A file may be read in many splits. Ids grow within a split, so a line's number is its id less the split's
+    first id, plus the lines of the splits before it: one summary row per split, and no sort of the data. The lines are
+    stored first, so that no later scan can cut the files otherwise.
     """
-    _pin_splits(spark)
-    text = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("path"),
+    text = spark.read.option("recursiveFileLookup", isinstance(paths, str)).text(paths if isinstance(paths, str) else list(paths))
+    file = F.col("_metadata.file_path")
+    text = freeze(text.where(contains_all(file, include) & ~contains_any(file, exclude)).select(
+        file.alias("path"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_id"),
         F.rtrim(F.regexp_replace("value", "\r$", "")).alias("line"),
-    )
+    ))
     solid = F.when(F.col("line") != "", F.col("_id"))
     splits = freeze(text.groupBy(*_FILE_BLOCK).agg(
         F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines"), F.max(solid).alias("_solid")
@@ -39,15 +38,20 @@ def _numbered_lines(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFram
     earlier = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     placed = splits.withColumn("_before", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
     ends = placed.groupBy("path").agg(F.max(F.col("_solid") - F.col("_first") + F.col("_before")).alias("_end"))
-    starts = small_side(placed.select(*_FILE_BLOCK, "_first", "_lines", "_before"))
-    offset = F.col("_id") - F.col("_first")
-    moved = F.raise_error(F.concat(F.lit("split layout changed while reading "), F.col("path"))).cast("long")
-    lines = text.join(starts, _FILE_BLOCK, "left").withColumn(
-        "_line", F.when((offset >= 0) & (offset < F.col("_lines")), offset + F.col("_before")).otherwise(moved)
-    )
+    starts = small_side(placed.select(*_FILE_BLOCK, "_first", "_before"))
+    lines = text.join(starts, _FILE_BLOCK).withColumn("_line", F.col("_id") - F.col("_first") + F.col("_before"))
     return lines.select("path", "_line", "line"), ends
 
 
+def cells(line: Column) -> Column:
+    """The cells of a CSV line. A cell in double quotes may hold commas, and quotes if doubled; it ends on its line."""
+    quoted = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',((?:\s*"(?:[^"]|"")*"\s*)|[^,]*)'), F.lit(1))
+    bare = F.transform(quoted, lambda c: F.when(
+        F.trim(c).startswith('"'), F.regexp_replace(F.substring(F.trim(c), F.lit(2), F.length(F.trim(c)) - 2), '""', '"')
+    ).otherwise(c))
+    return F.when(F.contains(line, F.lit('"')), bare).otherwise(F.split(line, ","))
+
+
 def _number(cell: Column) -> Column:
     """Numeric cell; an empty one is null, any other text stops the job."""
     return F.when(F.trim(cell) != "", cell).cast("double")
@@ -55,19 +59,22 @@ def _number(cell: Column) -> Column:
 
 def read_recordings(
     spark: SparkSession,
-    paths: Sequence[str],
+    paths: str | Sequence[str],
     skip_rows: int = 0,
     time_like: str = "Time",
     header: Sequence[str] | None = None,
+    include: Sequence[str] = (),
+    exclude: Sequence[str] = (),
 ) -> DataFrame:
-    """Read recordings of any mix of layouts into one long signal.
+    """Read recordings of any mix of layouts into one long signal: the given files, or those of a folder at any depth
+    whose paths hold every ``include`` and no ``exclude`` text.
 
     The first ``skip_rows`` lines are metadata, the next is the header (or pass ``header`` if all files share one, to
     save a pass). Columns whose name contains ``time_like`` are not channels; the first of them becomes ``t``.
     ``recording_id`` is the file path. Blank lines may only end a file.
     """
-    lines, ends = _numbered_lines(spark, paths)
-    names = F.transform(F.split("line", ","), lambda c: F.trim(c))
+    lines, ends = numbered_lines(spark, paths, include, exclude)
+    names = F.transform(cells(F.col("line")), lambda c: F.trim(c))
     if header is None:
         heads = lines.where(F.col("_line") == skip_rows).select("path", names.alias("_names"))
     else:
@@ -81,9 +88,10 @@ def read_recordings(
     data = lines.join(small_side(heads), "path").where(
         (F.col("_line") > skip_rows) & (F.col("_line") <= F.col("n") + skip_rows)
     )
-    cells = F.split("line", ",")
-    checked = F.when(F.size(cells) >= F.size("_names"), cells).otherwise(
-        F.raise_error(F.format_string("line %s of %s has too few values", F.col("_line") + 1, F.col("path")))
+    found = cells(F.col("line"))
+    wrong = F.when(F.size(found) < F.size("_names"), F.lit("few")).otherwise(F.lit("many"))
+    checked = F.when(F.size(found) == F.size("_names"), found).otherwise(
+        F.raise_error(F.format_string("line %s of %s has too %s values", F.col("_line") + 1, F.col("path"), wrong))
     )
     time_at = F.array_position("_times", F.lit(True))
     rows = data.select(

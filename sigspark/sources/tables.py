@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.operators.spikes import SPIKE_COLUMNS
+from sigspark.sources.files import sibling_path
+from sigspark.sources.recordings import cells, numbered_lines
+
+# Sample indices of a segment that one file holds, for all its channels.
+SAMPLES_PER_FILE = 1 << 20
 
 # Headers of the spike table; ### stands for the unit.
 SPIKE_HEADERS = [
@@ -30,20 +35,37 @@ def find_label_col(columns: Sequence[str]) -> str | None:
 def read_dataset(spark: SparkSession, path: str, label_col: str | None = None) -> DataFrame:
     """Feature set from CSV (one column per feature, one label column) or from Parquet written by ``write_dataset``.
 
-    CSV rows get a ``row_id`` in reading order.
+    The row ids of a CSV are its file and line: the same in every reading, and apart in different files.
     """
     if not path.endswith(".csv"):
         return spark.read.parquet(path)
-    wide = spark.read.csv(path, header=True)
-    label = label_col or find_label_col(wide.columns)
-    if label not in wide.columns:
+    lines, ends = numbered_lines(spark, path)
+    heads = lines.where("_line = 0").select(F.transform(cells(F.col("line")), lambda c: F.trim(c)).alias("names")).distinct().limit(2).collect()
+    if len(heads) > 1:
+        raise ValueError("the files have different columns")
+    names = heads[0]["names"] if heads else []
+    label = label_col or find_label_col(names)
+    if label not in names:
         raise ValueError("no label column found: name it")
-    features = [F.trim(F.col(f"`{c}`")).cast("double") for c in wide.columns if c != label]
-    return wide.select(
-        F.monotonically_increasing_id().alias("row_id"),
-        F.array(*features).alias("features"),
-        F.col(f"`{label}`").alias("label"),
-    )
+    at, found = names.index(label), F.col("cells")
+    wrong = F.raise_error(F.format_string("line %s of %s does not have %s values", F.col("_line") + 1, F.col("path"), F.lit(len(names))))
+    rows = lines.join(ends, "path").where("_line > 0 AND _line <= _end").withColumn("cells", cells(F.col("line")))
+    rows = rows.withColumn("cells", F.when(F.size("cells") == len(names), found).otherwise(wrong))
+    number = F.transform(F.concat(F.slice(found, 1, at), F.slice(found, at + 2, len(names))), lambda c: F.when(F.trim(c) != "", F.trim(c)).cast("double"))
+    return rows.select(F.format_string("%s:%012d", F.col("path"), F.col("_line")).alias("row_id"), number.alias("features"),
+                       F.when(found[at] != "", found[at]).alias("label"))
+
+
+def read_pair(spark: SparkSession, path: str, label_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The train and the test set, given the path of either; the other one must lie beside it."""
+    other = sibling_path(path)
+    if other is None:
+        raise ValueError(f"{path} is named neither as a train nor as a test set")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(other)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        raise FileNotFoundError(f"{other} does not exist")
+    train, test = (path, other) if "_Xy_train." in path else (other, path)
+    return read_dataset(spark, train, label_col), read_dataset(spark, test, label_col)
 
 
 def write_dataset(dataset: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -56,10 +78,14 @@ def write_dataset(dataset: DataFrame, path: str, mode: str = "errorifexists") ->
     dataset.select(*columns, "label").write.mode(mode).csv(path, header=True)
 
 
-def write_signal(signal: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Processed samples, one folder per recording and segment (recording paths are stored escaped)."""
+def write_signal(signal: DataFrame, path: str, mode: str = "errorifexists", samples: int = SAMPLES_PER_FILE) -> None:
+    """Processed samples, one folder per recording and segment (recording paths are stored escaped).
+
+    A range of ``samples`` indices of a segment is dealt to one task, so a segment has one file for each range.
+    """
     keys = [c for c in ("recording_id", "segment_id") if c in signal.columns]
-    signal.write.mode(mode).partitionBy(*keys).parquet(path)
+    dealt = signal.withColumn("_range", F.expr(f"idx DIV {samples}")).repartition(*keys, "_range")
+    dealt.drop("_range").write.mode(mode).partitionBy(*keys).parquet(path)
 
 
 def write_split(train: DataFrame, test: DataFrame, path: str, mode: str = "errorifexists") -> tuple[str, str]:

@@ -90,6 +90,70 @@ def test_read_recordings_in_many_splits(spark, folder):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def test_read_folder_by_rules(spark, folder):
+    """A folder is read by rules on its paths; files that break them are not opened."""
+    root, data = folder
+    check_signal(rec.read_recordings(spark, root, 6, include=["Analog.csv"], exclude=["T30"]), data)
+    lines, _ = rec.numbered_lines(spark, root, ["rec2_Analog.csv"])
+    assert {r[0].rsplit("/", 1)[1] for r in lines.select("path").distinct().collect()} == {"rec2_Analog.csv"}
+    cfg = ProcessConfig(skip_rows=6, segments=2)
+    assert process_files(spark, root, cfg, ["rec3"]).select("channel").distinct().count() == 2
+
+
+def test_quoted_and_surplus_cells(spark, tmp_path):
+    path = tmp_path / "quoted.csv"
+    path.write_text('"Time, s","E ""1""", E2\n0,"1.5",2\n1, "2.5" ,""\n')
+    rows = rec.read_recordings(spark, [str(path)]).collect()
+    assert {(r["channel"], r["idx"], r["t"], r["value"]) for r in rows} == {
+        ('E "1"', 0, 0.0, 1.5), ('E "1"', 1, 1.0, 2.5), ("E2", 0, 0.0, 2.0), ("E2", 1, 1.0, None)}
+    more = tmp_path / "more.csv"
+    more.write_text("Time,E\n0,1,2\n")
+    with pytest.raises(Exception, match="too many values"):
+        rec.read_recordings(spark, [str(more)]).collect()
+
+
+def test_reading_leaves_the_session_alone(spark, folder):
+    before = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    rec.read_recordings(spark, folder[0], 6, include=["rec1"]).count()
+    after = {r["key"]: r["value"] for r in spark.sql("SET").collect()}
+    assert {k for k in before.keys() | after.keys() if before.get(k) != after.get(k)} <= {"spark.checkpoint.dir"}
+
+
+def test_row_ids_of_a_csv_are_repeatable(spark, tmp_path):
+    one, two = tmp_path / "one.csv", tmp_path / "two.csv"
+    text = "a,label\n" + "".join(f"{i},{'xy'[i % 2]}\n" for i in range(500))
+    one.write_text(text)
+    two.write_text(text)
+    ids = [{r["features"][0]: r["row_id"] for r in tb.read_dataset(spark, str(one)).collect()}]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        ids.append({r["features"][0]: r["row_id"] for r in tb.read_dataset(spark, str(one)).collect()})
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ids[0] == ids[1] and len(set(ids[0].values())) == 500
+    other = {r["row_id"] for r in tb.read_dataset(spark, str(two)).collect()}
+    assert not other & set(ids[0].values())
+
+
+def test_read_pair(spark, tmp_path):
+    df = spark.createDataFrame([(1, [1.0, 2.0], "a"), (2, [3.0, 4.0], "b")], "row_id long, features array<double>, label string")
+    paths = tb.write_split(df.where("row_id = 1"), df, str(tmp_path / "set.csv"))
+    for path in paths:
+        train, test = tb.read_pair(spark, path)
+        assert (train.count(), test.count()) == (1, 2)
+    with pytest.raises(ValueError):
+        tb.read_pair(spark, str(tmp_path / "set.csv"))
+    with pytest.raises(FileNotFoundError):
+        tb.read_pair(spark, str(tmp_path / "none_Xy_train.csv"))
+
+
+def test_segments_have_a_file_for_each_range(spark, long_signal, tmp_path):
+    sig = long_signal({("r", "a"): range(100), ("r", "b"): range(100), ("s", "a"): range(40)}).repartition(7)
+    tb.write_signal(sig, str(tmp_path / "sig"), samples=30)
+    files = list((tmp_path / "sig").rglob("*.parquet"))
+    assert len(files) <= 4 + 2 and spark.read.parquet(str(tmp_path / "sig")).count() == 240
+
+
 def test_read_with_given_header(spark, folder):
     root, data = folder
     only = {k: v for k, v in data.items() if k[0] == "rec1_Analog.csv"}
