@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -30,11 +31,14 @@ from sigspark.operators import raster as ra  # noqa: E402
 from sigspark.operators import runs as rn  # noqa: E402
 from sigspark.operators import signal as sg  # noqa: E402
 from sigspark.operators import spikes as sp  # noqa: E402
-from sigspark.operators.scale import freeze  # noqa: E402
-from sigspark.plans.config import ProcessConfig, SpikeConfig  # noqa: E402
+from sigspark.operators.scale import freeze, shared_dir  # noqa: E402
+from sigspark.plans.config import LearnConfig, ProcessConfig, SpikeConfig  # noqa: E402
 from sigspark.plans.detect import accepted_spikes, detect_spikes  # noqa: E402
+from sigspark.plans.learn import learn  # noqa: E402
 from sigspark.plans.process import process, process_to_dataset  # noqa: E402
 from sigspark.sources import files as fs  # noqa: E402
+from sigspark.sources import recordings as rec  # noqa: E402
+from sigspark.sources import tables as tb  # noqa: E402
 
 LABELS = [str(i) for i in range(10)]
 MAPPING = {"/fr/": "french", "/de/": "german", "page=": "paged", "example": ""}
@@ -137,6 +141,27 @@ def spike_table(spark: SparkSession, sf: str) -> DataFrame:
     return freeze(detect_spikes(signal(spark, sf), SPIKES))
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder that all executors can reach."""
+    return f"{shared_dir(spark)}/queries/{uuid.uuid4().hex}"
+
+
+def recording_files(spark: SparkSession, sf: str) -> str:
+    """A folder of recordings: per supplier a CSV with a line of notes, a header with a quoted name, and a line per order."""
+    rows = (
+        table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("recording"), F.col("l_orderkey").alias("at"))
+        .agg(F.sum("l_quantity").cast("string").alias("e1"), F.max("l_partkey").cast("string").alias("e2"))
+        .select("recording", "at", F.concat_ws(",", "at", "e1", "e2").alias("value"))
+    )
+    heads = F.array(F.struct(F.lit(-2).cast("long").alias("at"), F.lit("notes, of any kind").alias("value")),
+                    F.struct(F.lit(-1).cast("long").alias("at"), F.lit('TimeStamp [s],E1,"E, 2"').alias("value")))
+    named = rows.select("recording").distinct().select("recording", F.inline(heads))
+    path = _folder(spark)
+    dealt = rows.unionByName(named).repartition("recording").sortWithinPartitions("recording", "at")
+    dealt.drop("at").write.partitionBy("recording").text(path)
+    return path
+
+
 # --- queries ---------------------------------------------------------------------------------------------------
 
 
@@ -178,6 +203,63 @@ def q_wide_to_long(spark, sf):
     return sg.to_signal(wide, ["TimeStamp"]).select("recording_id", "channel", "channel_pos", "idx", "n", "t", "value")
 
 
+def _recording():
+    return F.regexp_extract("recording_id", r"recording=(\d+)", 1)
+
+
+def q_recording_files(spark, sf):
+    """Recordings found in a folder and read: files of different lengths, notes skipped, names from each header."""
+    out = rec.read_recordings(spark, recording_files(spark, sf), 1, include=["recording="])
+    return out.withColumn("recording_id", _recording())
+
+
+def q_recording_single(spark, sf):
+    """One file, chosen from the listing of its folder."""
+    path = fs.select_paths(fs.list_files(spark, recording_files(spark, sf)), ["recording=3/"]).first()["path"]
+    return rec.read_recordings(spark, [path], 1).withColumn("recording_id", _recording())
+
+
+def q_listed_files(spark, sf):
+    """The files of a folder at any depth, by the recording that their path names."""
+    files = fs.list_files(spark, recording_files(spark, sf)).withColumnRenamed("path", "recording_id")
+    return files.groupBy(_recording().alias("recording_id")).agg(F.count(F.lit(1)).alias("files"))
+
+
+def q_dataset_file(spark, sf):
+    """A feature set written as CSV and read back, its label column found by name; the row's number is feature 0."""
+    rows = features(spark, sf)
+    path = _folder(spark) + "/set.csv"
+    tb.write_dataset(rows.withColumn("features", F.concat(F.array(F.col("row_id").cast("double")), "features")), path)
+    back = tb.read_dataset(spark, path)
+    return back.select(F.col("features")[0].cast("long").alias("row_id"), "label", F.posexplode("features").alias("pos", "v")).where(
+        "pos > 0").select("row_id", "label", (F.col("pos") - 1).alias("pos"), r6("v").alias("value"))
+
+
+def q_split_files(spark, sf):
+    """A split written as two CSV files and read back from the path of the second."""
+    numbered = features(spark, sf).withColumn("features", F.array(F.col("row_id").cast("double")))
+    paths = tb.write_split(*ds.split(numbered, 0.7, "s1"), _folder(spark) + "/set.csv")
+    parts = [rows.withColumn("part", F.lit(name)) for name, rows in zip(("train", "test"), tb.read_pair(spark, paths[1]))]
+    return parts[0].unionByName(parts[1]).select("part", F.col("features")[0].cast("long").alias("row_id"), "label")
+
+
+def q_signal_files(spark, sf):
+    """Segments written and read back, with the number of files that each has."""
+    path = _folder(spark)
+    tb.write_signal(sg.segment(signal(spark, sf), 4), path)
+    back = spark.read.parquet(path).withColumn("file", F.col("_metadata.file_path"))
+    return back.groupBy("recording_id", F.col("segment_id").cast("long").alias("segment_id")).agg(
+        F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("samples"), r6(F.avg("value")).alias("mean"))
+
+
+def q_spike_file(spark, sf):
+    """The spike table written as CSV with units in its headers and read back."""
+    path = _folder(spark) + "/spikes.csv"
+    tb.write_spikes(detect_spikes(signal(spark, sf), SPIKES), path, "pV")
+    units = sum("[pV]" in c for c in spark.read.csv(path, header=True).columns)
+    return _spike_columns(tb.read_spikes(spark, path)).withColumn("unit_headers", F.lit(units).cast("long"))
+
+
 def q_channel_stats(spark, sf):
     return sg.channel_stats(signal(spark, sf)).select(
         "recording_id", "channel", "n", r6("std").alias("std"), r6("max_abs").alias("max_abs")
@@ -480,13 +562,7 @@ def q_run_gaps(spark, sf):
 
 
 def q_best_runs(spark, sf):
-    rows = runs(spark, sf)
-    picks = [rn.best_run(rows, s).select(F.lit(s).alias("score"), "run_id") for s in
-             ("trust", "relative_cv", "cv", "train", "test")]
-    out = picks[0]
-    for p in picks[1:]:
-        out = out.unionByName(p)
-    return out
+    return rn.best_runs(runs(spark, sf), ["trust", "relative_cv", "cv", "train", "test"]).select("score", "run_id")
 
 
 def q_runs_summary(spark, sf):
@@ -494,9 +570,15 @@ def q_runs_summary(spark, sf):
 
 
 def q_run_report(spark, sf):
-    return rn.report(runs(spark, sf)).where(F.col("section").isin("best", "params", "all")).select(
-        "section", "name", "value", "text", "band"
-    )
+    return rn.report(runs(spark, sf)).select("section", "name", "value", "std", "text", "band")
+
+
+def q_report_file(spark, sf):
+    """The report written as CSV and read back."""
+    path = _folder(spark)
+    tb.write_metrics(rn.report(runs(spark, sf)), path)
+    kinds = "section string, name string, value double, std double, text string, band string"
+    return spark.read.schema(kinds).csv(path, header=True)
 
 
 def q_standardized(spark, sf):
@@ -535,6 +617,46 @@ def q_forest_confusion(spark, sf):
     return ev.confusion(ml.predict(model, test), LABELS)
 
 
+def q_forest_importance_sum(spark, sf):
+    model = ml.train_rf(features(spark, sf), {"n_estimators": 5, "max_depth": 4}, seed=1)
+    return ml.feature_importance(spark, model).agg(F.count(F.lit(1)).alias("features"), F.round(F.sum("importance"), 9).alias("total"))
+
+
+def q_forest_saved(spark, sf):
+    """Predictions of a forest and of the same one saved and loaded, by label."""
+    train, test = ds.split(features(spark, sf), 0.7, "s1")
+    model, path = ml.train_rf(train, {"n_estimators": 5, "max_depth": 5}, seed=1), _folder(spark)
+    ml.save_model(spark, model, path)
+    here, there = (ml.predict(m, test).select("row_id", F.col("actual").alias("label"), "predicted", "probabilities")
+                   for m in (model, ml.load_model(spark, path)))
+    there = there.select("row_id", F.col("predicted").alias("again"), F.col("probabilities").alias("chances"))
+    same = (F.col("predicted") == F.col("again")) & (F.col("probabilities") == F.col("chances"))
+    return here.join(there, "row_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(same.cast("long")).alias("same"))
+
+
+#: Values to try; the data decide on none of them.
+GRID = {"n_estimators": "2, 3", "max_depth": "2, 4", "criterion": ["gini"]}
+
+
+def q_learn_runs(spark, sf):
+    """A grid searched: per run its settings, the number of fold scores, and whether all scores are shares."""
+    train, test = ds.split(features(spark, sf), 0.7, "s1")
+    got = learn(train, test, LearnConfig(grid=GRID, fixed={"bootstrap": True}, folds=2))
+    scores = F.concat("cv_scores", F.array("train_acc", "test_acc", "f1", "recall", "precision"))
+    params = [F.col("params")[name].alias(name) for name in ("n_estimators", "max_depth", "criterion", "bootstrap")]
+    return got.runs.select(*params, F.size("cv_scores").alias("folds"),
+                           F.forall(scores, lambda x: (x >= 0) & (x <= 1)).alias("shares"))
+
+
+def q_param_grid(spark, sf):
+    """All combinations of settings whose values come from the data, with the fixed ones."""
+    parts = table(spark, sf, "part")
+    values = {c: [r[0] for r in parts.select(c).distinct().orderBy(c).limit(4).collect()] for c in ("p_size", "p_brand")}
+    combos = ml.param_grid({k: v for k, v in values.items()}, {"n_estimators": "100", "p_size": 0})
+    return spark.createDataFrame([(int(c["p_size"]), str(c["p_brand"]), int(c["n_estimators"])) for c in combos],
+                                 "p_size long, p_brand string, n_estimators long")
+
+
 def q_forest_importance(spark, sf):
     model = ml.train_rf(features(spark, sf), {"n_estimators": 10, "max_depth": 5}, seed=1)
     return ml.feature_importance(spark, model)
@@ -610,6 +732,13 @@ _LONG = """sig AS (
            l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS idx,
          count(*) OVER (PARTITION BY l_suppkey) AS n, l_extendedprice - 35000.0::DOUBLE AS value
   FROM lineitem)"""
+_WIDE = """WITH w AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS recording_id, l_orderkey AS t, sum(l_quantity) AS E1, max(l_partkey) AS E2
+  FROM lineitem{where} GROUP BY 1, 2),
+num AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS idx,
+               count(*) OVER (PARTITION BY recording_id) AS n FROM w)
+SELECT recording_id, 'E1' AS channel, CAST({first} AS BIGINT) AS channel_pos, idx, n, t::DOUBLE AS t, E1::DOUBLE AS value FROM num
+UNION ALL SELECT recording_id, '{e2}', {first} + 1, idx, n, t::DOUBLE, E2::DOUBLE FROM num"""
 _STATS = """st AS (
   SELECT recording_id, channel, min(channel_pos) AS channel_pos, count(*) AS n, stddev_pop(value) AS std,
          max(abs(value)) AS max_abs
@@ -859,16 +988,29 @@ FROM embeddings"""
                "WHEN contains(url, 'page=') THEN 'paged' WHEN contains(url, 'example') THEN 'example' END"
     url_last = "CASE WHEN contains(url, 'example') THEN 'example' WHEN contains(url, 'page=') THEN 'paged' " \
                "WHEN contains(url, '/de/') THEN 'german' WHEN contains(url, '/fr/') THEN 'french' END"
-    best = """best AS (SELECT * FROM scored ORDER BY trust DESC, run_id LIMIT 1)"""
+    report = f"""WITH {_RUNS}, best AS (SELECT * FROM scored ORDER BY trust DESC, run_id LIMIT 1),
+x AS (SELECT 'train' AS metric, tr AS x FROM runs UNION ALL SELECT 'test', te FROM runs UNION ALL SELECT 'kfold', score FROM folds),
+m AS (SELECT metric, round_even(avg(x), 3) AS mean, round_even(stddev_pop(x), 3) AS std FROM x GROUP BY metric), v AS (
+  SELECT 'best' AS section, 'train_acc' AS name, tr AS value, NULL::DOUBLE AS std, NULL AS text, {_band('tr')} AS band FROM best
+  UNION ALL SELECT 'best', 'test_acc', te, NULL, NULL, {_band('te')} FROM best
+  UNION ALL SELECT 'best', 'kfold', round_even(cm, 3), round_even(cs, 3), NULL, {_band('round_even(cm, 3)')} FROM best
+  UNION ALL SELECT 'best', 'kfold_difference', round_even(tr - round_even(cm, 3), 3), NULL, NULL, NULL FROM best
+  UNION ALL SELECT 'best', 'kfold_gap', gap, NULL, NULL, {_gap_band('gap')} FROM best
+  UNION ALL SELECT 'best', 'trust', round_even(trust, 3), NULL, NULL, {_band('round_even(trust, 3)')} FROM best
+  UNION ALL SELECT 'params', 'supplier', NULL, NULL, CAST(run_id AS VARCHAR), NULL FROM best
+  UNION ALL SELECT 'average', metric, mean, std, NULL, {_band('mean')} FROM m
+  UNION ALL SELECT 'all', 'runs', count(*)::DOUBLE, NULL, NULL, NULL FROM runs)
+SELECT section, name, value, std, text, band FROM v"""
     sql = _corpus()[1] | {
         "signal_positions": f"WITH {_SIG} SELECT {keys}, idx, n, value FROM sig",
-        "wide_to_long": """WITH w AS (
-  SELECT CAST(l_suppkey AS VARCHAR) AS recording_id, l_orderkey AS t, sum(l_quantity) AS E1, max(l_partkey) AS E2
-  FROM lineitem GROUP BY 1, 2),
-num AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY t) - 1 AS idx,
-               count(*) OVER (PARTITION BY recording_id) AS n FROM w)
-SELECT recording_id, 'E1' AS channel, CAST(0 AS BIGINT) AS channel_pos, idx, n, t::DOUBLE AS t, E1::DOUBLE AS value FROM num
-UNION ALL SELECT recording_id, 'E2', 1, idx, n, t::DOUBLE, E2::DOUBLE FROM num""",
+        "wide_to_long": _WIDE.format(e2="E2", where="", first=0),
+        "recording_files": _WIDE.format(e2="E, 2", where="", first=1),
+        "recording_single": _WIDE.format(e2="E, 2", where=" WHERE l_suppkey = 3", first=1),
+        "listed_files": "SELECT CAST(l_suppkey AS VARCHAR) AS recording_id, 1::BIGINT AS files FROM lineitem GROUP BY l_suppkey",
+        "dataset_file": f"""WITH {_FEAT} SELECT row_id, label, pos::INTEGER AS pos, {_r6('v', 'value')} FROM feat""",
+        "split_files": f"""WITH {split} SELECT CASE WHEN r <= floor(0.7 * c) THEN 'train' ELSE 'test' END AS part, row_id, label FROM feat""",
+        "signal_files": f"""WITH {seg} SELECT recording_id, segment_id, 1::BIGINT AS files, count(*) AS samples, {_r6('avg(value)', 'mean')}
+FROM seg GROUP BY recording_id, segment_id""",
         "channel_stats": f"WITH {_SIG}, {_STATS} SELECT {keys}, n, {_r6('std', 'std')}, {_r6('max_abs', 'max_abs')} FROM st",
         "top_channels": f"WITH {_SIG}, {_STATS} SELECT {keys}, rank, {_r6('std', 'std')} FROM rk WHERE rank <= 5",
         "top_channel_samples": f"""WITH {_SIG}, {_STATS} SELECT sig.recording_id, sig.channel, sig.idx, sig.value
@@ -946,6 +1088,9 @@ first_idx, last_idx FROM pk""",
         "spike_refractory": f"{spikes} SELECT recording_id, channel, idx, peak_idx FROM acc",
         "spike_features": f"""{spikes} SELECT key, file, sampling_hz, n_values, target, column_id, crossing_idx, peak_value,
 peak_idx, min_value, max_value, {_r6('slope', 'slope')}, {_r6('extrema_ratio', 'extrema_ratio')}, first_idx, last_idx FROM spk""",
+        "spike_file": f"""{spikes} SELECT key, file, sampling_hz, n_values, target, column_id, crossing_idx, peak_value,
+peak_idx, min_value, max_value, {_r6('slope', 'slope')}, {_r6('extrema_ratio', 'extrema_ratio')}, first_idx, last_idx,
+4::BIGINT AS unit_headers FROM spk""",
         "spike_features_trimmed": f"""{trimmed} SELECT file, column_id, crossing_idx, peak_idx, {_r6('peak_value', 'peak_value')},
 first_idx, last_idx, {_r6('min_value', 'min_value')}, {_r6('max_value', 'max_value')}, round(slope, 4) AS slope,
 round(extrema_ratio, 4) AS extrema_ratio FROM spk""",
@@ -1012,16 +1157,14 @@ ELSE 'very high' END AS risk, {_gap_band('gap')} AS band FROM g""",
         "runs_summary": f"""WITH {_RUNS}, v AS (SELECT 'train' AS metric, tr AS x FROM runs
   UNION ALL SELECT 'test', te FROM runs UNION ALL SELECT 'kfold', score FROM folds)
 SELECT metric, round_even(avg(x), 3) AS mean, round_even(stddev_pop(x), 3) AS std FROM v GROUP BY metric""",
-        "run_report": f"""WITH {_RUNS}, {best}, v AS (
-  SELECT 'best' AS section, 'train_acc' AS name, tr AS value, NULL AS text, {_band('tr')} AS band FROM best
-  UNION ALL SELECT 'best', 'test_acc', te, NULL, {_band('te')} FROM best
-  UNION ALL SELECT 'best', 'kfold', round_even(cm, 3), NULL, {_band('round_even(cm, 3)')} FROM best
-  UNION ALL SELECT 'best', 'kfold_difference', round_even(tr - round_even(cm, 3), 3), NULL, NULL FROM best
-  UNION ALL SELECT 'best', 'kfold_gap', gap, NULL, {_gap_band('gap')} FROM best
-  UNION ALL SELECT 'best', 'trust', round_even(trust, 3), NULL, {_band('round_even(trust, 3)')} FROM best
-  UNION ALL SELECT 'params', 'supplier', NULL, CAST(run_id AS VARCHAR), NULL FROM best
-  UNION ALL SELECT 'all', 'runs', count(*)::DOUBLE, NULL, NULL FROM runs)
-SELECT section, name, value, text, band FROM v""",
+        "run_report": report,
+        "report_file": report,
+        "forest_importance_sum": "SELECT max(len(embedding))::BIGINT AS features, 1.0::DOUBLE AS total FROM embeddings",
+        "forest_saved": f"WITH {split} SELECT label, count(*) AS n, count(*) AS same FROM feat WHERE r > floor(0.7 * c) GROUP BY label",
+        "learn_runs": """SELECT n_estimators, max_depth, 'gini' AS criterion, 'True' AS bootstrap, 2 AS folds, true AS shares
+FROM (VALUES ('2'), ('3')) a(n_estimators), (VALUES ('2'), ('4')) b(max_depth)""",
+        "param_grid": """SELECT p_size::BIGINT AS p_size, p_brand, 100::BIGINT AS n_estimators
+FROM (SELECT DISTINCT p_size FROM part ORDER BY 1 LIMIT 4), (SELECT DISTINCT p_brand FROM part ORDER BY 1 LIMIT 4)""",
         "standardized": f"""WITH {_FEAT}, s AS (SELECT pos, avg(v) AS m, stddev_pop(v) AS sd FROM feat GROUP BY pos)
 SELECT row_id, CAST(pos AS INTEGER) AS pos, {_r6('(v - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END', 'value')} FROM feat JOIN s USING (pos)""",
         "ellipse": f"""WITH RECURSIVE {_PCA}, st AS (SELECT label, avg(pc1) AS center_x, avg(pc2) AS center_y, var_samp(pc1) AS var_x,

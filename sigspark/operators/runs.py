@@ -6,6 +6,8 @@ optionally ``f1``, ``recall``, ``precision``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,11 +34,21 @@ def _rank(score: str) -> Column:
     }[score]
 
 
+def best_runs(runs: DataFrame, scores: Sequence[str], absolute_gap: bool = False) -> DataFrame:
+    """The best run by each of the scores, in one pass: the run's columns with ``score`` in front."""
+    scored = with_scores(runs, absolute_gap)
+
+    def best(score: str) -> Column:
+        order = F.struct(F.coalesce(_rank(score), F.lit(float("-inf"))), -F.col("run_id"))
+        return F.max_by(F.struct(*scored.columns), order)
+
+    rows = scored.agg(F.array(*[F.struct(F.lit(s).alias("score"), best(s).alias("run")) for s in scores]).alias("best"))
+    return rows.select(F.inline("best")).where(F.col("run").isNotNull()).select("score", "run.*")
+
+
 def best_run(runs: DataFrame, score: str = "trust", absolute_gap: bool = False) -> DataFrame:
     """The single best run; the earlier one wins a tie. A run without the score loses to any with it."""
-    scored = with_scores(runs, absolute_gap)
-    order = F.struct(F.coalesce(_rank(score), F.lit(float("-inf"))), -F.col("run_id"))
-    return scored.agg(F.max_by(F.struct(*scored.columns), order).alias("best")).select("best.*")
+    return best_runs(runs, [score], absolute_gap).drop("score")
 
 
 def runs_summary(runs: DataFrame) -> DataFrame:

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.learning.models import TRAINERS, Model, param_grid, predict
+from sigspark.learning.models import TRAINERS, Model, load_model, param_grid, predict, save_model
 from sigspark.operators import evaluate as ev
 from sigspark.operators.dataset import assign_folds, filter_labels, merge
 from sigspark.operators.runs import best_run, report
-from sigspark.operators.scale import freeze
+from sigspark.operators.scale import freeze, shared_dir
 from sigspark.plans.config import LearnConfig
 
 RUN_SCHEMA = (
@@ -24,10 +25,16 @@ RUN_SCHEMA = (
 
 @dataclass
 class Learned:
+    """The runs and what was chosen; models stay in storage until ``model`` loads the best one."""
+
     runs: DataFrame
     best: DataFrame
     report: DataFrame
-    model: Model
+    folder: str
+
+    @property
+    def model(self) -> Model:
+        return load_model(self.runs.sparkSession, f"{self.folder}/model={self.best.first()['run_id']}")
 
 
 def kfold_scores(dataset: DataFrame, k: int, train, seed: int = 0, row_id: str = "row_id") -> list[float]:
@@ -40,39 +47,56 @@ def kfold_scores(dataset: DataFrame, k: int, train, seed: int = 0, row_id: str =
     return scores
 
 
-def learn(train: DataFrame, test: DataFrame, cfg: LearnConfig, row_id: str = "row_id") -> Learned:
+def finished(spark: SparkSession, folder: str) -> DataFrame | None:
+    """The ledger of runs that a folder holds, if any."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/runs")
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.schema(RUN_SCHEMA).parquet(f"{folder}/runs").drop("run")
+
+
+def learn(train: DataFrame, test: DataFrame, cfg: LearnConfig, row_id: str = "row_id", folder: str | None = None) -> Learned:
     """Grid search. Each fit is a distributed job; ``parallelism`` of them run side by side.
 
-    k-fold scores are taken on train and test rows together, with the model refitted per fold.
+    k-fold scores are taken on train and test rows together, with the model refitted per fold. Each run writes its model
+    and then a line of the ledger to ``folder`` (a new one in the shared folder by default); a search that is started
+    again with the same folder, data and settings goes on with the runs that have no line yet. The driver holds a model
+    only while its run lasts.
     """
     cfg.validate()
     columns = [row_id, "features", "label"]
     train, test = train.select(*columns), test.select(*columns)
     if cfg.labels is not None:
         train, test = filter_labels(train, cfg.labels), filter_labels(test, cfg.labels)
-    folded = freeze(assign_folds(merge(train, test), cfg.folds, cfg.seed, row_id)) if cfg.folds else None
-    train, test = freeze(train), freeze(test)
+    spark = train.sparkSession
+    folder = folder or f"{shared_dir(spark)}/sigspark/{uuid.uuid4().hex}"
     fit = TRAINERS[cfg.kind]
     combos = param_grid(cfg.grid, cfg.fixed)
+    ledger = finished(spark, folder)
+    named = [{k: str(v) for k, v in combo.items()} for combo in combos]
+    done = {} if ledger is None else {r["run_id"]: r["params"] for r in ledger.select("run_id", "params").collect()}
+    if any(named[i] != params for i, params in done.items() if i < len(named)) or any(i >= len(named) for i in done):
+        raise ValueError(f"{folder} holds the runs of another grid")
+    folded = freeze(assign_folds(merge(train, test), cfg.folds, cfg.seed, row_id)) if cfg.folds else None
+    train, test = freeze(train), freeze(test)
 
-    def run(params: dict) -> tuple[Model, tuple]:
+    def run(i: int) -> None:
+        params = combos[i]
         model = fit(train, params, cfg.seed)
         predicted = predict(model, test)
         macro = ev.macro_metrics(predicted).first() if cfg.kind == "rf" else {}
         scores = kfold_scores(folded, cfg.folds, lambda rows: fit(rows, params, cfg.seed)) if cfg.folds else None
-        return model, (
-            {k: str(v) for k, v in params.items()},
-            scores,
+        row = (
+            i, named[i], scores,
             ev.accuracy(predict(model, train)).first()["accuracy"],
             ev.accuracy(predicted).first()["accuracy"],
             *(macro[m] if macro else None for m in ("f1", "recall", "precision")),
         )
+        save_model(spark, model, f"{folder}/model={i}")
+        spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{folder}/runs/run={i}")
 
     with ThreadPoolExecutor(max_workers=cfg.parallelism) as pool:
-        results = list(pool.map(inheritable_thread_target(train.sparkSession)(run), combos))
-    spark = train.sparkSession
-    runs = spark.createDataFrame([(i, *row) for i, (_, row) in enumerate(results)], RUN_SCHEMA)
+        list(pool.map(inheritable_thread_target(spark)(run), [i for i in range(len(combos)) if i not in done]))
+    runs = finished(spark, folder)
     absolute = cfg.kind == "svc"
-    best = best_run(runs, cfg.score, absolute)
-    chosen = results[best.first()["run_id"]][0]
-    return Learned(runs, best, report(runs, cfg.score, absolute), chosen)
+    return Learned(runs, best_run(runs, cfg.score, absolute), report(runs, cfg.score, absolute), folder)

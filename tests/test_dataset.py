@@ -301,3 +301,35 @@ def test_learn(spark, blobs):
     assert kfold_scores(blobs, 2, lambda rows: ml.train_rf(rows, {"n_estimators": 3}))[0] > 0.8
     with pytest.raises(ValueError):
         LearnConfig(folds=None).validate()
+
+
+def test_learning_goes_on_where_it_stopped(spark, blobs, tmp_path, monkeypatch):
+    from sigspark.plans import learn as plan
+
+    train, test = ds.split(blobs, 0.7, 1)
+    cfg = LearnConfig(grid={"n_estimators": "2, 3, 4"}, fixed={"max_depth": 3}, folds=None, score="test", parallelism=1)
+    fitted = []
+
+    def fit(rows, params, seed, fail=()):
+        fitted.append(params["n_estimators"])
+        if params["n_estimators"] in fail:
+            raise RuntimeError("lost")
+        return ml.train_rf(rows, params, seed)
+
+    monkeypatch.setitem(plan.TRAINERS, "rf", lambda rows, params, seed: fit(rows, params, seed, {4}))
+    with pytest.raises(RuntimeError):
+        learn(train, test, cfg, folder=str(tmp_path / "search"))
+    monkeypatch.setitem(plan.TRAINERS, "rf", fit)
+    got = learn(train, test, cfg, folder=str(tmp_path / "search"))
+    assert fitted == [2, 3, 4, 4] and sorted(r["run_id"] for r in got.runs.collect()) == [0, 1, 2]
+    assert got.model.pipeline.stages[0].getNumTrees == int(got.best.first()["params"]["n_estimators"])
+    with pytest.raises(ValueError, match="another grid"):
+        learn(train, test, LearnConfig(grid={"n_estimators": "9"}, folds=None, score="test"), folder=str(tmp_path / "search"))
+
+
+def test_best_runs_in_one_pass(spark, runs):
+    for score in ("trust", "relative_cv", "cv", "train", "test"):
+        one = rn.best_run(runs, score).first()["run_id"]
+        every = {r["score"]: r["run_id"] for r in rn.best_runs(runs, ["trust", "relative_cv", "cv", "train", "test"]).collect()}
+        assert every[score] == one
+    assert rn.best_runs(runs.limit(0), ["trust"]).count() == 0
