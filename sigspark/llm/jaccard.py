@@ -91,11 +91,11 @@ def _key(shingles: np.ndarray) -> np.uint64:
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """Signature of about four bits a member; its length is a power of two."""
+    """Signature of about four bits a member; its length is a power of two. A bit tells whether an odd number of members
+    falls on it, so each member that only one of two sets has changes one bit at most."""
     n = len(shingles)
     bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << max(0, (4 * n - 1).bit_length())))
-    marks = np.zeros(bits, np.uint8)
-    marks[((shingles >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    marks = (np.bincount(((shingles >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(marks, bitorder="little").tobytes()
 
 
@@ -103,7 +103,7 @@ def _folded(bitmap: bytes) -> bytes:
     """A quarter of a signature's length, about a bit a member: what tiles carry. Full ones judge what passes."""
     x = np.frombuffer(bitmap, np.uint64)
     for _ in range(2):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     return x.tobytes()
 
 
@@ -150,7 +150,7 @@ def _differing_bits(bitmaps: list[bytes], left: np.ndarray, right: np.ndarray) -
         got = stack[place[rows]]
         while got.shape[1] * 8 > width:
             half = got.shape[1] // 2
-            got = got[:, :half] | got[:, half:]
+            got = got[:, :half] ^ got[:, half:]
         return got
 
     pair_kind = lengths[left] * (1 << 32) + lengths[right]
