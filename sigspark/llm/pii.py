@@ -1,7 +1,9 @@
 """Format-preserving pseudonyms for personal data, by a keyed Feistel permutation within each format.
 
 Values are found by pattern and kept only if they are valid: cards by their Luhn digit, IBANs by their check digits,
-addresses by their octets, dates by the calendar. A value becomes a whole number below the size of its format, the
+addresses by their octets, dates by the calendar. Hexadecimal secrets of 16 digits and more are found by the name that
+is assigned them. Dates before 1900 or after 2099 stay; of dates with slashes the month comes first where that is a
+date. A value becomes a whole number below the size of its format, the
 number is permuted, and the result is written in the same format with check digits anew. The permutation depends on
 the key and the kind alone, so equal values stay equal in all documents, in whatever grouping they are written.
 """
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from sigspark.llm.tables import in_batches, rows_of
 
-_ROUNDS = 10
+_ROUNDS, _LONGEST_WORD = 10, 64
 #: Dates outside are left alone: they are rarely about a living person.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -34,7 +36,10 @@ _NUMBER = re.compile(
     r"|(?P<card>\d(?:[ -]?\d){12,18})"
     r")(?!\w)"
 )
-_HINT = re.compile(r"[@\d]")
+_SECRET = re.compile(
+    r"(?i)(?<![a-z0-9])(?:token|secret|password|passwd|api[ _-]?key|access[ _-]?key|secret[ _-]?key)[\"']?\s{0,8}[:=]\s{0,8}[\"']?"
+    r"(?P<value>[0-9a-f]{16,})(?![a-z0-9])")
+_HINT = re.compile(r"[@\d]|[:=]")
 
 
 class Feistel:
@@ -46,7 +51,7 @@ class Feistel:
     def __call__(self, value: int, size: int) -> int:
         """Where ``value`` goes in range(``size``). Rounds run on two halves of bits; a result out of range goes on."""
         half = max(1, ((size - 1).bit_length() + 1) // 2)
-        mask, wide, tweak = (1 << half) - 1, (half + 7) // 8, size.to_bytes(128, "big")
+        mask, wide, tweak = (1 << half) - 1, (half + 7) // 8, size.to_bytes(max(128, (size.bit_length() + 7) // 8), "big")
         while True:
             left, right = value >> half, value & mask
             for r in range(_ROUNDS):
@@ -74,7 +79,10 @@ def _permuted_digits(digits: str, permute) -> str:
 
 
 def _permuted_word(text: str, permute) -> str:
-    """ASCII letters and digits permuted within their class and case; other characters stay."""
+    """ASCII letters and digits permuted within their class and case; other characters stay. A word longer than any
+    address or account allows is permuted in parts, so that its cost grows with its length."""
+    if len(text) > _LONGEST_WORD:
+        return "".join(_permuted_word(text[i : i + _LONGEST_WORD], permute) for i in range(0, len(text), _LONGEST_WORD))
     size, value, radix = 1, 0, []
     for c in text:
         r = 10 if c.isascii() and c.isdigit() else 26 if c.isascii() and c.isalpha() else 0
@@ -114,6 +122,13 @@ def _email(text, permute):
     return f"{_permuted_word(local, permute)}@{'.'.join([*(_permuted_word(x, permute) for x in labels[:-1]), labels[-1]])}"
 
 
+def _secret(text, permute):
+    """Hexadecimal digits permuted in parts of 32; their case stays where all letters have one."""
+    out = "".join(format(permute(int(part, 16), 16 ** len(part)), "x").zfill(len(part))
+                  for part in (text[i : i + 32] for i in range(0, len(text), 32)))
+    return out.upper() if text.upper() == text else out
+
+
 def _card(text, permute):
     digits = _digits(text)
     if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1]:
@@ -123,7 +138,9 @@ def _card(text, permute):
 
 
 def _phone(text, permute):
-    head = re.match(r"\+\d{1,3}(?=[ .(-])", text)
+    # country code 1 has ten digits after it, in whatever grouping; other codes are what stands apart in front
+    code = text.startswith("+1") and len(_digits(text)) == 11
+    head = re.match(r"\+1" if code else r"\+\d{1,3}(?=[ .(-])", text)
     at = head.end() if head else 0
     digits = _digits(text[at:])
     if not 7 <= len(digits) <= 14:
@@ -186,7 +203,7 @@ _KINDS = {"card": _card, "phone": _phone, "ipv4": _ipv4, "ssn": _ssn, "date": _d
 
 @functools.lru_cache(4)
 def _permutations(key: bytes) -> dict[str, Feistel]:
-    return {kind: Feistel(key, kind) for kind in ("email", *_KINDS)}
+    return {kind: Feistel(key, kind) for kind in ("email", "secret", *_KINDS)}
 
 
 def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int, str]]]:
@@ -197,11 +214,14 @@ def pseudonymize(text: str | None, key: bytes) -> tuple[str | None, list[tuple[s
     found = []
     if "@" in text:
         found = [("email", m.start(), m.end(), _email(m[0], permute["email"])) for m in _EMAIL.finditer(text)]
-    taken = [(s, e) for _, s, e, _ in found]
-    at = 0
+    found += [("secret", m.start("value"), m.end("value"), _secret(m["value"], permute["secret"])) for m in _SECRET.finditer(text)]
+    taken = sorted((s, e) for _, s, e, _ in found)
+    at = next_taken = 0
     while m := _NUMBER.search(text, at):
         kind, end, new = m.lastgroup, m.end(), None
-        if not any(s < m.end() and m.start() < e for s, e in taken):
+        while next_taken < len(taken) and taken[next_taken][1] <= m.start():
+            next_taken += 1
+        if next_taken == len(taken) or taken[next_taken][0] >= m.end():
             # numbers may follow one another: the longest valid run of groups counts
             for cut in [m.end(), *(m.start() + x.start() for x in reversed([*re.finditer(r"[ -]", m[0])]))]:
                 new = _KINDS[kind](text[m.start() : cut], permute[kind])
