@@ -220,9 +220,9 @@ class Vocabulary:
             self._segments[segment] = ids
         return ids
 
-    def forget(self) -> None:
-        """Empty the memories, so that a worker which goes on to other work does not hold them."""
-        self._fits, self._segments, self._older = {}, {}, {}
+    def settle(self) -> None:
+        """Between tasks: keep what was asked for last, bounded in number, for the worker's next task."""
+        self._older = {}
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -266,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                     for column in out.values():
                         column.clear()
             yield taken()
-        vocabulary.forget()
+        vocabulary.settle()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = "ids array<int>, " if with_ids else ""
