@@ -33,7 +33,7 @@ _LEVEL_BITS = 6
 _MARK_BITS = 23
 # Members of one meeting place that one task compares; larger places are cut into pairs of tiles.
 TILE = 512
-_LEAST_BITS, _MOST_BITS = 256, 1 << 14
+_LEAST_BITS, _MOST_BITS = 64, 1 << 14
 
 
 def _least_overlap(n, percent: int):
@@ -91,24 +91,16 @@ def _key(shingles: np.ndarray) -> np.uint64:
 
 
 def _bitmap(shingles: np.ndarray) -> bytes:
-    """Signature of about four bits a member; its length is a power of two. A bit tells whether an odd number of members
+    """Signature of one to two bits a member; its length is a power of two. A bit tells whether an odd number of members
     falls on it, so each member that only one of two sets has changes one bit at most."""
     n = len(shingles)
-    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << max(0, (4 * n - 1).bit_length())))
+    bits = min(_MOST_BITS, max(_LEAST_BITS, 1 << max(0, (n - 1).bit_length())))
     marks = (np.bincount(((shingles >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(marks, bitorder="little").tobytes()
 
 
-def _folded(bitmap: bytes) -> bytes:
-    """A quarter of a signature's length, about a bit a member: what tiles carry. Full ones judge what passes."""
-    x = np.frombuffer(bitmap, np.uint64)
-    for _ in range(2):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x.tobytes()
-
-
 def shingle_sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """``doc_id, n, key, prefix, bitmap, mark`` of each document; equal sets have equal keys."""
+    """``doc_id, n, key, prefix, bitmap`` of each document; equal sets have equal keys."""
 
     def summarise(batches):
         for part, sets in _sets(batches, size, levels):
@@ -122,11 +114,11 @@ def shingle_sets(docs: DataFrame, size: int, percent: int, levels: np.ndarray) -
                 "doc_id": part.column("doc_id"), "n": np.array([len(s) for s in sets], np.int64),
                 "key": wd.signed(np.array(keys, np.uint64)),
                 "prefix": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(wd.signed(np.concatenate(prefixes)))),
-                "bitmap": pa.array(bitmaps, pa.binary()), "mark": pa.array([_folded(b) for b in bitmaps], pa.binary()),
+                "bitmap": pa.array(bitmaps, pa.binary()),
             }
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return in_batches(source, summarise, "doc_id long, n long, key long, prefix array<long>, bitmap binary, mark binary")
+    return in_batches(source, summarise, "doc_id long, n long, key long, prefix array<long>, bitmap binary")
 
 
 def _near(a, b, percent: int):
@@ -171,25 +163,28 @@ def _may_reach(n_left, n_right, differing, percent: int):
     return (100 + percent) * most >= percent * (n_left + n_right)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """``a, b`` of the class pairs that reach the threshold: first by their whole signatures, then by their members."""
-    marks = sets.select("key", "n", "bitmap")
-    both = (
-        pairs.join(marks.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a")), "a")
-        .join(marks.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b")), "b")
-    )
-
-    def bounded(batches):
-        for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            maps = batch.column("map_a").to_pylist() + batch.column("map_b").to_pylist()
-            bits = _differing_bits(maps, np.arange(n), np.arange(n, 2 * n))
-            keep = pa.array(_may_reach(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), bits, percent))
-            yield {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
-
-    pairs, pairs_path = store(in_batches(both, bounded, "a long, b long"))
+def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int, levels: np.ndarray,
+              checked: bool) -> DataFrame:
+    """``a, b`` of the class pairs that reach the threshold. ``checked``: their signatures have been compared."""
+    if not checked:
+        marks = sets.select("key", "n", "bitmap")
+        both = (
+            pairs.join(marks.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("bitmap").alias("map_a")), "a")
+            .join(marks.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("bitmap").alias("map_b")), "b")
+        )
+
+        def bounded(batches):
+            for batch in batches:
+                n = len(batch)
+                if not n:
+                    continue
+                maps = batch.column("map_a").to_pylist() + batch.column("map_b").to_pylist()
+                bits = _differing_bits(maps, np.arange(n), np.arange(n, 2 * n))
+                keep = pa.array(_may_reach(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), bits, percent))
+                yield {"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)}
+
+        pairs = in_batches(both, bounded, "a long, b long")
+    pairs, pairs_path = store(pairs)
     needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted, wanted_path = store(sets.join(needed, "key", "left_semi").select("key", F.col("rep").alias("doc_id")))
     members, members_path = store(_members(docs, wanted, size, levels))
@@ -247,7 +242,7 @@ def _members(docs: DataFrame, wanted: DataFrame, size: int, levels: np.ndarray)
 
 def _tiled(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Class pairs of one meeting place and different components whose signatures allow the threshold."""
-    rows = shared.join(sets.select("key", F.col("mark").alias("bitmap")), "key")
+    rows = shared.join(sets.select("key", "bitmap"), "key")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int")
     tiles = F.ceil(F.col("met") / TILE).cast("int")
     own = F.pmod(F.xxhash64("key"), tiles).cast("int")
@@ -338,7 +333,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     classes = freeze(
         whole.where("n > 0 AND doc_id IS NOT NULL").groupBy("key")
         .agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
-             F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"), F.first("mark").alias("mark"))
+             F.first("prefix").alias("prefix"), F.first("bitmap").alias("bitmap"))
     )
     sets = freeze(whole.select("doc_id", "n", "key"))
     drop(docs.sparkSession, path)
@@ -352,7 +347,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
         F.max("most").alias("most"), F.min("least").alias("least"))
     first = leaders.select("key", F.explode(F.array("most.key", "least.key")).alias("lead")).where("key <> lead").select(
         F.least("key", "lead").alias("a"), F.greatest("key", "lead").alias("b")).distinct()
-    links = _verified(first, classes, docs, size, percent, levels)
+    links = _verified(first, classes, docs, size, percent, levels, checked=False)
     joined = components(links)
     known = freeze(shared.join(joined.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "component", F.coalesce("component", "key")))
@@ -360,7 +355,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     shared = known
     mixed = shared.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     rest = _tiled(shared.join(mixed.select("h"), "h"), classes, percent)
-    more = _verified(rest, classes, docs, size, percent, levels)
+    more = _verified(rest, classes, docs, size, percent, levels, checked=True)
 
     reps = classes.select("key", "rep")
     found = (
