@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import math
 import sys
 import uuid
@@ -704,11 +705,13 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _corpus() -> tuple[dict, dict]:
     """Queries of the text corpus operators and their SQL, if that subpackage is there."""
-    try:
-        import corpus_pipeline
-        from sigspark.llm import queries as corpus
-    except ImportError:
-        return {}, {}
+    for name in ("sigspark.llm", "corpus_pipeline"):
+        found = importlib.util.find_spec(name)
+        if found is None or found.origin is None:  # an emptied folder has a name, but no origin
+            return {}, {}
+    import corpus_pipeline
+    from sigspark.llm import queries as corpus
+
     sql = corpus.oracle_sql()
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
