@@ -1,7 +1,7 @@
 """Deterministic, sharded WARC archives.
 
-Records are dealt to shards by ranges of page_id of about equal size and sorted within; each shard rolls to a new file
-when the compressed size of the current one passes a limit. Headers, digests and record ids are made from the page
+Records are dealt to shards by ranges of (page_id, digest) of equal bytes and sorted within; each shard rolls to a new
+file when the compressed size of the current one passes a limit. Headers, digests and record ids are made from the page
 alone, and each record is a gzip member of its own without a time, so the same pages give the same bytes in any run.
 A task writes under temporary names and renames when a file is complete: a task that runs again writes the same files.
 A manifest of all files is written last; readers open only what it lists.
@@ -14,20 +14,21 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.tables import in_batches
-from sigspark.operators.scale import shared_dir
+from sigspark.llm.tables import drop, in_batches, store
+from sigspark.operators.scale import ROWS_PER_CELL, shared_dir, small_side
 
 #: Compressed bytes after which a file ends, pages of a shard, least payload that a revisit may stand for.
 ROLL_BYTES, SHARD_BYTES, LEAST_REVISIT = 64 << 20, 256 << 20, 1000
-#: Cells of the page_id range that shards are made of.
-_CELLS = 4096
+#: Ids of one digest up to which its pages are joined by a shuffle.
+HOT_IDS = 100_000
 _SPACE = uuid.UUID("8c9f1d52-7d0b-5d1c-9a52-0c6f7e2a41b3")
 _DATE = "1970-01-01T00:00:00Z"
 _SAFE = "".join(map(chr, range(0x21, 0x7F)))
@@ -64,44 +65,55 @@ def record(page_id, url, payload: bytes, digest: str, length: int, refers_to=Non
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 5, mtime=0)
 
 
-def _decided(pages: DataFrame) -> DataFrame:
-    """Pages with length, digest and, for revisits, the response that they repeat."""
-    source = pages.select(
+def _source(pages: DataFrame) -> DataFrame:
+    """Pages as their records need them, with the payload's length and digest."""
+    return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"),
     ).withColumns({"length": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
-    repeated = (
-        source.where(F.col("length") >= LEAST_REVISIT).groupBy("digest")
-        .agg(F.max("page_id").alias("to_page"), F.max(F.struct("page_id", "url")).getField("url").alias("to_url"),
-             F.count(F.lit(1)).alias("n")).where("n > 1 AND to_page IS NOT NULL").drop("n")
-    )
-    revisit = F.col("to_page").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to_page"))
-    return source.join(repeated, "digest", "left").withColumn("revisit", revisit).withColumns({
-        "payload": F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload"))})
-
-
-def _sharded(rows: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Add ``shard``: ranges of page_id of about ``shard_bytes`` of payload; a cell of ids above that is cut by digest."""
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = low or 0, high or 0
-    width = (high - low) // _CELLS + 1
-    cell = F.coalesce(F.floor((F.col("page_id") - low) / width).cast("int"), F.lit(-1))
-    found = sorted((r["cell"], r["bytes"]) for r in sizes.groupBy(cell.alias("cell")).agg(
-        F.sum(F.col("length") + 500).alias("bytes")).collect())
-    plan, shard, held = [], 0, 0
-    for at, size in found:
-        if held and held + size > shard_bytes:
-            shard, held = shard + 1, 0
-        cuts = max(1, -(-size // shard_bytes))
-        plan.append((at, shard, cuts))
-        held += size
-        if cuts > 1:
-            shard, held = shard + cuts, 0
-    # at most _CELLS + 1 rows
-    table = F.broadcast(rows.sparkSession.createDataFrame(plan, "cell int, first int, cuts int"))
-    cut = F.pmod(F.xxhash64("digest", "url", "page_id"), F.col("cuts").cast("long")).cast("int")
-    dealt = rows.withColumn("cell", cell).join(table, "cell").withColumn("shard", F.col("first") + cut)
-    return dealt.drop("cell", "first", "cuts"), shard + 1
+
+
+def _revisits(keys: DataFrame) -> DataFrame:
+    """``page_id, digest, to_page, to_url`` of the pages that repeat a response, from ids and digests alone.
+
+    A digest of more than HOT_IDS ids is joined by broadcast, as there are few of them, so that no task gets all its pages.
+    """
+    large = keys.where(F.col("length") >= LEAST_REVISIT)
+    top = F.max(F.struct("page_id", "url"))
+    repeated = large.groupBy("digest").agg(
+        top.getField("page_id").alias("to_page"), top.getField("url").alias("to_url"),
+        F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("ids"),
+    ).where("rows > 1 AND to_page IS NOT NULL").select("digest", "to_page", "to_url", "ids")
+    hot = small_side(repeated.where(F.col("ids") > HOT_IDS))
+    other = large.join(hot.select("digest"), "digest", "left_anti").join(repeated.where(F.col("ids") <= HOT_IDS), "digest")
+    found = large.join(hot, "digest").select(other.columns).union(other)
+    return found.where(~F.col("page_id").eqNullSafe(F.col("to_page"))).select("page_id", "digest", "to_page", "to_url")
+
+
+def _place(page_id: int | None, digest: str) -> tuple:
+    """Key that sorts as Spark sorts ``page_id, digest``."""
+    return page_id is not None, page_id or 0, digest
+
+
+def _bounds(keys: DataFrame, shard_bytes: int) -> list[tuple]:
+    """First key of each shard: shards hold ``shard_bytes`` of payload in order of (page_id, digest), one key more at most.
+
+    The bytes before a key are summed exactly, so the bounds depend on the pages alone. One row per shard is collected.
+    """
+    parts = max(1, -(-keys.count() // ROWS_PER_CELL))
+    ranged, path = store(keys.select("page_id", "digest", "bytes").repartitionByRange(parts, "page_id", "digest")
+                         .withColumn("cell", F.spark_partition_id()))
+    order = Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per range
+    before = ranged.groupBy("cell").agg(F.sum("bytes").alias("bytes")).select(
+        "cell", F.coalesce(F.sum("bytes").over(order), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("cell").orderBy("page_id", "digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("inside", F.coalesce(F.sum("bytes").over(inside), F.lit(0))).join(F.broadcast(before), "cell")
+    firsts = placed.groupBy(F.expr(f"(before + inside) div {int(shard_bytes)}").alias("shard")).agg(
+        F.min(F.struct("page_id", "digest")).alias("first"))
+    found = sorted(_place(*r["first"]) for r in firsts.select("first").collect())
+    drop(keys.sparkSession, path)
+    return found
 
 
 def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -111,28 +123,52 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
     others are revisits; smaller ones are all responses. A null html is the empty payload. Rows that repeat a page_id
     with the largest one's payload are all responses; a row without a page_id is a revisit if another row with a
     page_id has its payload. No pages give an empty manifest. Other columns are not read.
+
+    What is a revisit and where shards begin is found from ids, lengths and digests; payloads are shuffled once, to the
+    task of their shard. Files are sorted by (page_id, digest, url) within and by their names, rows without an id first.
+    Rows equal in page_id and payload stay in one shard, which its task writes as a stream.
     """
-    rows = _decided(pages)
-    sizes = pages.select(F.col("page_id").cast("long").alias("page_id"),
-                         F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).cast("long").alias("length"))
-    dealt, shards = _sharded(rows, sizes, shard_bytes)
-    dealt = dealt.repartition(max(1, shards), "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    spark = pages.sparkSession
+    source = _source(pages)
+    keys, keys_path = store(source.groupBy("page_id", "digest").agg(
+        F.max("url").alias("url"), F.max("length").alias("length"), F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("length") + 500).alias("bytes")))
+    found = _bounds(keys, shard_bytes)
+    bounds = spark.sparkContext.broadcast(found)
+
+    @F.arrow_udf("int")
+    def shard_of(ids: pa.Array, digests: pa.Array) -> pa.Array:
+        firsts = bounds.value
+        return pa.array([bisect_right(firsts, _place(*x)) - 1 for x in zip(ids.to_pylist(), digests.to_pylist())], pa.int32())
+
+    # a decision stands before the pages that it is about
+    both = _revisits(keys).withColumn("page", F.lit(0)).unionByName(source.withColumn("page", F.lit(1)), allowMissingColumns=True)
+    dealt = both.withColumn("shard", shard_of("page_id", "digest")).repartitionById(max(1, len(found)), "shard")
+    dealt = dealt.sortWithinPartitions("shard", "page_id", "digest", "page", "url")
+    temporary_folder = f"_unfinished-{uuid.uuid4().hex}"
 
     def write(batches):
-        store, base = pafs.FileSystem.from_uri(folder)
-        store.create_dir(base, recursive=True)
-        shard, seq, out, done = None, 0, None, []
+        disk, base = pafs.FileSystem.from_uri(folder)
+        disk.create_dir(f"{base}/{temporary_folder}", recursive=True)
+        shard, seq, out, done, decided = None, 0, None, [], None
 
         def finish():
             stream, temporary, name, digest, count, size = out
             stream.close()
-            store.move(temporary, f"{base}/{name}")
+            # of a task that ran before: the same bytes
+            if disk.get_file_info(f"{base}/{name}").type != pafs.FileType.NotFound:
+                disk.delete_file(f"{base}/{name}")
+            disk.move(temporary, f"{base}/{name}")
             done.append((name, count, size, digest.hexdigest()))
 
         for batch in batches:
-            cols = [batch.column(c) for c in ("shard", "page_id", "url", "payload", "digest", "length", "revisit", "to_page", "to_url")]
+            cols = [batch.column(c) for c in ("shard", "page_id", "url", "payload", "digest", "length", "page", "to_page", "to_url")]
             for row in zip(*cols):
-                at, page_id, url, payload, digest, length, revisit, to_page, to_url = (x.as_py() for x in row)
+                at, page_id, url, payload, digest, length, page, to_page, to_url = (x.as_py() for x in row)
+                if not page:
+                    decided = (page_id, digest), (to_page, to_url)
+                    continue
+                refers_to = decided[1] if decided and decided[0] == (page_id, digest) else None
                 if out is not None and (at != shard or out[5] >= roll_bytes):
                     finish()
                     out = None
@@ -140,10 +176,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
                     shard, seq = at, 0
                 if out is None:
                     name = f"shard-{shard:06d}-{seq:04d}.warc.gz"
-                    temporary = f"{base}/.{name}.{uuid.uuid4().hex}"
-                    out = [store.open_output_stream(temporary, compression=None), temporary, name, hashlib.sha1(), 0, 0]
+                    temporary = f"{base}/{temporary_folder}/{name}.{uuid.uuid4().hex}"
+                    out = [disk.open_output_stream(temporary, compression=None), temporary, name, hashlib.sha1(), 0, 0]
                     seq += 1
-                data = record(page_id, url, payload, digest, length, (to_page, to_url) if revisit else None)
+                data = record(page_id, url, payload, digest, length, refers_to)
                 out[0].write(data)
                 out[3].update(data)
                 out[4] += 1
@@ -156,7 +192,10 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES,
 
     manifest = in_batches(dealt, write, "file string, records long, bytes long, sha1 string")
     manifest.write.parquet(f"{folder}/manifest")
-    return pages.sparkSession.read.parquet(f"{folder}/manifest")
+    # what lost tasks left behind
+    drop(spark, f"{folder}/{temporary_folder}")
+    drop(spark, keys_path)
+    return spark.read.parquet(f"{folder}/manifest")
 
 
 def _records(stream):
@@ -185,17 +224,18 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     ``page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload``. A block that does not agree with
     its digest raises an error.
     """
-    files = spark.read.parquet(f"{folder}/manifest").select("file")
-    files = files.repartition(max(1, files.count()), "file")
+    shard = F.regexp_extract("file", r"^shard-(\d+)-", 1).cast("int")
+    files = spark.read.parquet(f"{folder}/manifest").select("file", shard.alias("shard"))
+    files = files.repartitionById((files.agg(F.max("shard")).first()[0] or 0) + 1, "shard")
 
     def read(batches):
-        store, base = pafs.FileSystem.from_uri(folder)
+        disk, base = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             for name in batch.column("file").to_pylist():
                 out: dict[str, list] = {k: [] for k in ("page_id", "url", "payload_bytes", "payload_digest", "record_type",
                                                         "refers_to", "payload")}
                 held = 0
-                with store.open_input_stream(f"{base}/{name}", compression=None) as stream:
+                with disk.open_input_stream(f"{base}/{name}", compression=None) as stream:
                     for headers, block in _records(stream):
                         digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         length, payload = int(headers["X-Payload-Length"]), None

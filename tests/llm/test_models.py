@@ -126,6 +126,35 @@ def test_archives_hold_every_page(spark, tmp_path):
     assert {n: (tmp_path / "two" / n).read_bytes() for n in names} == {n: (tmp_path / "one" / n).read_bytes() for n in names}
 
 
+def ids_by_file(folder):
+    out = []
+    for path in sorted(p for p in folder.iterdir() if p.name.endswith(".gz")):
+        with open(path, "rb") as f:
+            out.append([int(h["X-Page-Id"]) for h, _ in warc._records(f)])
+    return out
+
+
+def test_files_are_sorted_and_even_beside_an_outlier(spark, tmp_path):
+    rows = [(i * 3 % 1000, f"http://a.example/{i}", f"<p>{i}</p>" + "x" * 400) for i in range(1000)] + [(10**15, "http://far/", "far")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    warc.write_archives(df, f"file://{tmp_path}/far", roll_bytes=1 << 20, shard_bytes=90_000)
+    found = ids_by_file(tmp_path / "far")
+    assert [i for ids in found for i in ids] == sorted(r[0] for r in rows)
+    assert len(found) == 11 and max(map(len, found)) <= 2 * len(found[0])
+    assert not [p for p in (tmp_path / "far").iterdir() if p.name.startswith("_unfinished")]
+
+
+def test_a_common_page_is_joined_by_broadcast(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_IDS", 10)
+    same, other = "s" * 1500, "o" * 1500
+    rows = [(i, None, same if i % 3 else other if i % 2 else f"{i}" * 900) for i in range(120)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write_archives(df, f"file://{tmp_path}/hot", shard_bytes=20_000)
+    got = {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, f"file://{tmp_path}/hot").collect()}
+    last = {body: i for i, _, body in rows}
+    assert got == {i: last[body] if last[body] != i and len(body) >= 1000 else None for i, _, body in rows}
+
+
 def test_no_pages(spark, tmp_path):
     df, _ = pages(spark)
     warc.write_archives(df.limit(0), f"file://{tmp_path}/none")
