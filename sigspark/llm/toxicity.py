@@ -3,10 +3,10 @@
 Terms are all words of a bounded sample of the labelled rows, in which copies of one text count once. A term's idf is
 multiplied by how far the labels' rates of it are apart, smoothed so that the number of rows does not matter; no word
 has the factor 0. Examples are the sample's rows that have a term; similar ones stand in one block. For a text, the
-terms' largest weights in each block bound the cosine of all its examples, blocks are opened from the highest bound on,
-and the search ends when no block left can hold a nearer example than the k found: the neighbours are exact. Their votes
-are weighted by nearness and by how many labelled rows each example stands for, and pulled towards the rate of texts
-without any term.
+postings of its terms are added up, long lists last; the largest weights that the lists left have in each block bound what
+they can add to the block's examples, and only examples that can still be among the k nearest are worked out: the
+neighbours are exact. Their votes are weighted by nearness and by how many labelled rows each example stands for, and
+pulled towards the rate of texts without any term.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ LEAST_APART = 0.01
 SAMPLE, EXAMPLES = 16_384, 4096
 #: Neighbours that vote.
 NEIGHBOURS = 15
-#: Examples in a block; blocks opened before the bounds are looked at again.
-_BLOCK, _ROUNDS = 64, (4, 16)
+#: Examples in a block; postings of a short list, at most; long lists added between two looks at the bounds.
+_BLOCK, _SHORT, _LISTS = 64, 256, 8
 
 
 def _terms(hashes: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,52 +78,104 @@ class Model:
                                                              -float(self.rows[i][1].max()), i))
         self.ids = [self.ids[i] for i in order]
         self.labels, self.weights = self.labels[order], self.weights[order]
-        self.rows = [self.rows[i] for i in order]
-        self.blocks = -(-len(order) // _BLOCK)
-        # postings by term and example; a run is those of a term in a block
-        row = np.repeat(np.arange(len(order)), [len(t) for t, _ in self.rows])
-        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.rows)])
-        by_term = np.argsort(term, kind="stable")
-        term, row = term[by_term], row[by_term]
-        self.post_row = row.astype(np.int32)
-        self.post_weight = np.concatenate([np.zeros(0), *(w for _, w in self.rows)])[by_term]
-        block = row // _BLOCK
+        rows = [self.rows[i] for i in order]
+        self.row_first = np.cumsum([0, *(len(t) for t, _ in rows)])
+        self.row_term = np.concatenate([np.zeros(0, np.int32), *(t for t, _ in rows)]).astype(np.int32)
+        self.row_weight = np.concatenate([np.zeros(0), *(w for _, w in rows)])
+        self._index()
+
+    def _index(self):
+        """Postings by term and example, runs of them by term and block, and the rows as parts of the flat arrays."""
+        n = len(self.row_first) - 1
+        self.rows = [(self.row_term[i:j], self.row_weight[i:j]) for i, j in zip(self.row_first[:-1], self.row_first[1:])]
+        self.blocks = -(-n // _BLOCK)
+        by_term = np.argsort(self.row_term, kind="stable")
+        term = self.row_term[by_term]
+        self.post_row = np.repeat(np.arange(n), np.diff(self.row_first))[by_term]
+        self.post_weight = self.row_weight[by_term]
+        block = self.post_row // _BLOCK
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
         new = np.flatnonzero(new)
-        self.run_first, self.run_block = np.append(new, len(term)), block[new]
+        self.run_block = block[new]
         self.run_most = np.maximum.reduceat(self.post_weight, new) if len(new) else np.zeros(0)
-        self.term_first = np.searchsorted(term[new], np.arange(len(self.vocabulary) + 1))
+        size = len(self.vocabulary)
+        self.post_first = np.searchsorted(term, np.arange(size + 1))
+        self.term_first = np.searchsorted(term[new], np.arange(size + 1))
+        self.term_most = np.zeros(size)
+        has = np.flatnonzero(np.diff(self.term_first))
+        if len(has):
+            self.term_most[has] = np.maximum.reduceat(self.run_most, self.term_first[has])
+        self.query = np.zeros(size)
+        # a list of more than a quarter of the examples also as a column: at most four cells a posting
+        self.columns = {}
+        for t in np.flatnonzero(4 * np.diff(self.post_first) > max(n, _SHORT)).tolist():
+            i, j = self.post_first[t : t + 2]
+            self.columns[t] = np.zeros(n)
+            self.columns[t][self.post_row[i:j]] = self.post_weight[i:j]
 
     def __getstate__(self):
-        # tasks need the postings only
-        return {**self.__dict__, "rows": []}
+        # tasks get the rows and make their own postings: half the bytes
+        kept = ("vocabulary", "factor", "ids", "labels", "weights", "rate_without", "neighbours", "row_first", "row_term", "row_weight")
+        return {k: self.__dict__[k] for k in kept}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._index()
 
     def nearest(self, terms: np.ndarray, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of largest cosine above 0, nearest first, ties by their place in the index; and the cosines."""
-        runs, of = _spread(self.term_first[terms], self.term_first[terms + 1])
-        blocks = self.run_block[runs]
-        bounds = np.bincount(blocks, self.run_most[runs] * vector[of], minlength=self.blocks)
-        order = np.argsort(-bounds, kind="stable")
-        found, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for first, end in zip((0, *_ROUNDS), (*_ROUNDS, self.blocks)):
-            opened = np.zeros(self.blocks, bool)
-            opened[order[first:end]] = True
-            opened &= (bounds > 0) & (bounds >= least - 1e-12)
-            if not opened.any():
-                break
-            at = np.flatnonzero(opened[blocks])
-            post, by = _spread(self.run_first[runs[at]], self.run_first[runs[at] + 1])
-            near = np.bincount(self.post_row[post], self.post_weight[post] * vector[of[at]][by])
-            enough = least - 1e-11
-            if len(near) > self.neighbours:
-                enough = max(enough, np.partition(near, -self.neighbours)[-self.neighbours] - 1e-11)
-            new = np.flatnonzero((near >= enough) & (near > 1e-12))
-            found, cosines = np.concatenate([found, new]), np.concatenate([cosines, near[new]])
-            keep = np.lexsort((found, -np.round(cosines, 12)))[: self.neighbours]
-            found, cosines = found[keep], cosines[keep]
-            least = cosines[-1] if len(found) >= self.neighbours else 0.0
-        return found, cosines
+        """Examples of largest cosine above 0, nearest first, ties by their place in the index; and the cosines.
+
+        Short postings lists are added up first, then the long ones from the largest share on. What the lists left can
+        add to an example is bounded, first by their largest weights anywhere, then by those in its block; once the
+        examples that can still be among the nearest have fewer terms than there are postings left, their cosines are
+        worked out from their own terms.
+        """
+        n, share = len(self.row_first) - 1, vector * self.term_most[terms]
+        length = self.post_first[terms + 1] - self.post_first[terms]
+        short = np.flatnonzero((share > 0) & (length <= _SHORT))
+        long = np.flatnonzero((share > 0) & (length > _SHORT))
+        long = long[np.argsort(-share[long], kind="stable")]
+        post, of = _spread(self.post_first[terms[short]], self.post_first[terms[short] + 1])
+        sums = np.bincount(self.post_row[post], self.post_weight[post] * vector[short][of], minlength=n).astype(float)
+        left = np.append(np.cumsum(share[long][::-1])[::-1], 0.0)
+        ahead = np.append(np.cumsum(length[long][::-1])[::-1], 0)
+        lists = list(zip(terms[long].tolist(), self.post_first[terms[long]].tolist(), self.post_first[terms[long] + 1].tolist(),
+                         vector[long].tolist()))
+        own = np.empty(n)
+        for done in range(0, len(lists) + 1, _LISTS):
+            # no sum is above the largest
+            if n > self.neighbours and sums.max() > left[done]:
+                least = np.partition(sums, -self.neighbours)[-self.neighbours]
+                if least > left[done]:
+                    found = np.flatnonzero(sums >= least - left[done] - 1e-11)
+                    if len(found) * len(self.row_term) < n * ahead[done]:
+                        break
+            for term, i, j, weight in lists[done : done + _LISTS]:
+                if term in self.columns:
+                    sums += np.multiply(self.columns[term], weight, out=own)
+                else:
+                    sums[self.post_row[i:j]] += weight * self.post_weight[i:j]
+        else:
+            done = len(lists)
+        if done == len(lists):
+            found = np.flatnonzero(sums > 1e-12)
+            cosines = sums[found]
+            if len(found) > self.neighbours:
+                near = np.flatnonzero(cosines >= np.partition(cosines, -self.neighbours)[-self.neighbours] - 1e-11)
+                found, cosines = found[near], cosines[near]
+        else:
+            rest = long[done:]
+            runs, of = _spread(self.term_first[terms[rest]], self.term_first[terms[rest] + 1])
+            bounds = np.bincount(self.run_block[runs], self.run_most[runs] * vector[rest][of], minlength=self.blocks)
+            found = found[sums[found] + bounds[found // _BLOCK] >= least - 1e-11]
+            at, of = _spread(self.row_first[found], self.row_first[found + 1])
+            self.query[terms] = vector
+            cosines = np.bincount(of, self.row_weight[at] * self.query[self.row_term[at]], minlength=len(found))
+            self.query[terms] = 0.0
+        keep = np.lexsort((found, -np.round(cosines, 12)))[: self.neighbours]
+        keep = keep[cosines[keep] > 1e-12]
+        return found[keep], cosines[keep]
 
     def score(self, hashes: np.ndarray) -> tuple[float, list]:
         """Probability of label 1, and the nearest examples as ``(doc_id, label, cosine)``."""
@@ -189,12 +241,13 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
     n_pos, n_neg = (sums["pos"], sums["neg"]) if sums else (0, 0)
     if not n_pos or not n_neg:
         return nothing
-    chosen = counts.where("term IS NOT NULL").toPandas()
+    # at most the words of SAMPLE rows of each class, 24 bytes a word
+    chosen = counts.where("term IS NOT NULL").toArrow()
     if not len(chosen):
         return nothing
-    vocabulary = chosen["term"].to_numpy(np.int64).view(np.uint64)
+    vocabulary = chosen.column("term").to_numpy().view(np.uint64)
     order = np.argsort(vocabulary)
-    factor = factors(chosen["pos"].to_numpy(np.int64)[order], chosen["neg"].to_numpy(np.int64)[order], n_pos, n_neg)
+    factor = factors(*(chosen.column(c).to_numpy()[order] for c in ("pos", "neg")), n_pos, n_neg)
     vocabulary = vocabulary[order]
     packed = docs.sparkSession.sparkContext.broadcast((vocabulary, factor))
 
@@ -224,18 +277,27 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, label: str = "toxic
     have = {r["label"]: r["n"] for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     taken = [
         found.where(F.col("label") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-        .select("doc_id", "label", "terms", "weights").toPandas() for kind in (0, 1)
+        .select("doc_id", "label", "terms", "weights").toArrow() for kind in (0, 1)
     ]
-    kept = [r for rows_ in taken for r in rows_.to_dict("records")]
     scale = [total[0] / n_neg, total[1] / n_pos]
     share = [scale[kind] * have.get(kind, 0) / max(1, len(taken[kind])) for kind in (0, 1)]
     without = [scale[kind] * bare.get(kind, 0) for kind in (0, 1)]
     rate = (without[1] + base) / (sum(without) + 1)
-    return Model(
-        vocabulary, factor, [int(r["doc_id"]) for r in kept], np.array([float(r["label"]) for r in kept]),
-        np.array([share[r["label"]] for r in kept]),
-        [(np.array(r["terms"], np.int64), np.array(r["weights"])) for r in kept], rate,
-    )
+    kept = pa.concat_tables(taken).combine_chunks()
+    kinds = kept.column("label").to_numpy()
+    return Model(vocabulary, factor, kept.column("doc_id").to_pylist(), kinds.astype(float), np.array(share)[kinds],
+                 _rows(kept), rate)
+
+
+def _rows(kept: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Terms and weights of each row, as parts of two flat arrays."""
+    out = []
+    for batch in kept.select(["terms", "weights"]).to_batches():
+        terms, weights = batch.columns
+        at = terms.offsets.to_numpy()
+        flat = terms.values.to_numpy(), weights.values.to_numpy()
+        out += [(flat[0][i:j], flat[1][i:j]) for i, j in zip(at[:-1], at[1:])]
+    return out
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

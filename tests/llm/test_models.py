@@ -2,6 +2,7 @@ import collections
 import gzip
 import hashlib
 import math
+import pickle
 import random
 
 import duckdb
@@ -94,6 +95,33 @@ def test_neighbours_are_exact():
         assert list(found) == list(want) and np.allclose(cosines, all_[want])
 
 
+@pytest.mark.parametrize("short, lists", [(8, 2), (64, 8), (256, 8)])
+def test_neighbours_are_exact_with_long_lists_and_ties(monkeypatch, short, lists):
+    monkeypatch.setattr(toxicity, "_SHORT", short)
+    monkeypatch.setattr(toxicity, "_LISTS", lists)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(900):
+        t = np.unique((400 * rng.random(rng.integers(1, 60)) ** 3).astype(np.int64))
+        w = (rng.random(len(t)) + 0.1) * (t + 2)
+        rows.append((t, w / np.linalg.norm(w)))
+    # copies tie, a group of them far above the number of neighbours
+    rows += [rows[5]] * 40 + [rows[6]] * 5
+    n = len(rows)
+    model = pickle.loads(pickle.dumps(toxicity.Model(
+        np.arange(400, dtype=np.uint64), np.ones(400), list(range(n)), np.zeros(n), np.ones(n), rows, 0.1)))
+    assert 4 * np.diff(model.post_first).max() > n
+    dense = np.zeros((n, 400))
+    for i, (t, w) in enumerate(model.rows):
+        dense[i, t] = w
+    queries = rows[:40] + rows[-45:-38] + [(np.zeros(0, np.int64), np.zeros(0)), (np.array([399]), np.ones(1))]
+    for t, w in queries:
+        found, cosines = model.nearest(t, w)
+        all_ = dense[:, t] @ w
+        want = [i for i in np.lexsort((np.arange(n), -np.round(all_, 12)))[: toxicity.NEIGHBOURS] if all_[i] > 1e-12]
+        assert list(found) == want and np.allclose(cosines, all_[want])
+
+
 # --- WARC ---
 
 
