@@ -171,17 +171,63 @@ _PLACES = T.ArrayType(T.IntegerType())
 _TABLE = T.StructType([T.StructField("ends", _LONGS), T.StructField("outs", _LONGS)])
 
 
-def _advance(i: int, step: int, ignored: bool, nxt: np.ndarray, lag: np.ndarray, replay: bool) -> np.ndarray:
-    """Pass one crossing. ``nxt``: first index that may spike. Returns which states accept it; updates in place."""
+def _advance(i: int, step: int, ignored: bool, nxt: np.ndarray, lag: np.ndarray) -> None:
+    """Pass one crossing, with lags, for many states at once. ``nxt``: first index that may spike. Updates in place."""
     ready = nxt <= i
     if ignored:
-        lag[ready] += 1 if replay else 0
-        return np.zeros_like(ready)
-    then = i - lag + step if replay else np.full_like(lag, i + step)
-    behind = np.maximum(i + 1 - then, 0) if replay else np.zeros_like(lag)
+        lag[ready] += 1
+        return
+    then = i - lag + step
+    behind = np.maximum(i + 1 - then, 0)
     nxt[ready] = np.maximum(then, i + 1)[ready]
     lag[ready] = behind[ready]
-    return ready
+
+
+def _successors(idx: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Place of the crossing that spikes next if the one at each place does; the number of crossings if none."""
+    return np.searchsorted(idx, idx + np.maximum(step, 1))
+
+
+def _chain(idx: np.ndarray, step: np.ndarray, nxt: int) -> list[int]:
+    """Places that spike when the first index that may is ``nxt``: one step per spike, whatever lies between them."""
+    follow, out, p = _successors(idx, step).tolist(), [], int(np.searchsorted(idx, nxt))
+    while p < len(follow):
+        out.append(p)
+        p = follow[p]
+    return out
+
+
+def _exits(idx: np.ndarray, step: np.ndarray, nxt: np.ndarray) -> np.ndarray:
+    """First index that may spike after all crossings, for each one before them.
+
+    Links to successors are doubled until they reach the last spike of their chain: log2 of the crossings passes for
+    all entry states together.
+    """
+    follow = _successors(idx, step)
+    link = np.where(follow < len(idx), follow, np.arange(len(idx)))
+    while True:
+        further = link[link]
+        if np.array_equal(further, link):
+            break
+        link = further
+    after = np.append(idx[link] + np.maximum(step[link], 1), 0)
+    first = np.searchsorted(idx, nxt)
+    return np.where(first < len(idx), after[first], nxt)
+
+
+def _replay(lists: Sequence, nxt: int, lag: int) -> list[int]:
+    """The same as ``_chain`` where ignored crossings shorten the next dead window."""
+    out = []
+    for p, (i, step, ignored) in enumerate(zip(*(x.tolist() for x in lists))):
+        if i < nxt:
+            continue
+        if ignored:
+            lag += 1
+            continue
+        then = i - lag + step
+        nxt, lag = max(then, i + 1), max(i + 1 - then, 0)
+        out.append(p)
+    return out
 
 
 def _enter(d: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,7 +268,8 @@ def refractory(
     ``candidates`` carry (recording, channel, block, idx, step, ignored), with block = idx // length; ``dead_reach``
     bounds how far past a block's end a dead window can last. A channel of one block is walked directly. Longer
     channels take an up-sweep of entry-to-exit tables (block, then group of blocks) and a down-sweep of entry states,
-    so each task sees one block or one group.
+    so each task sees one block or one group. Within a block each crossing links to its successor: tables follow links
+    by doubling them, spikes are read off one link at a time. Only tables under ``replay_lag`` pass every crossing.
 
     Ignored crossings never spike. With ``replay_lag`` each one also shortens the next dead window by one sample.
     """
@@ -243,8 +290,8 @@ def refractory(
         """Places, within the block's list, of the crossings that spike."""
         out = []
         for b, *lists, d in zip(block, idx, step, ignored, entry):
-            nxt, lag = _enter(np.array([d], dtype=np.int64), b * length)
-            out.append([p for p, c in enumerate(zip(*lists)) if _advance(*c, nxt, lag, replay_lag)[0]])
+            nxt, lag = b * length + max(d, 0), max(-d, 0)
+            out.append(_replay(lists, nxt, lag) if replay_lag else _chain(lists[0], lists[1], nxt))
         return pd.Series(out)
 
     def pick(df: DataFrame, entry: Column) -> DataFrame:
@@ -260,8 +307,11 @@ def refractory(
         tables = []
         for b, *lists in zip(block, idx, step, ignored):
             nxt, lag = _enter(np.arange(lowest, lowest + states, dtype=np.int64), b * length)
-            for c in zip(*lists):
-                _advance(*c, nxt, lag, replay_lag)
+            if replay_lag:
+                for c in zip(*lists):
+                    _advance(*c, nxt, lag)
+            else:
+                nxt = _exits(lists[0], lists[1], nxt)
             tables.append(_encode(_leave(nxt, lag, (b + 1) * length), lowest))
         return pd.DataFrame(tables)
 

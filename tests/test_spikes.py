@@ -1,5 +1,7 @@
 """Spike detection against a sample-by-sample loop."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,34 @@ def test_config_checks():
             SpikeConfig(**kw).validate()
     with pytest.raises(ValueError):
         SpikeConfig(1, 2, 3, 6, 5, replay_lag=True).validate()
+
+
+def test_exits_and_chains_equal_a_walk():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 2, 40, 300):
+        idx = np.sort(rng.choice(1000, size, replace=False)).astype(np.int64)
+        step = rng.integers(-3, 25, size)
+        states = np.arange(0, 60, dtype=np.int64)
+        want = []
+        for nxt in states.tolist():
+            kept = []
+            for p, (i, s) in enumerate(zip(idx.tolist(), step.tolist())):
+                if i >= nxt:
+                    kept.append(p)
+                    nxt = max(i + s, i + 1)
+            assert sp._chain(idx, step, int(states[len(want)])) == kept
+            lists = idx, step, np.zeros(size, bool)
+            if (step > 0).all():
+                assert sp._replay(lists, int(states[len(want)]), 0) == kept
+            want.append(nxt)
+        assert sp._exits(idx, step, states).tolist() == want
+
+
+def test_a_block_that_crosses_throughout_is_quick():
+    idx = np.arange(1 << 18, dtype=np.int64)
+    for step in (1, 2, 40):
+        began = time.process_time()
+        steps = np.full(len(idx), step)
+        exits = sp._exits(idx, steps, np.arange(41, dtype=np.int64))
+        assert len(sp._chain(idx, steps, 0)) == -(-len(idx) // step) and (exits >= len(idx)).all()
+        assert time.process_time() - began < 1
