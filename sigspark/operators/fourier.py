@@ -1,12 +1,16 @@
 """Full magnitude spectrum of every series.
 
-Series up to ``DIRECT_SAMPLES`` are transformed one row each. Longer ones are never gathered: their transform is
-rewritten as a chirp convolution, which allows any length, on a power-of-two grid. Tasks hold a few columns or a few
-rows of the grid and pass square tiles of it on, so a task holds about ``_TASK_CELLS`` values however long the series.
+Series up to ``DIRECT_SAMPLES`` are transformed one row each. Longer ones are never gathered. Where the length has two
+factors that fit a task, columns and then rows of a grid of just these sides are transformed; real samples let half the
+rows do. Other lengths (primes, or with too large a prime factor) become a chirp convolution on a power-of-two grid.
+Tasks hold a few columns or a few rows and pass tiles on: about ``_TASK_CELLS`` values however long the series.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +19,7 @@ from pyspark.sql import types as T
 
 from sigspark.functions.columns import hann_weight
 from sigspark.operators.blocks import collect_in_order
-from sigspark.operators.scale import freeze
+from sigspark.operators.scale import freeze, small_side
 from sigspark.operators.signal import series_keys
 
 DIRECT_SAMPLES = 1 << 18
@@ -174,6 +178,72 @@ def _grid_spectrum(data: DataFrame, keys: list[str], fs: float) -> DataFrame:
     return _magnitude_rows(found.where(F.col("bin") < F.expr("n div 2")), keys, fs)
 
 
+# --- two factors -----------------------------------------------------------------------------------------------
+
+
+@F.pandas_udf(T.LongType())
+def _factor(n: pd.Series) -> pd.Series:
+    """Largest divisor up to the square root."""
+    out = []
+    for x in n.tolist():
+        d = np.arange(1, math.isqrt(x) + 1)
+        out.append(int(d[x % d == 0][-1]))
+    return pd.Series(out)
+
+
+@F.pandas_udf(_TILES)
+def _factor_columns(idx: pd.Series, value: pd.Series, shape: pd.DataFrame, tile: pd.Series) -> pd.Series:
+    """A few grid columns -> first half of their transforms, turned for the row step, in tiles of ``tall`` rows."""
+    out = []
+    for i, v, (n, rows, cols, wide, tall), at in zip(idx, value, shape.itertuples(index=False), tile):
+        i, first = np.asarray(i, dtype=np.int64), at * wide
+        x = np.zeros((rows, min(wide, cols - first)))
+        x[i // cols, i % cols - first] = np.asarray(v, dtype=float)
+        half = np.fft.rfft(x, axis=0)
+        half *= _turn(first, half.shape[1], len(half), n, -1)
+        out.append([np.ascontiguousarray(p).view(float).ravel() for p in np.split(half, range(tall, len(half), tall))])
+    return pd.Series(out)
+
+
+@F.pandas_udf(_REALS)
+def _factor_rows(places: pd.Series, tiles: pd.Series, shape: pd.DataFrame) -> pd.Series:
+    """Magnitudes of a few grid rows, row by row."""
+    out = []
+    for p, t, (n, _, cols, wide, _) in zip(places, tiles, shape.itertuples(index=False)):
+        order = np.argsort(np.asarray(p))
+        parts = [np.asarray(t[i], dtype=float).view(complex).reshape(-1, min(wide, cols - p[i] * wide)) for i in order]
+        out.append((np.abs(np.fft.fft(np.concatenate(parts, axis=1), axis=1)) / n).ravel())
+    return pd.Series(out)
+
+
+def _factor_spectrum(data: DataFrame, keys: list[str], fs: float) -> DataFrame:
+    """Spectrum of series of n = rows * cols samples. Grid row k holds the bins k, k + rows, ...
+
+    Bin n - b mirrors bin b and lies in row rows - k, so rows up to rows / 2 give all bins; the first row, and the
+    middle one of an even number, hold both.
+    """
+    shaped = (
+        data.withColumn("cols", F.expr("n div rows"))
+        .withColumn("wide", F.expr(f"greatest(1L, least(cols, {_TASK_CELLS}L div rows))"))
+        .withColumn("tall", F.expr(f"greatest(1L, least(rows, {_TASK_CELLS}L div cols))"))
+        .withColumn("_shape", F.struct("n", "rows", "cols", "wide", "tall"))
+        .drop("n", "rows", "cols", "wide", "tall")
+    )
+    grid = [*keys, "_shape"]
+    columns = (
+        shaped.groupBy(*grid, F.expr("idx % _shape.cols div _shape.wide").alias("_col"))
+        .agg(F.collect_list(F.struct("idx", "value")).alias("_s"))
+        .withColumn("_tiles", _factor_columns("_s.idx", "_s.value", "_shape", "_col"))
+    )
+    found = _regroup(columns, grid, "_col", "_row").select(
+        *keys, "_shape.*", "_row", F.posexplode(_factor_rows("_parts._col", "_parts._cells", "_shape")).alias("_place", "magnitude")
+    )
+    found = found.withColumn("_k", F.expr("_row * tall + _place div cols")).withColumn("_at", F.expr("_k + rows * (_place % cols)"))
+    mirrored = F.expr("_k <> 0 AND 2 * _k <> rows AND n - _at < n div 2")
+    found = found.withColumn("bin", F.when(F.expr("_at < n div 2"), F.col("_at")).when(mirrored, F.col("n") - F.col("_at")))
+    return _magnitude_rows(found.where("bin IS NOT NULL").withColumn("bin", F.col("bin").cast("long")), keys, fs)
+
+
 def spectrum(
     signal: DataFrame, fs: float, window: bool = True, longest: int | None = None, direct: int | None = None
 ) -> DataFrame:
@@ -184,11 +254,20 @@ def spectrum(
     limit = DIRECT_SAMPLES if direct is None else direct
     keys = series_keys(signal)
     data = signal.select(*keys, "idx", "n", "value")
+    weighted = data.withColumn("value", F.col("value") * hann_weight(F.col("idx"), F.col("n"))) if window else data
     if longest is None:
         longest = data.agg(F.max("n")).first()[0] or 0
-    if window:
-        data = data.withColumn("value", F.col("value") * hann_weight(F.col("idx"), F.col("n")))
     if longest <= limit:
-        return _series_spectrum(data, keys, fs)
-    short = _series_spectrum(data.where(F.col("n") <= limit), keys, fs)
-    return short.unionByName(_grid_spectrum(data.where(F.col("n") > limit), keys, fs))
+        return _series_spectrum(weighted, keys, fs)
+    # a scan of the lengths tells which of the three ways there are series for
+    lengths = small_side(data.select("n").where("n > 0").distinct().withColumn("rows", _factor(F.col("n").cast("long"))))
+    splits = F.expr(f"rows > 1 AND n div rows <= {_TASK_CELLS}L")
+    some = lengths.agg(*(F.coalesce(F.bool_or(c), F.lit(False)) for c in (
+        F.col("n") <= limit, (F.col("n") > limit) & splits, (F.col("n") > limit) & ~splits))).first()
+    long = weighted.where(F.col("n") > limit).join(lengths, "n")
+    ways = [
+        _series_spectrum(weighted.where(F.col("n") <= limit), keys, fs) if some[0] else None,
+        _factor_spectrum(long.where(splits), keys, fs) if some[1] else None,
+        _grid_spectrum(long.where(~splits).drop("rows"), keys, fs) if some[2] else None,
+    ]
+    return reduce(DataFrame.unionByName, [w for w in ways if w is not None])

@@ -110,7 +110,7 @@ def test_blocks_hold_their_margins(noise):
 def test_spectrum(noise, window):
     data, sig = noise
     whole = fo.spectrum(sig, 1000, window)
-    pieces = fo.spectrum(sig, 1000, window, direct=700)  # the 1003-sample channels take the grid
+    pieces = fo.spectrum(sig, 1000, window, direct=700)  # the 1003-sample channels are split, 17 by 59
     few = sg.spectrum_bins(sig, 1000, [0, 3, 40], window)
     a, b, c = (arrays(x, "magnitude", "bin") for x in (whole, pieces, few))
     freq = arrays(whole, "freq_hz", "bin")
@@ -123,6 +123,19 @@ def test_spectrum(noise, window):
         np.testing.assert_allclose(freq[key], np.arange(n // 2) * 1000 / n)
 
 
+@pytest.mark.parametrize("cells", [1, 64, 1 << 20])
+def test_long_spectra_by_factors_and_by_chirp(long_signal, monkeypatch, cells):
+    monkeypatch.setattr(fo, "_TASK_CELLS", cells)
+    rng = np.random.default_rng(8)
+    # two factors of any parity, equal ones, powers of two, twice a prime, a prime, and one that is transformed whole
+    data = {("r", f"c{n}"): rng.standard_normal(n) for n in (60, 61, 64, 81, 90, 122, 49, 105, 12)}
+    data[("q", "c60")] = rng.standard_normal(60)
+    got = arrays(fo.spectrum(long_signal(data), 1000, False, direct=16), "magnitude", "bin")
+    assert set(got) == set(data)
+    for key, x in data.items():
+        np.testing.assert_allclose(got[key], np.abs(np.fft.fft(x))[: len(x) // 2] / len(x), atol=1e-12)
+
+
 def test_sine_peaks_at_its_bin(long_signal):
     x = np.sin(2 * np.pi * 50 * np.arange(400) / 1000)
     s = fo.spectrum(long_signal({("r", "a"): x}), 1000)
