@@ -143,19 +143,22 @@ def prepare(filt: Filter) -> _Kernel:
 
 
 def _pass(kernel: _Kernel, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One causal pass from a state: output and last state."""
-    rows, left = divmod(len(x), _ROWS)
-    grid = np.zeros((rows + 1, _ROWS))
-    grid.reshape(-1)[: len(x)] = x
-    pushes = grid[:rows] @ kernel.carry
-    states = np.empty((rows + 1, len(state)))
+    """One causal pass from a state: output and last state. ``x``: one block, or blocks of one length with a state each."""
+    length, size = x.shape[-1], len(kernel.rest)
+    rows, left = divmod(length, _ROWS)
+    grid = np.zeros((*x.shape[:-1], (rows + 1) * _ROWS))
+    grid[..., :length] = x
+    grid = grid.reshape(*x.shape[:-1], rows + 1, _ROWS)
+    pushes = grid[..., :rows, :] @ kernel.carry
+    states = np.empty((*x.shape[:-1], rows + 1, size))
     jump = kernel.jumps[_ROWS]
     for r in range(rows):
-        states[r] = state
-        state = state @ jump + pushes[r]
-    states[rows] = state
-    last = state @ kernel.jumps[left] + grid[rows, :left] @ kernel.carry[_ROWS - left :]
-    return (grid @ kernel.toeplitz + states @ kernel.observe).reshape(-1)[: len(x)], last
+        states[..., r, :] = state
+        state = state @ jump + pushes[..., r, :]
+    states[..., rows, :] = state
+    last = state @ kernel.jumps[left] + grid[..., rows, :left] @ kernel.carry[_ROWS - left :]
+    out = grid.reshape(-1, _ROWS) @ kernel.toeplitz + states.reshape(-1, size) @ kernel.observe
+    return out.reshape(*x.shape[:-1], -1)[..., :length], last
 
 
 def _run(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
@@ -165,11 +168,11 @@ def _run(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
 
 def _before(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
     """Odd extension in front of a series."""
-    return 2 * x[0] - x[kernel.pad : 0 : -1]
+    return 2 * x[..., :1] - x[..., kernel.pad : 0 : -1]
 
 
 def _after(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
-    return 2 * x[-1] - x[-2 : -kernel.pad - 2 : -1]
+    return 2 * x[..., -1:] - x[..., -2 : -kernel.pad - 2 : -1]
 
 
 def zero_phase(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
@@ -182,19 +185,19 @@ def zero_phase(kernel: _Kernel, x: np.ndarray) -> np.ndarray:
 
 
 def _forward(kernel: _Kernel, x: np.ndarray, state, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Forward pass over a block and the state it leaves; a series' first block starts at rest."""
+    """Forward pass over a block, or blocks of one length, and the state it leaves; a series' first block starts at rest."""
     if first:
-        x = np.concatenate([_before(kernel, x), x])
-        state = kernel.rest * x[0]
-    return _pass(kernel, np.concatenate([x, _after(kernel, x)]) if last else x, state)
+        x = np.concatenate([_before(kernel, x), x], axis=-1)
+        state = kernel.rest * x[..., :1]
+    return _pass(kernel, np.concatenate([x, _after(kernel, x)], axis=-1) if last else x, state)
 
 
 def _backward(kernel: _Kernel, y: np.ndarray, state, first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Backward pass over a block's forward output, cut to its own samples, and the state it leaves."""
-    y = y[::-1]
-    z, state = _pass(kernel, y, kernel.rest * y[0] if last else state)
-    z = z[::-1][kernel.pad if first else 0 :]
-    return z[: len(z) - kernel.pad] if last else z, state
+    """Backward pass over forward output, cut to the blocks' own samples, and the state it leaves."""
+    y = y[..., ::-1]
+    z, state = _pass(kernel, y, kernel.rest * y[..., :1] if last else state)
+    z = z[..., ::-1][..., kernel.pad if first else 0 :]
+    return z[..., : z.shape[-1] - kernel.pad] if last else z, state
 
 
 def _samples(values) -> np.ndarray:
@@ -204,45 +207,77 @@ def _samples(values) -> np.ndarray:
     return x
 
 
+def _handed(pushes: np.ndarray, counts: np.ndarray, entry: np.ndarray, jump: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States before each push and after the last one of each group. ``pushes`` of the groups lie one after another."""
+    states, out, first = entry.copy(), np.empty_like(pushes), np.cumsum(counts) - counts
+    for i in range(counts.max(initial=0)):
+        going = np.flatnonzero(counts > i)
+        at = first[going] + i
+        out[at] = states[going]
+        states[going] = states[going] @ jump + pushes[at]
+    return out, states
+
+
+def _stacked(lists: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Flat lists of states as one matrix, and how many states each list holds."""
+    flat = [np.asarray(x, dtype=float) for x in lists]
+    return np.concatenate([*flat, np.zeros(0)]).reshape(-1, size), np.array([len(x) // size for x in flat], dtype=np.int64)
+
+
 def _entry_states(pushes: DataFrame, kernel: _Kernel, length: int, group: int) -> DataFrame:
     """``series, block, state``: what each block is entered with. ``pushes``: ``series, block, place, push``, ``place``
     the block's number in the direction of the pass; the first one's push is the whole state that it leaves.
 
-    A push per block, folded by one task for ``group`` blocks, then one row per group.
+    A push per block, folded in groups of ``group`` blocks, then one row per group. A task folds many groups at once.
     """
     step = np.linalg.matrix_power(kernel.jumps[1], length)
     far = np.linalg.matrix_power(step, group)
     size = len(kernel.rest)
-
-    def handed(rows: pd.DataFrame, state: np.ndarray, jump: np.ndarray) -> tuple[list, np.ndarray]:
-        out = []
-        for push in rows["push"]:
-            out.append(state)
-            state = state @ jump + np.asarray(push)
-        return out, state
-
-    def folded(rows: pd.DataFrame) -> pd.DataFrame:
-        _, state = handed(rows.sort_values("place"), np.zeros(size), step)
-        return pd.DataFrame({"series": rows["series"].iloc[:1], "part": rows["part"].iloc[:1], "push": [state]})
-
-    def between(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("part")
-        return pd.DataFrame({"series": rows["series"], "part": rows["part"], "entry": handed(rows, np.zeros(size), far)[0]})
-
-    def within(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("place")
-        states, _ = handed(rows, np.asarray(rows["entry"].iloc[0]), step)
-        return pd.DataFrame({"series": rows["series"], "block": rows["block"], "state": states})
-
-    rows = pushes.withColumn("part", F.expr(f"place DIV {group}"))
-    parts = rows.groupBy("series", "part").applyInPandas(folded, "series string, part long, push array<double>")
-    entries = parts.groupBy("series").applyInPandas(between, "series string, part long, entry array<double>")
-    joined = rows.join(entries, ["series", "part"])
-    states = freeze(joined.groupBy("series", "part").applyInPandas(within, "series string, block long, state array<double>"))
+    doubles = T.ArrayType(T.DoubleType())
+
+    @F.pandas_udf(doubles)
+    def folded(lists: pd.Series) -> pd.Series:
+        rows, counts = _stacked(lists, size)
+        return pd.Series(list(_handed(rows, counts, np.zeros((len(counts), size)), step)[1]))
+
+    def entered(jump: np.ndarray):
+        @F.pandas_udf(doubles)
+        def states(lists: pd.Series, entry: pd.Series) -> pd.Series:
+            rows, counts = _stacked(lists, size)
+            out = _handed(rows, counts, np.stack(entry.to_list()) if len(entry) else np.zeros((0, size)), jump)[0]
+            return pd.Series([x.reshape(-1) for x in np.split(out, np.cumsum(counts)[:-1])][: len(counts)])
+
+        return states
+
+    def gathered(rows: DataFrame, by: Sequence[str], *fields: str) -> DataFrame:
+        held = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_held"))
+        return held.withColumn("_pushes", F.flatten("_held.push"))
+
+    def spread(rows: DataFrame, to: str) -> DataFrame:
+        """One row for each state of the flat list ``_states``, beside its place in ``_held``."""
+        each = F.transform("_held", lambda h, i: F.struct(h[to].alias(to), F.slice("_states", i * size + 1, size).alias("state")))
+        return rows.withColumn("_each", F.explode(each)).select("series", *([] if to == "part" else ["part"]), f"_each.{to}", "_each.state")
+
+    groups = gathered(pushes.withColumn("part", F.expr(f"place DIV {group}")), ["series", "part"], "place", "block", "push")
+    tops = gathered(groups.select("series", "part", folded("_pushes").alias("push")), ["series"], "part", "push")
+    rest = F.array_repeat(F.lit(0.0), size)
+    entries = spread(tops.withColumn("_states", entered(far)("_pushes", rest)), "part").withColumnRenamed("state", "entry")
+    within = groups.join(entries, ["series", "part"]).withColumn("_states", entered(step)("_pushes", "entry"))
+    states = freeze(spread(within, "block").drop("part"))
     small = states.count() * (8 * size + 64) <= _BROADCAST_BYTES
     return F.broadcast(states) if small else states.hint("shuffle_hash")
 
 
+def _alike(lengths: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+    """Rows of one length and place, at most about ``BLOCK`` samples at a time."""
+    kinds = np.stack([lengths, first, last], axis=1).astype(np.int64)
+    out = []
+    for n, head, tail in np.unique(kinds, axis=0):
+        rows, most = np.flatnonzero((kinds == (n, head, tail)).all(axis=1)), max(1, BLOCK // max(int(n), _ROWS))
+        out += [rows[i : i + most] for i in range(0, len(rows), most)]
+    return out
+
+
 def _filter_long(blocks: DataFrame, kernels: Sequence[_Kernel], length: int, group: int) -> DataFrame:
     """``blocks`` of series of several blocks, filtered. Each pass is stored, so that its pushes and its samples agree."""
     kind = T.StructType([T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("push", T.ArrayType(T.DoubleType()))])
@@ -252,18 +287,22 @@ def _filter_long(blocks: DataFrame, kernels: Sequence[_Kernel], length: int, gro
 
         @F.pandas_udf(kind)
         def done(values: pd.Series, states: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
-            out, pushes = [], []
-            for x, state, head, tail in zip(values, states, first, last):
-                zero = np.zeros(len(kernel.rest))
-                state = zero if state is None else np.asarray(state)
+            size, (values, states) = len(kernel.rest), (values.to_list(), states.to_list())
+            first, last = first.to_numpy(dtype=bool), last.to_numpy(dtype=bool)
+            out, pushes = [None] * len(values), [None] * len(values)
+            for rows in _alike(np.array([len(x) for x in values], dtype=np.int64), first, last):
+                x, head, tail = np.stack([np.asarray(values[r], dtype=float) for r in rows]), first[rows[0]], last[rows[0]]
+                if pass_ != "none":
+                    state = np.stack([np.asarray(states[r], dtype=float) for r in rows])
                 if pass_ == "forward":
-                    y = _forward(kernel, np.asarray(x), state, head, tail)[0]
-                    push = _backward(kernel, y, zero, head, tail)[1]
+                    y = _forward(kernel, x, state, head, tail)[0]
+                    push = _backward(kernel, y, np.zeros((len(rows), size)), head, tail)[1]
                 else:
-                    y = _samples(x) if pass_ == "none" else _backward(kernel, np.asarray(x), state, head, tail)[0]
-                    push = np.zeros(0) if then is None else _forward(then, y, np.zeros(len(then.rest)), head, tail)[1]
-                out.append(y)
-                pushes.append(push)
+                    y = _samples(x) if pass_ == "none" else _backward(kernel, x, state, head, tail)[0]
+                    push = np.zeros((len(rows), 0)) if then is None else _forward(
+                        then, y, np.zeros((len(rows), len(then.rest))), head, tail)[1]
+                for i, r in enumerate(rows):
+                    out[r], pushes[r] = y[i], push[i]
             return pd.DataFrame({"values": out, "push": pushes})
 
         return done

@@ -207,6 +207,33 @@ def test_filter_many_blocks(long_signal, block, group):
         np.testing.assert_allclose(times[key], np.arange(len(x)) * 0.001)
 
 
+def test_many_groups_of_blocks_at_once():
+    """Groups of any sizes are folded together, and blocks of one length filtered together, as one by one."""
+    rng = np.random.default_rng(5)
+    kernel = fl.prepare(fl.design_butterworth(2, "highpass", [5], 1000))
+    jump, counts = kernel.jumps[50], rng.integers(0, 4, 500)
+    pushes, entry = rng.normal(size=(int(counts.sum()), 2)), rng.normal(size=(500, 2))
+    before, after = fl._handed(pushes, counts, entry, jump)
+    at = 0
+    for g, n in enumerate(counts):
+        state = entry[g]
+        for _ in range(n):
+            assert np.allclose(before[at], state)
+            state, at = state @ jump + pushes[at], at + 1
+        assert np.allclose(after[g], state)
+    x = rng.normal(size=(7, 300))
+    for head in (False, True):
+        for tail in (False, True):
+            many = fl._forward(kernel, x, entry[:7], head, tail)
+            back = fl._backward(kernel, many[0], entry[7:14], head, tail)
+            for i in range(7):
+                one = fl._forward(kernel, x[i], entry[i], head, tail)
+                alone = fl._backward(kernel, one[0], entry[7 + i], head, tail)
+                assert all(np.allclose(a[i], b) for a, b in zip((*many, *back), (*one, *alone)))
+    parts = fl._alike(np.array([5, 9, 5, 5]), np.array([True, False, True, False]), np.zeros(4, dtype=bool))
+    assert sorted(p.tolist() for p in parts) == [[0, 2], [1], [3]]
+
+
 def test_filter_blocks_are_bounded():
     narrow = fl.design_chain(2, None, (), [50 * k for k in range(1, 9)], 30_000)
     assert max(f.pad for f in narrow) < fl.BLOCK and 2 * fl.BLOCK == 1 << 18
