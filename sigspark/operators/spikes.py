@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ from sigspark.plans.config import SpikeConfig
 _BLOCKS_PER_GROUP = 1024
 # Candidates whose windows are looked at together inside a task.
 _WINDOWS_AT_ONCE = 4096
+# Samples of short blocks that a task looks at together; a longer block comes alone.
+_SAMPLES_AT_ONCE = 1 << 18
 
 
 def _live(signal: DataFrame, stats: DataFrame | None) -> DataFrame:
@@ -100,7 +103,7 @@ def peaks(blocks: DataFrame, cfg: SpikeConfig) -> DataFrame:
     """
     k, before, after, dead, trim = cfg.threshold, cfg.before, cfg.after, cfg.dead, cfg.edge == "trim"
 
-    def windows(at: np.ndarray, n: int):
+    def windows(at: np.ndarray, n: np.ndarray):
         """Bounds of [at-before, at+after) after the edge rule, and which of them fit."""
         low, high = at - before, at + after
         fits = (low >= 0) & (high < n)
@@ -108,7 +111,7 @@ def peaks(blocks: DataFrame, cfg: SpikeConfig) -> DataFrame:
             low, high = np.maximum(low, 0), np.where(high > n, n - 1, high)
         return low, high, fits
 
-    def search(x: np.ndarray, start: int, low: np.ndarray, high: np.ndarray, positive: np.ndarray):
+    def search(x: np.ndarray, shift: np.ndarray, end: np.ndarray, low: np.ndarray, high: np.ndarray, positive: np.ndarray):
         """Positions of the peak and the absolute peak of each window, a bounded number of windows at a time."""
         peak, extreme = np.empty(len(low), dtype=np.int64), np.empty(len(low), dtype=np.int64)
         reach = np.arange(max(before + after, 1))
@@ -116,52 +119,57 @@ def peaks(blocks: DataFrame, cfg: SpikeConfig) -> DataFrame:
             part = slice(s, s + _WINDOWS_AT_ONCE)
             place = low[part, None] + reach
             inside = place < high[part, None]
-            w = x[np.minimum(place - start, len(x) - 1)]
+            w = x[np.minimum(place + shift[part, None], end[part, None])]
             inside &= ~np.isnan(w)
             signed = np.where(positive[part, None], w, -w)
             peak[part] = low[part] + np.argmax(np.where(inside, signed, -np.inf), axis=1)
             extreme[part] = low[part] + np.argmax(np.where(inside, np.abs(w), -np.inf), axis=1)
         return peak, extreme
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def found(rows: pa.RecordBatch) -> pa.RecordBatch | None:
+        """Crossings of a few blocks, whose samples lie one after another."""
+        x, sizes = _flat(rows.column("values"))
+        block, n, start, length = (rows.column(c).to_numpy().astype(np.int64) for c in ("block", "n", "start", "length"))
+        std = rows.column("std").to_numpy(zero_copy_only=False)
+        base = np.cumsum(sizes) - sizes
+        place = np.arange(len(x)) - np.repeat(base, sizes)
+        least = np.repeat(k * std, sizes)
+        lo = block * length - start
+        hit = ((x >= least) | (x <= -least)) & (place >= np.repeat(lo, sizes)) & (place < np.repeat(lo + length, sizes))
+        spot = np.flatnonzero(hit)
+        if not len(spot):
+            return None
+        row = np.searchsorted(base + sizes, spot, side="right")
+        n, std, shift, end = n[row], std[row], (base - start)[row], (base + sizes - 1)[row]
+        at, value = spot - shift, x[spot]
+        low, high, fits = windows(at, n)
+        usable = fits if not trim else low < high
+        safe_low, safe_high = np.where(usable, low, at), np.where(usable, high, at + 1)
+        peak, extreme = search(x, shift, end, safe_low, safe_high, value >= k * std)
+        first, last, peak_fits = windows(peak, n)
+        keys = [rows.column(c).take(pa.array(row)) for c in CHANNEL_KEYS]
+        rest = (block[row], n, std, at, value, peak, x[peak + shift], extreme, x[extreme + shift], first, last,
+                dead + last - high, ~usable if trim else ~(fits & peak_fits))
+        return pa.RecordBatch.from_arrays([*keys, *map(pa.array, rest)], names=_CANDIDATE.names)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for row in batch.itertuples(index=False):
-                x = np.asarray(row.values, dtype=float)
-                start, n = int(row.start), int(row.n)
-                lo = row.block * row.length - start
-                own = x[lo : lo + row.length]
-                at = np.flatnonzero((own >= k * row.std) | (own <= -k * row.std)) + lo + start
-                if not len(at):
-                    continue
-                low, high, fits = windows(at, n)
-                usable = fits if not trim else low < high
-                safe_low, safe_high = np.where(usable, low, at), np.where(usable, high, at + 1)
-                value = x[at - start]
-                peak, extreme = search(x, start, safe_low, safe_high, value >= k * row.std)
-                first, last, peak_fits = windows(peak, n)
-                found.append(pd.DataFrame({
-                    "recording_id": row.recording_id,
-                    "channel": row.channel,
-                    "block": row.block,
-                    "n": n,
-                    "std": row.std,
-                    "idx": at,
-                    "value": value,
-                    "peak_idx": peak,
-                    "peak_value": x[peak - start],
-                    "abs_peak_idx": extreme,
-                    "abs_peak_value": x[extreme - start],
-                    "first_idx": first,
-                    "last_idx": last,
-                    "step": dead + last - high,
-                    "ignored": ~usable if trim else ~(fits & peak_fits),
-                }))
-            if found:
-                yield pd.concat(found, ignore_index=True)
+            ends = np.cumsum(_flat(batch.column("values"))[1])
+            done, samples = 0, 0
+            while done < len(ends):
+                upto = max(int(np.searchsorted(ends, samples + _SAMPLES_AT_ONCE, side="right")), done + 1)
+                out = found(batch.slice(done, upto - done))
+                if out is not None:
+                    yield out
+                done, samples = upto, int(ends[upto - 1])
 
     columns = [*CHANNEL_KEYS, "block", "n", "std", "start", "length", "values"]
-    return blocks.select(*columns).mapInPandas(scan, _CANDIDATE)
+    return blocks.select(*columns).mapInArrow(scan, _CANDIDATE)
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Samples of all lists, one list after another, and the lists' sizes."""
+    return lists.flatten().to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()).astype(np.int64)
 
 
 # --- dead window -----------------------------------------------------------------------------------------------

@@ -109,6 +109,20 @@ def test_replay_lag(spark, long_signal, block, fan):
     assert by_loop(lead, cfg) != by_loop(lead, SpikeConfig(1, 1.2, 12, 6, 5, "ignore"))
 
 
+@pytest.mark.parametrize("edge", ["ignore", "trim"])
+def test_blocks_are_searched_in_bounded_pieces(spark, long_signal, monkeypatch, edge):
+    """Samples of many short blocks lie one after another, a few blocks at a time; windows stay within their block."""
+    monkeypatch.setattr(sp, "_SAMPLES_AT_ONCE", 150)
+    data = series()
+    rng = np.random.default_rng(4)
+    for i in range(60):
+        data[("r/many.csv", f"c{i}")] = rng.normal(size=12 + i)
+    cfg = SpikeConfig(1, 1.2, 4, 3, 5, edge)
+    got = found(detect_spikes(long_signal(data), cfg, 40, 3))
+    for key, x in data.items():
+        same(got.get(key, []), by_loop(x, cfg))
+
+
 def test_long_channel_blocks(spark, long_signal):
     rng = np.random.default_rng(1)
     data = {("r", "long"): rng.normal(size=6000) * (1 + 4 * (rng.random(6000) < 0.05))}
