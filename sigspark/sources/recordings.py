@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +16,53 @@ from sigspark.functions.columns import contains_all, contains_any
 from sigspark.operators.scale import freeze, small_side
 
 _FILE_BLOCK = ["path", "_start"]
+#: Name of the file of lines without a recording.
+_NAMELESS = "__HIVE_DEFAULT_PARTITION__"
+
+
+def write_lines(lines: DataFrame, folder: str, order: str) -> None:
+    """Write a text file for each value of ``recording``: its ``line`` values, by the column ``order``.
+
+    A task writes the files of its recordings, as streams, to a folder of its own, ``group=<task>/recording=<value>.csv``:
+    a folder and a commit for each recording would cost more than its lines. A file appears under its name once it is
+    whole; a task that runs again writes the same files again.
+    """
+
+    def write(batches):
+        disk, base = pafs.FileSystem.from_uri(folder)
+        base = f"{base}/group={TaskContext.get().partitionId()}"
+        files, now, stream, temporary = 0, None, None, None
+
+        def finish():
+            stream.close()
+            disk.move(temporary, f"{base}/recording={_NAMELESS if now is None else now}.csv")
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            text = batch.column("line").cast(pa.string())
+            at = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+            data = memoryview(text.buffers()[2])
+            names = batch.column("recording").to_pylist()
+            begins = [i for i in range(len(names)) if not i or names[i] != names[i - 1]]
+            for first, end in zip(begins, [*begins[1:], len(names)]):
+                if stream is None or names[first] != now:
+                    if stream is not None:
+                        finish()
+                    else:
+                        disk.create_dir(base, recursive=True)
+                    # a dot: listings pass over what is not whole
+                    now, temporary = names[first], f"{base}/.{uuid.uuid4().hex}"
+                    stream = disk.open_output_stream(temporary, compression=None)
+                    files += 1
+                stream.write(data[at[first] : at[end]])
+        if stream is not None:
+            finish()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    dealt = lines.select(F.col("recording").cast("string").alias("recording"), order, F.concat("line", F.lit("\n")).alias("line"))
+    dealt = dealt.repartition("recording").sortWithinPartitions("recording", order)
+    dealt.select("recording", "line").mapInArrow(write, "files long").agg(F.sum("files")).collect()
 
 
 def numbered_lines(

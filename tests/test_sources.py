@@ -279,3 +279,23 @@ def test_filter_spikes(spikes):
     assert ra.filter_spikes(spikes, "target", ["P"]).where("target <> 'P'").count() == 0
     with pytest.raises(ValueError):
         ra.filter_spikes(spikes, "key", ["x"])
+
+
+def test_files_of_recordings_share_a_folder_of_their_task(spark, tmp_path):
+    """One file for each recording, also for lines without one, with its lines in order; none of them in a folder of its own."""
+    lines = [(r, at, f"{r};{at}" if at % 7 else "") for r in (3, 4, 30, None) for at in range(25)]
+    df = spark.createDataFrame(lines, "recording long, at long, line string").repartition(5)
+    for root in (str(tmp_path / "plain"), (tmp_path / "uri").as_uri()):
+        rec.write_lines(df, root, "at")
+        files = {p.name: p.read_text() for p in (tmp_path / root.rsplit("/", 1)[1]).glob("*/*")}
+        assert files == {f"recording={'__HIVE_DEFAULT_PARTITION__' if r is None else r}.csv": "".join(
+            t + "\n" for q, _, t in lines if q == r) for r in (3, 4, 30, None)}
+        assert fs.list_files(spark, root).count() == 4
+
+
+def test_lines_of_a_recording_may_fill_many_batches(spark, tmp_path):
+    df = spark.range(30_000).selectExpr("id % 2 AS recording", "id AS at", "concat('ü', id) AS line")
+    rec.write_lines(df, str(tmp_path / "r"), "at")
+    for r in (0, 1):
+        (path,) = (tmp_path / "r").glob(f"*/recording={r}.csv")
+        assert path.read_text().splitlines() == [f"ü{i}" for i in range(r, 30_000, 2)]
