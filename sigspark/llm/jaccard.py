@@ -18,7 +18,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.llm import words as wd
@@ -245,6 +245,27 @@ def _members(docs: DataFrame, wanted: DataFrame, size: int, levels: np.ndarray)
     return made.join(wanted, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select("key", "members")
 
 
+def _meetings(classes: DataFrame, percent: int) -> DataFrame:
+    """``h, key, n, pos, met``: the shingles of all prefixes at which a class may meet another that reaches the threshold.
+
+    Two that reach it have near sizes, so by size each one's neighbour at their first common shingle is near as well; and
+    all shingles before that one differ, which bounds the sum of their positions. Rows are shuffled once.
+    """
+    place = Window.partitionBy("h")
+    by_size = place.orderBy("n")
+    meeting = classes.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
+    # as in _pairs: a pair's first common shingle has a sum of slacks of zero at least
+    slack = (100 - percent) * F.col("n") - (100 + percent) * F.col("pos")
+    return (
+        meeting.select("*", F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above"))
+        .where((100 * F.col("below") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("above")))
+        .select("h", "key", "n", "pos", F.max(slack).over(place).alias("most"))
+        .where(slack + F.col("most") >= 0)
+        .select("h", "key", "n", "pos", F.count(F.lit(1)).over(place).alias("met"))
+        .where("met > 1")
+    )
+
+
 def _tiled(shared: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Class pairs of one meeting place and different components whose signatures allow the threshold."""
     rows = shared.join(sets.select("key", F.col("mark").alias("bitmap")), "key")
@@ -342,9 +363,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     )
     sets = freeze(whole.select("doc_id", "n", "key"))
     drop(docs.sparkSession, path)
-    meeting = classes.select("key", "n", F.posexplode("prefix").alias("pos", "h"))
-    places = meeting.groupBy("h").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    shared, path = store(meeting.join(places, "h").select("h", "key", "n", "pos", "met"))
+    shared, path = store(_meetings(classes, percent))
     ranked = shared.select("h", "key", "n").join(classes.where("copies > 1").select("key", "copies"), "key", "left")
     leads = ranked.groupBy("h").agg(F.max(F.struct(F.coalesce("copies", F.lit(1)).alias("copies"), "key")).alias("most"),
                                     F.min(F.struct("n", "key")).alias("least"))

@@ -52,6 +52,30 @@ def test_components_equal_brute_force(spark, monkeypatch, size, percent, tile):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, size, percent)
 
 
+def test_only_sets_that_may_reach_the_threshold_meet(spark):
+    rng = random.Random(8)
+    rows = [(k, n, rng.sample(range(60), min(20, n // 5 + 1))) for k, n in enumerate(rng.choices(range(3, 300), k=150))]
+    got = {(r["h"], r["key"]): (r["n"], r["pos"], r["met"]) for r in
+           jaccard._meetings(spark.createDataFrame(rows, "key long, n long, prefix array<long>"), 80).collect()}
+    places, met, pairs = defaultdict(list), defaultdict(int), 0
+    for k, n, prefix in rows:
+        for pos, h in enumerate(prefix):
+            places[h].append((k, n, pos))
+    for h, k in got:
+        met[h] += 1
+    for h, members in places.items():
+        for a, n, i in members:
+            for b, m, j in members:
+                if a < b and 100 * min(n, m) >= 80 * max(n, m) and 180 * (i + j) <= 20 * (n + m):
+                    assert got[h, a][:2] == (n, i) and got[h, b][:2] == (m, j)
+                    pairs += 1
+    assert pairs > 500 and all(m == met[h] > 1 for (h, _), (_, _, m) in got.items())
+    # of sets that share a shingle by chance those of no near size, or with too many others before it, are left out
+    alone = spark.createDataFrame([(1, 10, [7]), (2, 100, [7]), (3, 100, [1, 2, 3, 4, 5, 6, 8, 9, 10, 11, 12, 13, 9_9]),
+                                   (4, 101, [*range(200, 212), 9_9])], "key long, n long, prefix array<long>")
+    assert jaccard._meetings(alone, 80).count() == 0
+
+
 def test_odd_rows(odd_documents, no_documents):
     got = sorted(map(tuple, jaccard.jaccard_components(odd_documents, 3, 90).collect()), key=str)
     assert len(got) == odd_documents.count()
