@@ -177,10 +177,18 @@ def step(p, given: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (h, z, r, n, own[:, 2 * u :])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
+def _softmax(x: np.ndarray, at: np.ndarray, slopes: bool) -> np.ndarray:
+    """Log of the share of column ``at[i]`` of each row ``i``. Leaves in ``x`` the shares less one there if ``slopes``."""
+    rows = np.arange(len(x))
     x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
-    return x
+    total = np.log(np.exp(x).sum(axis=1, keepdims=True))
+    if not slopes:
+        return x[rows, at] - total[:, 0]
+    x -= total
+    out = x[rows, at]
+    np.exp(x, out=x)
+    x[rows, at] -= 1
+    return out
 
 
 def log_probabilities(p, h: np.ndarray, targets: np.ndarray, gradient: dict | None = None):
@@ -188,36 +196,39 @@ def log_probabilities(p, h: np.ndarray, targets: np.ndarray, gradient: dict | No
 
     With ``gradient``, adds the gradient of the mean negative log to it and returns that for ``h`` too.
     """
-    classes, n = len(p["word"]), len(targets)
+    classes, n, slopes = len(p["word"]), len(targets), gradient is not None
     of = targets // CLASS
     of[targets >= len(p["vectors"]) - 1] = classes
-    log_class = _log_softmax(h @ p["class"] + p["class_bias"])
-    out = log_class[np.arange(n), of].astype(np.float64)
+    x = h @ p["class"]
+    x += p["class_bias"]
+    out = _softmax(x, of, slopes).astype(np.float64)
     back = None
-    if gradient is not None:
-        d = np.exp(log_class)
-        d[np.arange(n), of] -= 1
-        d /= n
-        gradient["class"] += h.T @ d
-        gradient["class_bias"] += d.sum(axis=0)
-        back = d @ p["class"].T
-    order = np.argsort(of, kind="stable")
-    ends = np.searchsorted(of[order], np.arange(classes + 1))
-    for c in range(classes):
-        rows = order[ends[c] : ends[c + 1]]
-        if not len(rows):
-            continue
-        within = targets[rows] - c * CLASS
-        log_word = _log_softmax(h[rows] @ p["word"][c] + p["word_bias"][c])
-        at = np.arange(len(rows))
-        out[rows] += log_word[at, within]
-        if gradient is not None:
-            d = np.exp(log_word)
-            d[at, within] -= 1
-            d /= n
-            gradient["word"][c] += h[rows].T @ d
-            gradient["word_bias"][c] += d.sum(axis=0)
-            back[rows] += d @ p["word"][c].T
+    if slopes:
+        x /= n
+        gradient["class"] += h.T @ x
+        gradient["class_bias"] += x.sum(axis=0)
+        back = x @ p["class"].T
+    # rows in order of their class: those of a class are one product, and all of them one table of logits
+    order = np.argsort(of.astype(np.uint8 if classes < 256 else of.dtype), kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=classes + 1)[:classes])]).tolist()
+    order = order[: ends[-1]]
+    own = h[order]
+    x = np.empty((len(order), CLASS), np.result_type(h, p["word"]))
+    present = [(c, ends[c], ends[c + 1]) for c in range(classes) if ends[c] < ends[c + 1]]
+    for c, first, end in present:
+        part = x[first:end]
+        np.matmul(own[first:end], p["word"][c], out=part)
+        part += p["word_bias"][c]
+    out[order] += _softmax(x, targets[order] % CLASS, slopes)
+    if slopes:
+        x /= n
+        d = np.empty_like(own)
+        for c, first, end in present:
+            part = x[first:end]
+            gradient["word"][c] += own[first:end].T @ part
+            gradient["word_bias"][c] += part.sum(axis=0)
+            np.matmul(part, p["word"][c].T, out=d[first:end])
+        back[order] += d
     return out, back
 
 

@@ -263,6 +263,27 @@ def test_probabilities_sum_to_one_and_lanes_do_not_matter(monkeypatch):
     assert np.isclose(whole[6], total, rtol=1e-5)
 
 
+def test_words_of_all_classes_share_one_softmax(monkeypatch):
+    rng = np.random.default_rng(6)
+    p = recurrent.initial(np.arange(2000, 70, -1), 50)
+    words, n = len(p["vectors"]) - 1, 700
+    targets = rng.integers(0, words + 1, n)
+    h = rng.standard_normal((n, recurrent.UNITS)).astype(np.float32)
+    plain = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    want = []
+    for state, t in zip(h, targets):
+        c = t // recurrent.CLASS if t < words else len(p["word"])
+        want.append(plain(state @ p["class"] + p["class_bias"])[c])
+        if t < words:
+            want[-1] += plain(state @ p["word"][c] + p["word_bias"][c])[t % recurrent.CLASS]
+    calls, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    for gradient in (None, {k: np.zeros_like(v) for k, v in p.items()}):
+        logs, _ = recurrent.log_probabilities(p, h, targets.copy(), gradient)
+        assert np.allclose(logs, want, rtol=1e-5)
+    assert len(calls) <= 6
+
+
 def test_training_reads_every_text(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word{i} of the text{i % 7}") for i in range(900)] + [(None, None), (1, "other")],
                                  "doc_id long, text string")
