@@ -5,7 +5,7 @@ unique last token of what stands before it. Storing that token for each prefix m
 Appending only adds entries, and an edit needs new entries only until the table agrees with the old one again.
 
 Two tokens fit if merging the bytes of both by rank merges nothing across their border. Fits are remembered, as are the ids of recent
-segments; both memories have fixed bounds.
+segments and of the pattern's matches in them; all memories have fixed bounds.
 """
 
 from __future__ import annotations
@@ -24,9 +24,13 @@ from sigspark.llm.tables import in_batches
 
 #: Entries of the memories of a task; when full they start anew.
 REMEMBERED_FITS = 1 << 18
-REMEMBERED_SEGMENTS = 1 << 17
+REMEMBERED_SEGMENTS = 1 << 18
+REMEMBERED_PIECES = 1 << 17
+REMEMBERED_HEADS = 1 << 17
 
 _NEVER = 1 << 60
+#: Bytes of the heads that are remembered from one match to the next.
+_HEAD = 6
 
 
 class Vocabulary:
@@ -38,6 +42,12 @@ class Vocabulary:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.longest = max(map(len, ranks), default=1)
+        # by three last bytes: lengths of the tokens that can end there, longest first
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], set()).add(len(token))
+        self._lengths = {ending: (*sorted(found, reverse=True), *self._short(ending)) for ending, found in lengths.items()}
         self.cut = regex.compile(pattern).findall
         found = ahocorasick.Automaton()
         for token, rank in ranks.items():
@@ -48,6 +58,9 @@ class Vocabulary:
         self._fits: dict[int, bool] = {}
         self._segments: dict[str, tuple[int, ...] | None] = {}
         self._older: dict[str, tuple[int, ...] | None] = {}
+        self._pieces: dict[str, tuple[int, ...]] = {}
+        self._older_pieces: dict[str, tuple[int, ...]] = {}
+        self._heads: dict[bytes, tuple[int, ...]] = {}
 
     def _schedule(self, token: int) -> list[tuple[int, bytes, bytes]]:
         """States of the token's bytes as they merge by rank: rank of the next merge, leftmost and rightmost part.
@@ -152,41 +165,63 @@ class Vocabulary:
         out.reverse()
         return out
 
-    def _last(self, data: bytes, end: int, table: dict[int, int]) -> int:
-        """Last token of ``data[:end]``; fills the entries of ``table`` that it asks for, rather than all."""
-        get, known, fits = self.ranks.get, self._fits.get, self.fits
-        for start in range(end - self.longest if end > self.longest else 0, end):
-            token = get(data[start:end])
-            if token is not None:
-                if start:
-                    before = table.get(start)
-                    if before is None:
-                        before = self._last(data, start, table)
-                    ok = known(before + 1 << 32 | token)
-                else:
-                    before, ok = None, known(token)
-                if ok or ok is None and fits(before, token):
-                    table[end] = token
-                    return token
-        raise ValueError("the vocabulary lacks a byte of the text")
+    def _short(self, ending: bytes) -> tuple[int, ...]:
+        """Lengths below three of the tokens that can end with ``ending``."""
+        return (2, 1) if ending[-2:] in self.ranks else (1,)
+
+    def _ids(self, data: bytes, heads: dict[bytes, tuple[int, ...]]) -> tuple[int, ...]:
+        """Encoding of a string, from those of the heads that it asks for, rather than of all: the head before the last
+        token, which must fit that head's last one. Short heads are remembered, longer ones while ``heads`` lives.
+        """
+        get, known, fits, end = self.ranks.get, self._fits.get, self.fits, len(data)
+        for length in self._lengths.get(data[-3:]) or self._short(data):
+            if length < end:
+                token = get(data[-length:])
+                if token is None:
+                    continue
+                head = data[:-length]
+                before = (self._heads if end - length <= _HEAD else heads).get(head) or self._ids(head, heads)
+                ok = known(before[-1] + 1 << 32 | token)
+                if ok or ok is None and fits(before[-1], token):
+                    ids = (*before, token)
+                    break
+            elif length == end:
+                token = get(data)
+                if token is not None and self.fits(None, token):
+                    ids = (token,)
+                    break
+        else:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        if end > _HEAD:
+            heads[data] = ids
+        else:
+            if len(self._heads) >= REMEMBERED_HEADS:
+                self._heads.clear()
+            self._heads[data] = ids
+        return ids
 
     def piece(self, text: str) -> tuple[int, ...]:
-        """Ids of one match of the pattern. A match that is a token is that token."""
+        """Ids of one match of the pattern. Short ones are remembered, two generations as for segments."""
+        ids = self._pieces.get(text)
+        if ids is None:
+            ids = self._older_pieces.get(text)
+            if ids is None:
+                ids = self._piece(text)
+            if len(text) <= 32:
+                if len(self._pieces) >= REMEMBERED_PIECES:
+                    self._older_pieces, self._pieces = self._pieces, {}
+                self._pieces[text] = ids
+        return ids
+
+    def _piece(self, text: str) -> tuple[int, ...]:
+        """Ids of one match, worked out. A match that is a token is that token."""
         data = text.encode()
         whole = self.ranks.get(data)
         if whole is not None:
             return (whole,)
-        end = len(data)
-        if end > 64:
+        if len(data) > 64:
             return tuple(self.walk(self.extend(data, [])))
-        out, table, tokens = [], {}, self.tokens
-        while end:
-            token = table.get(end)
-            if token is None:
-                token = self._last(data, end, table)
-            out.append(token)
-            end -= len(tokens[token])
-        return tuple(out[::-1])
+        return self._ids(data, {}) if data else ()
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, as the pattern cuts it; no special tokens."""
@@ -222,7 +257,7 @@ class Vocabulary:
 
     def settle(self) -> None:
         """Between tasks: keep what was asked for last, bounded in number, for the worker's next task."""
-        self._older = {}
+        self._older, self._older_pieces = {}, {}
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))

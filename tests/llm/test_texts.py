@@ -54,6 +54,32 @@ def test_encoding_equals_the_library(vocabulary, library):
         assert vocabulary.decode(vocabulary.encode(text)) == text.encode()
 
 
+def test_a_word_is_worked_out_once(vocabulary, library, monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return dict.get(self, *key)
+
+    word = "qzvnoteltrugenischaftabel"
+    texts = ["start " + " ".join(word + sign * n for n in range(1, 9)) for sign in ".,!?;:"]
+    fresh = bpe.Vocabulary(Counted(vocabulary.ranks), public_tokenizers.PATTERN)
+    Counted.asked = 0
+    assert fresh.encode(f"start {word}") == library.encode_ordinary(f"start {word}")
+    once = Counted.asked
+    assert [fresh.encode(x) for x in texts] == [library.encode_ordinary(x) for x in texts]
+    # the 48 signs are looked up; the word before them is not
+    assert Counted.asked < once + 48 * 12
+    # memories that fill up and start anew change nothing
+    for name in ("REMEMBERED_HEADS", "REMEMBERED_PIECES", "REMEMBERED_SEGMENTS"):
+        monkeypatch.setattr(bpe, name, 3)
+    rng = random.Random(5)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("etaoinshré") for _ in range(rng.randrange(1, 24))) for _ in range(5))
+        assert fresh.encode(text) == library.encode_ordinary(text), repr(text)
+
+
 def test_appends_and_edits_are_exact(vocabulary):
     rng = random.Random(4)
     for _ in range(200):
