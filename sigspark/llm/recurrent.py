@@ -164,7 +164,10 @@ def initial(counts: np.ndarray, rest: int) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x):
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
+    x = np.negative(x)
+    np.exp(x, out=x)
+    x += np.float32(1)
+    return np.divide(np.float32(1), x, out=x)
 
 
 def step(p, given: np.ndarray, h: np.ndarray):
@@ -309,9 +312,18 @@ class Trainer:
             rate = _RATE * math.sqrt(1 - 0.999**self.turn) / (1 - 0.9**self.turn)
             for k, g in gradient.items():
                 g *= np.float32(clip)
-                first[k] += np.float32(0.1) * (g - first[k])
-                second[k] += np.float32(0.001) * (g * g - second[k])
-                p[k] -= np.float32(rate) * first[k] / (np.sqrt(second[k]) + np.float32(1e-8))
+                x = g - first[k]
+                x *= np.float32(0.1)
+                first[k] += x
+                g *= g
+                g -= second[k]
+                g *= np.float32(0.001)
+                second[k] += g
+                np.sqrt(second[k], out=x)
+                x += np.float32(1e-8)
+                np.multiply(first[k], np.float32(rate), out=g)
+                g /= x
+                p[k] -= g
 
 
 def _packed(p) -> bytes:
