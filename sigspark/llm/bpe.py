@@ -5,7 +5,9 @@ unique last token of what stands before it. Storing that token for each prefix m
 Appending only adds entries, and an edit needs new entries only until the table agrees with the old one again.
 
 Two tokens fit if merging the bytes of both by rank merges nothing across their border. Fits are remembered, as are the ids of recent
-segments and of the pattern's matches in them; all memories have fixed bounds.
+segments and of the pattern's matches in them; all memories have fixed bounds. Matches that many texts ask for and none
+remembers are worked out together, by the same entries: for all of them at once those of their first bytes, then of
+their second ones, and so on (``Together``).
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ import hashlib
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.llm.tables import in_batches
+from sigspark.llm.tables import in_batches, rows_of
+from sigspark.llm.words import Lookup
 
 #: Entries of the memories of a task; when full they start anew.
 REMEMBERED_FITS = 1 << 18
@@ -28,11 +32,166 @@ REMEMBERED_SEGMENTS = 1 << 17
 REMEMBERED_PIECES = 1 << 17
 REMEMBERED_HEADS = 1 << 17
 
+#: Bits of the number of fits that matches worked out together remember; bytes of those matches, and of the longest.
+FIT_BITS, TOGETHER, LONGEST = 19, 1 << 17, 256
+#: Rows and bytes of text that are encoded together.
+_ROWS, _TEXT = 512, 1 << 19
+#: Longest segments and matches, in characters, that are remembered.
+_SHORT = 32
+
 _NEVER = 1 << 60
 #: Bytes of the heads that are remembered from one match to the next.
 _HEAD = 6
 
 
+def _spread(keys: np.ndarray) -> np.ndarray:
+    """Numbers below 2^63 one to one as hashes whose low bits differ."""
+    out = keys.astype(np.uint64)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(32)
+    return out
+
+
+class Together:
+    """Last tokens of all prefixes of many byte strings at once, as ``Vocabulary.extend`` finds them for one.
+
+    Every token that a string holds is found by its bytes, all strings and places together. Then the entries are filled
+    in by place: of the tokens that end there one fits the entry before it.
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self._of = vocabulary
+        ranks, tokens = vocabulary.ranks, vocabulary.tokens
+        # the number past the last token stands for the begin of a string; it merges with nothing
+        self.none = len(tokens)
+        self._width = self.none + 1
+        self._sizes = np.array([*map(len, tokens), 1])
+        self._numbers = np.arange(self.none).astype(object)  # one object a number, however often it is remembered
+        nodes: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        steps, pairs, merged = [], [], []
+        for token, rank in ranks.items():
+            for i in range(1, len(token)):
+                head = token[: i + 1]
+                if head not in nodes:
+                    steps.append(nodes[token[:i]] << 8 | token[i])
+                    nodes[head] = len(nodes)
+                left = ranks.get(token[:i])
+                if left is not None:
+                    right = ranks.get(token[i:])
+                    if right is not None:
+                        pairs.append(left * self._width + right)
+                        merged.append(rank)
+        self._steps, self._pairs = (Lookup(_spread(np.array(x, np.int64))) for x in (steps, pairs))
+        self._merged = np.append(np.array(merged, np.int64), _NEVER)  # for no pair, -1
+        self._token = np.full(len(nodes), -1, np.int32)
+        for token, rank in ranks.items():
+            if token:
+                self._token[nodes[token]] = rank
+        # the states of ``Vocabulary._schedule``, filled in when asked for; known: 1 if merging gives the token, 0 if not
+        self._first = np.concatenate([[0], np.cumsum(self._sizes)])
+        self._next = np.full(self._first[-1], _NEVER)
+        self._begin, self._end = (np.full(self._first[-1], self.none) for _ in range(2))
+        self._known = np.full(self._width, -1, np.int8)
+        self._known[self.none] = 1
+        # twice the pair, and one more if it fits; a later pair takes the place of an earlier one
+        self._fits = np.full(1 << FIT_BITS, -1)
+
+    def _schedules(self, tokens: np.ndarray) -> None:
+        ranks = self._of.ranks
+        for token in np.unique(tokens[self._known[tokens] < 0]).tolist():
+            states = self._of._schedule(token)
+            self._known[token] = bool(states)
+            if states:
+                at = slice(self._first[token], self._first[token] + len(states))
+                self._next[at] = [rank for rank, _, _ in states]
+                self._begin[at] = [ranks[begin] for _, begin, _ in states]
+                self._end[at] = [ranks[end] for _, _, end in states]
+
+    def _apart(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether no merge crosses the border of each pair first, as ``Vocabulary._apart`` tells of one."""
+        before, token = np.divmod(pairs, self._width)
+        self._schedules(before)
+        self._schedules(token)
+        out = (self._known[before] > 0) & (self._known[token] > 0)
+        at = np.flatnonzero(out)
+        i, j = self._first[before[at]], self._first[token[at]]
+        while len(at):
+            next_left, next_right = self._next[i], self._next[j]
+            across = self._merged[self._pairs(_spread(self._end[i] * self._width + self._begin[j]))]
+            crossed = (across < next_left) & (across <= next_right)
+            out[at[crossed]] = False
+            left = next_left <= next_right
+            i, j = i + left, j + ~left
+            on = ~crossed & ~(left & (next_left == _NEVER))
+            at, i, j = at[on], i[on], j[on]
+        return out
+
+    def fits(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        pairs = before * np.int64(self._width) + token
+        place = (_spread(pairs) & np.uint64(len(self._fits) - 1)).astype(np.int64)
+        found = self._fits[place]
+        out = (found & 1).astype(bool)
+        new = np.flatnonzero(found >> 1 != pairs)
+        if len(new):
+            asked, back = np.unique(pairs[new], return_inverse=True)
+            ok = self._apart(asked)[back]
+            out[new] = ok
+            self._fits[place[new]] = pairs[new] * 2 + ok
+        return out
+
+    def encode(self, strings: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of each string; none is empty."""
+        size = np.fromiter(map(len, strings), np.int64, len(strings))
+        # one place before each string stands for its begin
+        data = np.frombuffer(b"\0" + b"\0".join(strings), np.uint8)
+        begin = np.cumsum(size + 1) - size - 1
+        ahead = np.repeat(begin + size, size + 1) - np.arange(len(data))  # bytes that follow in the string
+        inside = np.ones(len(data), bool)
+        inside[begin] = False
+        start = np.flatnonzero(inside).astype(np.int32)
+        node, length, found = data[start].astype(np.int64), 1, []
+        while True:
+            token = self._token[node]
+            hit = np.flatnonzero(token >= 0)
+            found.append((start[hit] - np.int32(1), token[hit], start[hit] + np.int32(length - 1)))
+            on = ahead[start] >= length
+            start, node = start[on], node[on]
+            if not len(start):
+                break
+            step = self._steps(_spread(node << 8 | data[start + length]))
+            on = step >= 0
+            start, node, length = start[on], step[on].astype(np.int64) + 256, length + 1
+        before, token, end = map(np.concatenate, zip(*found))
+        place = (np.arange(len(data)) - np.repeat(begin, size + 1)).astype(np.uint16)[end]
+        order = np.argsort(place, kind="stable")
+        before, token, end = before[order], token[order], end[order]
+        last = np.full(len(data), -1)
+        last[begin] = self.none
+        borders = np.cumsum(np.bincount(place)).tolist()
+        for a, b in zip(borders, borders[1:]):
+            fit = self.fits(last[before[a:b]], token[a:b])
+            last[end[a:b][fit]] = token[a:b][fit]
+        if last.min(initial=0) < 0:
+            raise ValueError("the vocabulary lacks a byte of the text")
+        return self._walk(last, begin, size)
+
+    def _walk(self, last, begin, size) -> list[tuple[int, ...]]:
+        at, owner, found = begin + size, np.arange(len(begin)), []
+        while len(at):
+            token = last[at]
+            found.append((owner, token))
+            at = at - self._sizes[token]
+            on = at > begin[owner]
+            at, owner = at[on], owner[on]
+        count = np.bincount(np.concatenate([o for o, _ in found]), minlength=len(begin)) if found else np.zeros(0, np.int64)
+        ends = np.cumsum(count)
+        flat = np.empty(ends[-1] if len(ends) else 0, np.int64)
+        for back, (owner, token) in enumerate(found):
+            flat[ends[owner] - 1 - back] = token
+        flat, ends = self._numbers[flat].tolist(), ends.tolist()
+        return [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+
+
 class Vocabulary:
     """Ranks of a byte-level vocabulary: one line per token, base64 bytes and rank."""
 
@@ -49,11 +208,6 @@ class Vocabulary:
                 lengths.setdefault(token[-3:], set()).add(len(token))
         self._lengths = {ending: (*sorted(found, reverse=True), *self._short(ending)) for ending, found in lengths.items()}
         self.cut = regex.compile(pattern).findall
-        found = ahocorasick.Automaton()
-        for token, rank in ranks.items():
-            found.add_word(token.decode("latin-1"), rank)
-        found.make_automaton()
-        self._ends = found.iter
         self._schedules: dict[int, list[tuple[int, bytes, bytes]]] = {}
         self._fits: dict[int, bool] = {}
         self._segments: dict[str, tuple[int, ...] | None] = {}
@@ -62,6 +216,18 @@ class Vocabulary:
         self._older_pieces: dict[str, tuple[int, ...]] = {}
         self._heads: dict[bytes, tuple[int, ...]] = {}
 
+    @functools.cached_property
+    def _ends(self):
+        found = ahocorasick.Automaton()
+        for token, rank in self.ranks.items():
+            found.add_word(token.decode("latin-1"), rank)
+        found.make_automaton()
+        return found.iter
+
+    @functools.cached_property
+    def _together(self) -> Together:
+        return Together(self)
+
     def _schedule(self, token: int) -> list[tuple[int, bytes, bytes]]:
         """States of the token's bytes as they merge by rank: rank of the next merge, leftmost and rightmost part.
 
@@ -207,7 +373,7 @@ class Vocabulary:
             ids = self._older_pieces.get(text)
             if ids is None:
                 ids = self._piece(text)
-            if len(text) <= 32:
+            if len(text) <= _SHORT:
                 if len(self._pieces) >= REMEMBERED_PIECES:
                     self._older_pieces, self._pieces = self._pieces, {}
                 self._pieces[text] = ids
@@ -249,12 +415,77 @@ class Vocabulary:
             else:
                 pieces = self.cut(" " + segment)
                 ids = self.piece(pieces[0]) if len(pieces) == 1 else tuple(chain.from_iterable(map(self.piece, pieces)))
-        if len(segment) <= 32:
+        if len(segment) <= _SHORT:
             if len(self._segments) >= REMEMBERED_SEGMENTS:
                 self._older, self._segments = self._segments, {}
             self._segments[segment] = ids
         return ids
 
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """``encode`` of each text. What is not remembered is worked out together."""
+        known, older = self._segments, self._older
+        split = [text.split(" ") for text in texts]
+        heads = [parts.pop(0) for parts in split]
+        asked = set(chain.from_iterable(split)).difference(known)
+        new = []
+        for segment in asked:
+            ids = older.get(segment, False)
+            if ids is not False or not segment or segment[0].isspace() or segment[-1].isspace():
+                known[segment] = ids or None
+            else:
+                new.append(segment)
+        cut = self.cut(" " + " ".join(new)) if new else []
+        pieces = self._pieces
+        self._work_out(set(cut))
+        found: list[tuple[int, ...]] = []
+        for piece, ids in zip(cut, map(pieces.__getitem__, cut)):
+            if piece[0] == " ":
+                found.append(ids)
+            else:
+                found[-1] += ids
+        known.update(zip(new, found, strict=True))
+        for at, (text, head) in enumerate(zip(texts, heads)):
+            parts = split[at] = list(map(known.__getitem__, split[at]))
+            if not parts or not head or head[-1].isspace() or None in parts:
+                head, split[at] = text, []
+            heads[at] = self.cut(head)
+        self._work_out(set(chain.from_iterable(heads)))
+        out = [
+            list(chain(chain.from_iterable(map(pieces.__getitem__, head)), chain.from_iterable(parts)))
+            for head, parts in zip(heads, split)
+        ]
+        for memory, asked in ((known, new), (pieces, set(chain(cut, *heads)))):
+            for text in asked:
+                if len(text) > _SHORT:
+                    del memory[text]
+        if len(known) >= REMEMBERED_SEGMENTS:
+            self._older, self._segments = known, {}
+        if len(pieces) >= REMEMBERED_PIECES:
+            self._older_pieces, self._pieces = pieces, {}
+        return out
+
+    def _work_out(self, asked: set[str]) -> None:
+        """Remember the ids of matches of the pattern, of all that are not remembered together."""
+        pieces, older, ranks = self._pieces, self._older_pieces, self.ranks
+        texts, strings, held = [], [], 0
+        for text in asked.difference(pieces):
+            ids = older.get(text)
+            if ids is None:
+                data = text.encode()
+                whole = ranks.get(data)
+                if whole is None and len(data) <= LONGEST:
+                    texts.append(text)
+                    strings.append(data)
+                    held += len(data)
+                    if held >= TOGETHER:
+                        pieces.update(zip(texts, self._together.encode(strings)))
+                        texts, strings, held = [], [], 0
+                    continue
+                ids = (whole,) if whole is not None else tuple(self.walk(self.extend(data, [])))
+            pieces[text] = ids
+        if texts:
+            pieces.update(zip(texts, self._together.encode(strings)))
+
     def settle(self) -> None:
         """Between tasks: keep what was asked for last, bounded in number, for the worker's next task."""
         self._older, self._older_pieces = {}, {}
@@ -287,19 +518,21 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
             def taken():
                 return {k: list(v) for k, v in out.items()}
 
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = vocabulary.encode(text.as_py() or "")
-                out["doc_id"].append(doc_id)
-                out["n_tokens"].append(len(ids))
-                out["ids"].append(ids if with_ids else None)
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
-                out["decoded_sha256"].append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
-                held += len(ids) if with_ids else 1
-                if held > 1 << 18:
-                    yield taken()
-                    held = 0
-                    for column in out.values():
-                        column.clear()
+            for first, stop in rows_of(batch, _ROWS, limit=_TEXT):
+                part = batch.slice(first, stop - first)
+                encoded = vocabulary.encode_all([text or "" for text in part.column("text").to_pylist()])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):
+                    out["doc_id"].append(doc_id)
+                    out["n_tokens"].append(len(ids))
+                    out["ids"].append(ids if with_ids else None)
+                    out["ids_sha256"].append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
+                    out["decoded_sha256"].append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+                    held += len(ids) if with_ids else 1
+                    if held > 1 << 18:
+                        yield taken()
+                        held = 0
+                        for column in out.values():
+                            column.clear()
             yield taken()
         vocabulary.settle()
 

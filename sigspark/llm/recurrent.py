@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from sigspark.llm import words as wd
 from sigspark.llm.tables import freeze, in_batches, rows_of
+from sigspark.llm.words import Lookup
 
 #: Words of the shortlist, words of a class, units of the state and of a word's vector.
 SHORTLIST, CLASS, UNITS = 4032, 64, 16
@@ -47,38 +48,6 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(len(at))
 
 
-class Lookup:
-    """Numbers of known hashes: a table by their low bits, with the next free place for those that collide."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(10, (4 * max(1, len(keys)) - 1).bit_length())
-        self.mask = np.uint64((1 << self.bits) - 1)
-        self.keys = np.zeros(1 << self.bits, np.uint64)
-        self.at = np.full(1 << self.bits, -1, np.int32)
-        place, left = keys & self.mask, np.arange(len(keys))
-        while len(left):
-            free = self.at[place.astype(np.int64)] < 0
-            spots, first = np.unique(place[free], return_index=True)
-            won = np.flatnonzero(free)[first]
-            self.keys[spots.astype(np.int64)] = keys[left[won]]
-            self.at[spots.astype(np.int64)] = left[won]
-            stay = np.ones(len(left), bool)
-            stay[won] = False
-            left, place = left[stay], (place[stay] + np.uint64(1)) & self.mask
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each hash, -1 for unknown ones."""
-        place = (hashes & self.mask).astype(np.int64)
-        found = self.at[place]
-        wrong = np.flatnonzero((found >= 0) & (self.keys[place] != hashes))
-        while len(wrong):
-            place[wrong] = (place[wrong] + 1) & int(self.mask)
-            now = self.at[place[wrong]]
-            found[wrong] = now
-            wrong = wrong[(now >= 0) & (self.keys[place[wrong]] != hashes[wrong])]
-        return found
-
-
 @dataclass
 class Counts:
     """What all training texts gave: the full table stays on storage, its common end goes to tasks."""

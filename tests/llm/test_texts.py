@@ -80,6 +80,34 @@ def test_a_word_is_worked_out_once(vocabulary, library, monkeypatch):
         assert fresh.encode(text) == library.encode_ordinary(text), repr(text)
 
 
+def test_texts_are_encoded_together(vocabulary, library, monkeypatch):
+    rng = random.Random(6)
+    plain = lambda n: "".join(rng.choice("etaoinshréß漢") for _ in range(n))
+    odd = lambda: "".join(rng.choice("aab eth  \n\t'sreéß漢🙂12_-.\x1c\x85 ") for _ in range(rng.randrange(60)))
+    texts = [" ".join(plain(rng.randrange(1, 20)) + rng.choice(["", ".", ",\n"]) for _ in range(40)) for _ in range(60)]
+    texts += [odd() for _ in range(400)] + ["", " ", "  a", "b  ", plain(90), plain(400) + " " + plain(600), "x\n\ny 's 's"]
+    want = [library.encode_ordinary(x) for x in texts]
+    fresh = bpe.Vocabulary(vocabulary.ranks, public_tokenizers.PATTERN)
+    calls, encode = [], bpe.Together.encode
+    monkeypatch.setattr(bpe.Together, "encode", lambda self, x: calls.append(len(x)) or encode(self, x))
+    assert fresh.encode_all(texts) == want
+    # thousands of words in a few calls, and no word by itself but the one longer than LONGEST bytes
+    assert sum(calls) > 1500 and len(calls) <= 3 and not fresh._heads
+    calls.clear()
+    assert fresh.encode_all(texts) == want and sum(calls) < 200
+    assert [fresh.encode(x) for x in texts] == want
+    # memories that fill up and start anew change nothing
+    for name in ("REMEMBERED_PIECES", "REMEMBERED_SEGMENTS", "TOGETHER"):
+        monkeypatch.setattr(bpe, name, 30)
+    monkeypatch.setattr(bpe, "FIT_BITS", 3)
+    fresh = bpe.Vocabulary(vocabulary.ranks, public_tokenizers.PATTERN)
+    for at in range(0, len(texts), 7):
+        assert fresh.encode_all(texts[at : at + 7]) == want[at : at + 7]
+    assert max(map(len, (*fresh._older, *fresh._older_pieces))) <= 32
+    with pytest.raises(ValueError):
+        bpe.Vocabulary({b"a": 0, b" ": 1}, public_tokenizers.PATTERN).encode_all(["a ab"])
+
+
 def test_appends_and_edits_are_exact(vocabulary):
     rng = random.Random(4)
     for _ in range(200):
