@@ -29,11 +29,11 @@ from sigspark.llm.words import Lookup
 #: Entries of the memories of a task; when full they start anew.
 REMEMBERED_FITS = 1 << 18
 REMEMBERED_SEGMENTS = 1 << 17
-REMEMBERED_PIECES = 1 << 17
+REMEMBERED_PIECES = 1 << 16
 REMEMBERED_HEADS = 1 << 17
 
 #: Bits of the number of fits that matches worked out together remember; bytes of those matches, and of the longest.
-FIT_BITS, TOGETHER, LONGEST = 19, 1 << 17, 256
+FIT_BITS, TOGETHER, LONGEST = 19, 1 << 16, 256
 #: Rows and bytes of text that are encoded together.
 _ROWS, _TEXT = 512, 1 << 19
 #: Longest segments and matches, in characters, that are remembered.
