@@ -139,27 +139,41 @@ def _sigmoid(x):
     return np.divide(np.float32(1), x, out=x)
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` with its columns, not its rows, in one piece: what units, gates and shares do then runs along them."""
+    return (b.T @ a.T).T
+
+
+def _columns(rows: int, columns: int, kind) -> np.ndarray:
+    return np.empty((columns, rows), kind).T
+
+
 def step(p, given: np.ndarray, h: np.ndarray):
     """Next state from the gate inputs of a word and the state; and what the way back needs."""
     u = UNITS
-    own = h @ p["state"]
+    own = _product(h, p["state"])
     zr = _sigmoid(given[:, : 2 * u] + own[:, : 2 * u])
     z, r = zr[:, :u], zr[:, u:]
-    n = np.tanh(given[:, 2 * u :] + r * own[:, 2 * u :])
-    return n + z * (h - n), (h, z, r, n, own[:, 2 * u :])
+    n = r * own[:, 2 * u :]
+    n += given[:, 2 * u :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (h, z, r, n, own[:, 2 * u :])
 
 
 def _softmax(x: np.ndarray, at: np.ndarray, slopes: bool) -> np.ndarray:
     """Log of the share of column ``at[i]`` of each row ``i``. Leaves in ``x`` the shares less one there if ``slopes``."""
     rows = np.arange(len(x))
     x -= x.max(axis=1, keepdims=True)
-    total = np.log(np.exp(x).sum(axis=1, keepdims=True))
-    if not slopes:
-        return x[rows, at] - total[:, 0]
-    x -= total
     out = x[rows, at]
     np.exp(x, out=x)
-    x[rows, at] -= 1
+    total = x.sum(axis=1)
+    out -= np.log(total)
+    if slopes:
+        x *= (1 / total)[:, None]
+        x[rows, at] -= 1
     return out
 
 
@@ -171,70 +185,78 @@ def log_probabilities(p, h: np.ndarray, targets: np.ndarray, gradient: dict | No
     classes, n, slopes = len(p["word"]), len(targets), gradient is not None
     of = targets // CLASS
     of[targets >= len(p["vectors"]) - 1] = classes
-    x = h @ p["class"]
+    x = _product(h, p["class"])
     x += p["class_bias"]
     out = _softmax(x, of, slopes).astype(np.float64)
     back = None
     if slopes:
-        x /= n
+        x *= x.dtype.type(1 / n)
         gradient["class"] += h.T @ x
         gradient["class_bias"] += x.sum(axis=0)
-        back = x @ p["class"].T
+        back = _product(x, p["class"].T)
     # rows in order of their class: those of a class are one product, and all of them one table of logits
     order = np.argsort(of.astype(np.uint8 if classes < 256 else of.dtype), kind="stable")
     ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=classes + 1)[:classes])]).tolist()
     order = order[: ends[-1]]
-    own = h[order]
-    x = np.empty((len(order), CLASS), np.result_type(h, p["word"]))
+    own = h.T.take(order, axis=1).T
+    x = _columns(len(order), CLASS, np.result_type(h, p["word"]))
     present = [(c, ends[c], ends[c + 1]) for c in range(classes) if ends[c] < ends[c + 1]]
     for c, first, end in present:
         part = x[first:end]
-        np.matmul(own[first:end], p["word"][c], out=part)
+        np.matmul(p["word"][c].T, own[first:end].T, out=part.T)
         part += p["word_bias"][c]
     out[order] += _softmax(x, targets[order] % CLASS, slopes)
     if slopes:
-        x /= n
-        d = np.empty_like(own)
+        x *= x.dtype.type(1 / n)
+        d = _columns(len(order), UNITS, own.dtype)
         for c, first, end in present:
             part = x[first:end]
             gradient["word"][c] += own[first:end].T @ part
             gradient["word_bias"][c] += part.sum(axis=0)
-            np.matmul(part, p["word"][c].T, out=d[first:end])
-        back[order] += d
+            np.matmul(p["word"][c], part.T, out=d[first:end].T)
+        for column, more in zip(back.T, d.T):
+            column[order] += more
     return out, back
 
 
 def train_window(p, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, h: np.ndarray):
     """Loss, gradient and last state of a window of ``inputs[t, stream]``; ``fresh`` marks words that begin a text."""
     steps, streams = inputs.shape
+    u, n = UNITS, steps * streams
     gradient = {k: np.zeros_like(v) for k, v in p.items()}
-    given = p["vectors"][inputs] @ p["into"] + p["gates"]
-    states, saved = [], []
+    words = inputs.reshape(-1)
+    vectors = p["vectors"][words]
+    given = _product(vectors, p["into"])
+    given += p["gates"]
+    states, befores = (_columns(n, u, given.dtype) for _ in range(2))
+    saved = []
+    h = np.asfortranarray(h)
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        h, kept = step(p, given[t], h)
-        states.append(h)
+        now = slice(t * streams, (t + 1) * streams)
+        h, kept = step(p, given[now], h * ~fresh[t][:, None])
+        befores[now], states[now] = kept[0], h
         saved.append(kept)
-    logs, back = log_probabilities(p, np.concatenate(states), targets.reshape(-1).copy(), gradient)
-    back = back.reshape(steps, streams, UNITS)
-    d_given = np.zeros_like(given)
+    logs, back = log_probabilities(p, states, targets.reshape(-1).copy(), gradient)
+    d_given, d_own = (_columns(n, 3 * u, given.dtype) for _ in range(2))
     d_h = np.zeros_like(h)
-    u = UNITS
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, own = saved[t]
-        d = d_h + back[t]
-        d_n = d * (1 - z) * (1 - n * n)
-        d_z = d * (before - n) * z * (1 - z)
-        d_r = d_n * own * r * (1 - r)
-        d_given[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-        d_own = np.concatenate([d_z, d_r, d_n * r], axis=1)
-        gradient["state"] += before.T @ d_own
-        d_h = (d * z + d_own @ p["state"].T) * ~fresh[t][:, None]
-    flat = d_given.reshape(-1, 3 * u)
-    gradient["gates"] += flat.sum(axis=0)
-    words = inputs.reshape(-1)
-    gradient["into"] += p["vectors"][words].T @ flat
-    np.add.at(gradient["vectors"], words, flat @ p["into"].T)
+        now = slice(t * streams, (t + 1) * streams)
+        before, z, r, new, own = saved[t]
+        d = d_h + back[now]
+        d_zr, d_n = d_given[now, : 2 * u], d_given[now, 2 * u :]
+        np.multiply(d * (1 - z), 1 - new * new, out=d_n)
+        np.multiply(d * (before - new), z * (1 - z), out=d_zr[:, :u])
+        np.multiply(d_n * own, r * (1 - r), out=d_zr[:, u:])
+        d_own[now, : 2 * u] = d_zr
+        np.multiply(d_n, r, out=d_own[now, 2 * u :])
+        d *= z
+        d += _product(d_own[now], p["state"].T)
+        d_h = d * ~fresh[t][:, None]
+    gradient["state"] += befores.T @ d_own
+    gradient["gates"] += d_given.sum(axis=0)
+    gradient["into"] += vectors.T @ d_given
+    for column, d in zip(gradient["vectors"].T, _product(d_given, p["into"].T).T):
+        column += np.bincount(words, d, minlength=len(column))
     return -logs.mean(), gradient, h
 
 
@@ -404,24 +426,25 @@ def text_scores(p: dict[str, np.ndarray], tokens: np.ndarray, at: np.ndarray, en
     begins = np.zeros(len(flat), bool)
     begins[flat == at[owner]] = True
     inputs = np.where(begins, end, np.roll(targets, 1))
-    given = p["vectors"] @ p["into"] + p["gates"]
-    h = np.zeros((len(lanes), UNITS), np.float32)
+    table = np.ascontiguousarray((p["vectors"] @ p["into"] + p["gates"]).T)
+    h = np.zeros((UNITS, len(lanes)), np.float32).T
     window = 32
     for t in range(0, int(loads.max(initial=0)), window):
-        states, places = [], []
-        for now in range(t, min(t + window, int(loads[0]))):
-            active = int(np.searchsorted(-loads, -now, side="left"))
-            place = first[:active] + now
-            h = h[:active]
-            fresh = begins[place]
-            if fresh.any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            h, _ = step(p, given[inputs[place]], h)
-            states.append(h)
-            places.append(place)
-        place = np.concatenate(places)
-        logs, _ = log_probabilities(p, np.concatenate(states), targets[place].copy())
-        total += np.bincount(owner[place], logs, minlength=texts)
+        steps = np.arange(t, min(t + window, int(loads[0])))
+        active = np.searchsorted(-loads, -steps, side="left")
+        ends = np.cumsum(active).tolist()
+        place = np.concatenate([first[:n] + now for n, now in zip(active.tolist(), steps.tolist())])
+        given, fresh = table.take(inputs[place], axis=1).T, begins[place]
+        states = _columns(ends[-1], UNITS, np.float32)
+        for start, end in zip([0, *ends], ends):
+            h = h[: end - start]
+            new = fresh[start:end]
+            if new.any():
+                h = h * ~new[:, None]
+            h, _ = step(p, given[start:end], h)
+            states[start:end] = h
+        logs, _ = log_probabilities(p, states, targets[place].copy())
+        np.add.at(total, owner[place], logs)
     return total
 
 

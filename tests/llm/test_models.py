@@ -284,6 +284,22 @@ def test_words_of_all_classes_share_one_softmax(monkeypatch):
     assert len(calls) <= 6
 
 
+def test_states_lie_in_columns_and_a_softmax_takes_one_exp(monkeypatch):
+    rng = np.random.default_rng(8)
+    p = recurrent.initial(np.arange(2000, 70, -1), 50)
+    h = rng.standard_normal((300, recurrent.UNITS)).astype(np.float32)
+    given = recurrent._product(h, p["into"])
+    assert np.allclose(given, h @ p["into"], atol=1e-6) and given.flags.f_contiguous
+    new, _ = recurrent.step(p, given, np.asfortranarray(h))
+    assert new.flags.f_contiguous and np.allclose(new, recurrent.step(p, h @ p["into"], h)[0], atol=1e-6)
+    calls, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
+    for gradient in (None, {k: np.zeros_like(v) for k, v in p.items()}):
+        calls.clear()
+        recurrent.log_probabilities(p, h, rng.integers(0, len(p["vectors"]), 300), gradient)
+        assert len(calls) == 2  # of the classes and of the words
+
+
 def test_training_reads_every_text(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"word{i} of the text{i % 7}") for i in range(900)] + [(None, None), (1, "other")],
                                  "doc_id long, text string")
